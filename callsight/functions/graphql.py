@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
+from callsight.functions.memo import reused
 from callsight.functions.text import json_container
 from callsight.functions.urls import bind, query_entries
 
@@ -30,6 +31,7 @@ def _param(url: Column, name: str) -> Column:
     return F.get(F.transform(F.filter(entries, lambda e: e["name"] == name), lambda e: e["value"]), F.lit(0))
 
 
+@reused
 def graphql_request(
     url: Column | str = "url",
     path: Column | str = "path",
@@ -85,5 +87,6 @@ def graphql_request(
     )
 
 
+@reused
 def is_graphql_request() -> Column:
     return graphql_request().isNotNull()

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
+from callsight.functions.memo import reused
 
 
 def _col(value: Column | str) -> Column:
@@ -18,6 +19,7 @@ def _col(value: Column | str) -> Column:
 # --- headers -------------------------------------------------------------------
 
 
+@reused
 def header_value(headers: Column | str, name: str) -> Column:
     """Case-insensitive header lookup; an exact lower-case name wins."""
     headers = _col(headers)
@@ -25,10 +27,12 @@ def header_value(headers: Column | str, name: str) -> Column:
     return F.coalesce(F.try_element_at(headers, F.lit(name)), F.get(any_case, F.lit(0)))
 
 
+@reused
 def has_header(headers: Column | str, name: str) -> Column:
     return F.coalesce(F.exists(F.map_keys(_col(headers)), lambda key: F.lower(key) == name), F.lit(False))
 
 
+@reused
 def cache_info(headers: Column | str) -> Column:
     """Caching headers as a struct, null when a response says nothing about caching."""
     fields = {
@@ -54,27 +58,32 @@ def _numeric_text(text: Column) -> Column:
 # --- bodies --------------------------------------------------------------------
 
 
+@reused
 def bare_mime(mime: Column | str) -> Column:
     return F.lower(F.trim(F.substring_index(F.coalesce(_col(mime), F.lit("")), ";", 1)))
 
 
+@reused
 def is_binary_mime(mime: Column | str) -> Column:
     bare = bare_mime(mime)
     return bare.rlike(fv.BINARY_MIME_PREFIX) | bare.isin(fv.BINARY_MIMES)
 
 
+@reused
 def json_container(body: Column | str) -> Column:
     """Parsed body when it is a JSON object or array, else null."""
     body = _col(body)
     return F.when(body.rlike(r"^\s*[{\[]"), F.try_parse_json(body))
 
 
-def body_gap(body: Column | str, truncated: Column | bool = False) -> Column:
+@reused
+def body_gap(body: Column | str, truncated: Column | str | bool = False) -> Column:
     """Why a captured body has no (complete) shape; null when it has one."""
-    cut = F.lit(truncated) if isinstance(truncated, bool) else F.coalesce(truncated, F.lit(False))
+    cut = F.lit(truncated) if isinstance(truncated, bool) else F.coalesce(_col(truncated), F.lit(False))
     return F.when(cut, F.lit("truncated")).when(json_container(body).isNull(), F.lit("not-json"))
 
 
+@reused
 def absent_body_gap(mime: Column | str) -> Column:
     bare = bare_mime(mime)
     return (
@@ -84,10 +93,12 @@ def absent_body_gap(mime: Column | str) -> Column:
     )
 
 
-def response_gap(body: Column | str, truncated: Column | bool, mime: Column | str) -> Column:
+@reused
+def response_gap(body: Column | str, truncated: Column | str | bool, mime: Column | str) -> Column:
     return F.when(_col(body).isNotNull(), body_gap(body, truncated)).otherwise(absent_body_gap(mime))
 
 
+@reused
 def request_gap(body: Column | str) -> Column:
     return F.when(_col(body).isNotNull(), body_gap(body)).otherwise(F.lit("no-body"))
 
@@ -110,6 +121,7 @@ def gap_phrase(reason: Column) -> Column:
 # --- string formats ------------------------------------------------------------
 
 
+@reused
 def string_format(value: Column | str) -> Column:
     """Well-known shape of a string value, null for prose."""
     value = _col(value)
@@ -123,6 +135,7 @@ def string_format(value: Column | str) -> Column:
     return chain
 
 
+@reused
 def is_enum_member(value: Column | str, fmt: Column | None = None) -> Column:
     """Short text without white space or a format of its own."""
     value = _col(value)
@@ -144,15 +157,18 @@ def infer_scalar_type(values: Column) -> Column:
 # --- sensitive names and values ------------------------------------------------
 
 
+@reused
 def is_sensitive_header(name: Column | str) -> Column:
     return F.lower(_col(name)).isin(fv.SENSITIVE_HEADERS)
 
 
+@reused
 def is_sensitive_key(key: Column | str) -> Column:
     plain = F.regexp_replace(F.lower(_col(key)), r"[^a-z0-9]", "")
     return plain.rlike("|".join(fv.SENSITIVE_KEYS))
 
 
+@reused
 def is_sensitive_param(name: Column | str) -> Column:
     spaced = F.lower(F.regexp_replace(_col(name), r"([a-z0-9])([A-Z])", "$1 $2"))
     words = F.filter(F.split(spaced, r"[^a-z0-9]+"), lambda word: word != "")
@@ -160,6 +176,7 @@ def is_sensitive_param(name: Column | str) -> Column:
     return F.arrays_overlap(words, listed) | F.array_join(words, "").isin(fv.SENSITIVE_PARAM_WORDS)
 
 
+@reused
 def entropy_per_char(value: Column | str) -> Column:
     """Shannon entropy in bits per character."""
     value = _col(value)
@@ -174,6 +191,7 @@ def entropy_per_char(value: Column | str) -> Column:
     )
 
 
+@reused
 def looks_like_secret(value: Column | str) -> Column:
     value = _col(value)
     spelled = (
@@ -186,12 +204,14 @@ def looks_like_secret(value: Column | str) -> Column:
     return F.when(spelled, entropy_per_char(value) >= fv.SECRET_MIN_ENTROPY).otherwise(F.lit(False))
 
 
+@reused
 def looks_like_phone(value: Column | str) -> Column:
     value = _col(value)
     digits = F.length(F.regexp_replace(value, r"[^0-9]", ""))
     return value.rlike(fv.PHONE_VALUE) & (digits >= fv.PHONE_MIN_DIGITS) & value.rlike(r"(?s)^.+[ ().-].*.$")
 
 
+@reused
 def is_sensitive_scalar(value: Column | str) -> Column:
     """The whole value is a token, email, national id, phone number or random-looking secret."""
     text = _trim(_col(value))
@@ -204,6 +224,7 @@ def is_sensitive_scalar(value: Column | str) -> Column:
     )
 
 
+@reused
 def is_sensitive_value(value: Column | str) -> Column:
     """Like :func:`is_sensitive_scalar`, and an email or national id anywhere in the text."""
     text = _trim(_col(value))
@@ -214,6 +235,7 @@ def _trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+@reused
 def redact_log_line(line: Column | str) -> Column:
     masked = F.regexp_replace(_col(line), fv.LOG_ASSIGNMENT, f"$1={fv.REDACTED}")
     masked = F.regexp_replace(masked, fv.LOG_BEARER, f"Bearer {fv.REDACTED}")
@@ -258,6 +280,7 @@ def truncate_text(text: Column | str, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(limit - 1)), F.lit("…")))
 
 
+@reused
 def describe_statuses(statuses: Column | str) -> Column:
     statuses = _col(statuses)
     listed = F.array_join(F.transform(statuses, lambda s: s.cast("string")), ", ")

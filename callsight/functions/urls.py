@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
+from callsight.functions.memo import reused
 
 _URL = r"(?s)^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\\]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 _FIELDS = "$1\x01$2\x01$3\x01$4"
@@ -74,6 +75,7 @@ def clean_path(path: Column) -> Column:
     return F.when(path == "", F.lit("/")).when(path.rlike(_CLEAN_PATH), path).otherwise(rebuilt)
 
 
+@reused
 def url_parts(url: Column | str) -> Column:
     """``struct(scheme, userinfo, host, path, query)``; null when the text is not a URL."""
     fields = F.split(F.regexp_replace(_col(url), _URL, _FIELDS), "\x01")
@@ -96,15 +98,18 @@ def url_parts(url: Column | str) -> Column:
     return bind(fields, parts)
 
 
+@reused
 def url_host(url: Column | str) -> Column:
     """Host with its non-default port, null when invalid."""
     return url_parts(url)["host"]
 
 
+@reused
 def url_path(url: Column | str) -> Column:
     return url_parts(url)["path"]
 
 
+@reused
 def url_origin(url: Column | str, parts: Column | None = None) -> Column:
     """``scheme://host``, or the text itself when it is not a URL."""
     site = lambda found: F.concat(found["scheme"], F.lit("://"), found["host"])
@@ -126,6 +131,7 @@ def query_entries(query: Column) -> Column:
     )
 
 
+@reused
 def normalize_url(url: Column | str, parts: Column | None = None) -> Column:
     """Deduplication form: no fragment, no tracking parameters, sorted parameters, no trailing slash."""
     url = _col(url)
@@ -156,6 +162,7 @@ def normalize_url(url: Column | str, parts: Column | None = None) -> Column:
     return F.coalesce(rebuilt(parts) if parts is not None else bind(url_parts(url), rebuilt), url)
 
 
+@reused
 def looks_like_id(segment: Column | str) -> Column:
     return _col(segment).rlike(rf"^{ID_SEGMENT}$")
 
@@ -194,6 +201,7 @@ def path_pattern(path: Column) -> Column:
     return bind(trimmed, pattern)
 
 
+@reused
 def url_pattern(url: Column | str) -> Column:
     """Path pattern of a URL; host and query are ignored, invalid text is kept."""
     url = _col(url)
@@ -209,6 +217,7 @@ def same_domain(left: Column | str, right: Column | str) -> Column:
     return F.coalesce(bare_host(url_host(left)) == bare_host(url_host(right)), F.lit(False))
 
 
+@reused
 def is_private_host(url_or_host: Column | str) -> Column:
     text = _col(url_or_host)
     host = F.regexp_replace(F.lower(F.coalesce(url_host(text), text)), r":[0-9]+$", "")
@@ -221,10 +230,12 @@ def is_private_host(url_or_host: Column | str) -> Column:
     )
 
 
+@reused
 def path_params(pattern: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(_col(pattern), F.lit(r"\{([^}]+)\}"), F.lit(1)))
 
 
+@reused
 def operation_id(method: Column | str, pattern: Column | str) -> Column:
     named = F.regexp_replace(_col(pattern), r"\{([^}]+)\}", "by-$1")
     return F.concat(
@@ -233,6 +244,7 @@ def operation_id(method: Column | str, pattern: Column | str) -> Column:
     )
 
 
+@reused
 def page_label(url: Column | str, seed_url: Column | str, parts: Column | None = None) -> Column:
     """Path and query of a page, with its host in front when it is not the seed's."""
     url = _col(url)
@@ -248,11 +260,13 @@ def page_label(url: Column | str, seed_url: Column | str, parts: Column | None =
     return F.coalesce(label(parts) if parts is not None else bind(url_parts(url), label), url)
 
 
+@reused
 def link_targets(html: Column | str) -> Column:
     """Raw ``href`` values of the anchors in a page, in order."""
     return F.regexp_extract_all(_col(html), F.lit(fv.ANCHOR_HREF), F.lit(1))
 
 
+@reused
 def resolve_link(href: Column | str, base: Column | str, base_parts: Column | None = None) -> Column:
     """An absolute URL for ``href`` as found on page ``base``; null when neither yields one."""
     href = _col(href)
@@ -270,6 +284,7 @@ def resolve_link(href: Column | str, base: Column | str, base_parts: Column | No
     return absolute(base_parts) if base_parts is not None else bind(url_parts(base), absolute)
 
 
+@reused
 def serialize_url(url: Column | str, parts: Column | None = None) -> Column:
     """The text a browser shows for a parsed URL; other schemes (``mailto:``) are kept as they are."""
     url = _col(url)
@@ -289,14 +304,17 @@ def serialize_url(url: Column | str, parts: Column | None = None) -> Column:
     return F.coalesce(text(parts) if parts is not None else bind(url_parts(url), text), opaque)
 
 
+@reused
 def has_param(path: Column | str) -> Column:
     return _col(path).rlike(r"(^|/)\{[^/]+\}(/|$)")
 
 
+@reused
 def is_item(path: Column | str) -> Column:
     return _col(path).rlike(r"(^|/)\{[^/]+\}/*$")
 
 
+@reused
 def collection_root(pattern: Column | str) -> Column:
     """Everything before the first parameter; the path itself when it has none or starts with one."""
     pattern = _col(pattern)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
+from callsight.functions.memo import reused
 
 
 def _suffix_pattern(domains: list[str]) -> str:
@@ -22,6 +23,7 @@ def host_suffixes(host: Column) -> Column:
     )
 
 
+@reused
 def vendor_of(host: Column | str) -> Column:
     """``struct(rank, name, category)`` of the vendor owning a host, null when unknown.
 
@@ -48,6 +50,7 @@ def vendor_of(host: Column | str) -> Column:
     )
 
 
+@reused
 def is_tracking_host(host: Column | str) -> Column:
     """One regular expression over the tracking vendors' host suffixes."""
     host = F.col(host) if isinstance(host, str) else host

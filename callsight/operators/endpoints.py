@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
 from callsight.functions.categories import categorize
 from callsight.functions.graphql import is_graphql_request
 from callsight.functions.text import cache_info, gap_name, gap_rank, is_sensitive_param, request_gap, response_gap
-from callsight.functions.urls import normalize_url, path_pattern, query_entries, url_host, url_parts
+from callsight.functions.memo import reused
+from callsight.functions.urls import normalize_url, path_params, path_pattern, query_entries, url_host, url_origin, url_parts
 from callsight.functions.vendors import vendor_of
 from callsight.operators.selection import nearest_rank
-from callsight.operators.sizing import broadcast_if_small, settle
+from callsight.operators.sizing import settle
 
 KEY = ["scan_id", "method", "url_pattern"]
 
@@ -21,32 +22,28 @@ def endpoint_id(method: Column | str = "method", pattern: Column | str = "url_pa
     return F.concat_ws(" ", method, pattern)
 
 
+@reused
+def _key_columns() -> dict[str, Column]:
+    parts, page = F.col("_url"), F.col("_page")
+    failed = F.coalesce("status", F.lit(0)) == 0
+    return {
+        "method": F.upper("method"),
+        "url": normalize_url("url", parts),
+        "host": parts["host"],
+        "path": parts["path"],
+        "origin": url_origin("url", parts),
+        "url_pattern": F.coalesce(path_pattern(parts["path"]), F.col("url")),
+        "mime_type": F.trim(F.substring_index(F.coalesce("mime_type", F.lit("")), ";", 1)),
+        "status": F.coalesce("status", F.lit(0)),
+        # A failed call keeps its page as recorded.
+        "triggered_by": F.when(failed, F.col("triggered_by")).otherwise(normalize_url("triggered_by", page)),
+    }
+
+
 def keyed_calls(calls: DataFrame) -> DataFrame:
     """Calls with normalised URL, host, path, origin and URL pattern; each URL is parsed once."""
-    parts = F.col("_url")
-    page = F.col("_page")
-    return (
-        calls.withColumn("_url", url_parts("url"))
-        .withColumn("_page", url_parts("triggered_by"))
-        .withColumns(
-            {
-                "method": F.upper("method"),
-                "raw_url": F.col("url"),
-                "url": normalize_url("url", parts),
-                "host": parts["host"],
-                "path": parts["path"],
-                "origin": F.coalesce(F.concat(parts["scheme"], F.lit("://"), parts["host"]), F.col("url")),
-                "url_pattern": F.coalesce(path_pattern(parts["path"]), F.col("url")),
-                "mime_type": F.trim(F.substring_index(F.coalesce("mime_type", F.lit("")), ";", 1)),
-                "status": F.coalesce("status", F.lit(0)),
-                # A failed call keeps its page as recorded.
-                "triggered_by": F.when(F.coalesce("status", F.lit(0)) == 0, F.col("triggered_by")).otherwise(
-                    normalize_url("triggered_by", page)
-                ),
-            }
-        )
-        .drop("_url", "_page", "raw_url")
-    )
+    parsed = calls.withColumns({"_url": url_parts("url"), "_page": url_parts("triggered_by")})
+    return parsed.withColumns(_key_columns()).drop("_url", "_page")
 
 
 def _first_where(condition: Column) -> Column:
@@ -55,7 +52,12 @@ def _first_where(condition: Column) -> Column:
 
 def status_rollup(keyed: DataFrame) -> DataFrame:
     """One row per endpoint and status. Every buffer is a number, so the map side hashes and nothing is sorted."""
-    return keyed.groupBy(*KEY, "status").agg(
+    return keyed.groupBy(*KEY, "status").agg(*_status_measures())
+
+
+@reused
+def _status_measures() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("count"),
         F.min("call_seq").alias("first_seq"),
         F.max("call_seq").alias("last_seq"),
@@ -66,10 +68,10 @@ def status_rollup(keyed: DataFrame) -> DataFrame:
         _first_where(cache_info("response_headers").isNotNull()).alias("cache_seq"),
         F.bool_or(is_graphql_request()).alias("is_graphql"),
         F.max(gap_rank(request_gap("request_body"))).alias("request_gap"),
-        F.max(gap_rank(response_gap("response_body", F.col("response_body_truncated"), "mime_type"))).alias(
+        F.max(gap_rank(response_gap("response_body", "response_body_truncated", "mime_type"))).alias(
             "response_gap"
         ),
-    )
+    ]
 
 
 def endpoint_base(by_status: DataFrame) -> DataFrame:
@@ -102,16 +104,19 @@ def latency_stats(keyed: DataFrame) -> DataFrame:
     return stats.select(*KEY, F.struct("p50", "p95", "max").alias("timing"))
 
 
-def size_stats(keyed: DataFrame) -> DataFrame:
-    """UTF-8 body sizes per endpoint; an endpoint without bodies on a side has null there."""
-    sides = F.array(
-        F.struct(F.lit("request").alias("side"), F.octet_length("request_body").alias("bytes")),
-        F.struct(F.lit("response").alias("side"), F.octet_length("response_body").alias("bytes")),
+def call_stats(keyed: DataFrame) -> DataFrame:
+    """Latency and UTF-8 body sizes per endpoint in one pass; a side without bodies is null."""
+    measures = F.array(
+        F.struct(F.lit("timing").alias("measure"), F.col("duration_ms").alias("value")),
+        F.struct(F.lit("request").alias("measure"), F.octet_length("request_body").cast("bigint").alias("value")),
+        F.struct(F.lit("response").alias("measure"), F.octet_length("response_body").cast("bigint").alias("value")),
+    )
+    each = keyed.select(*KEY, F.explode(measures).alias("m")).select(*KEY, "m.measure", "m.value")
+    stats = nearest_rank(each, [*KEY, "measure"], "value")
+    of = lambda name: F.first(F.when(F.col("measure") == name, F.struct("p50", "p95", "max")), ignorenulls=True)
+    return stats.groupBy(*KEY).agg(
+        of("timing").alias("timing"), of("request").alias("request_bytes"), of("response").alias("response_bytes")
     )
-    sizes = keyed.select(*KEY, F.explode(sides).alias("s")).select(*KEY, "s.side", "s.bytes")
-    stats = nearest_rank(sizes, [*KEY, "side"], "bytes")
-    of = lambda side: F.first(F.when(F.col("side") == side, F.struct("p50", "p95", "max")), ignorenulls=True)
-    return stats.groupBy(*KEY).agg(of("request").alias("request_bytes"), of("response").alias("response_bytes"))
 
 
 def endpoint_values(keyed: DataFrame) -> DataFrame:
@@ -137,8 +142,8 @@ def representatives(keyed: DataFrame, base: DataFrame, picks: dict[str, tuple[st
     """Columns of chosen calls per endpoint.
 
     ``picks`` maps a prefix to ``(position column of base, call columns)``. The positions are a
-    few numbers per endpoint; they are settled and, when few enough, broadcast, so the wide
-    columns are read in one scan without a shuffle.
+    few numbers per endpoint; settled, their size is known, and while it is small Spark
+    broadcasts them, so the wide columns are read in one scan without a shuffle.
     """
     roles = F.array(
         *[F.struct(F.lit(name).alias("role"), F.col(seq).alias("call_seq")) for name, (seq, _) in picks.items()]
@@ -151,7 +156,7 @@ def representatives(keyed: DataFrame, base: DataFrame, picks: dict[str, tuple[st
         .agg(F.collect_set("role").alias("_roles"))
     )
     columns = sorted({column for _, names in picks.values() for column in names} - set(KEY) - {"call_seq"})
-    found = keyed.select(*KEY, "call_seq", *columns).join(broadcast_if_small(wanted), ["scan_id", "call_seq"])
+    found = keyed.select(*KEY, "call_seq", *columns).join(wanted, ["scan_id", "call_seq"])
     return found.groupBy(*KEY).agg(
         *[
             F.first(F.when(F.array_contains("_roles", name), F.col(column)), ignorenulls=True).alias(f"{name}_{column}")
@@ -161,9 +166,11 @@ def representatives(keyed: DataFrame, base: DataFrame, picks: dict[str, tuple[st
     )
 
 
-def with_category(base: DataFrame, keyed: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Category and deciding heuristic, judged on the endpoint's first call."""
-    first = representatives(keyed, base, {"first": ("first_seq", ["host", "path", "mime_type"])})
+_FIRST_CALL = {"first": ("first_seq", ["host", "path", "mime_type"])}
+
+
+def _categorized(endpoints: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Category and heuristic from the columns :data:`_FIRST_CALL` picks."""
     seed_hosts = seeds.select("scan_id", url_host("seed_url").alias("seed_host"))
     verdict = categorize(
         F.col("first_host"),
@@ -174,14 +181,18 @@ def with_category(base: DataFrame, keyed: DataFrame, seeds: DataFrame) -> DataFr
         F.col("is_graphql"),
     )
     return (
-        base.join(first, KEY)
-        .join(seed_hosts, "scan_id", "left")
+        endpoints.join(seed_hosts, "scan_id", "left")
         .withColumn("_verdict", verdict)
         .withColumns({"category": F.col("_verdict.category"), "heuristic": F.col("_verdict.heuristic")})
         .drop("_verdict", "first_host", "first_path", "first_mime_type", "seed_host")
     )
 
 
+def with_category(base: DataFrame, keyed: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Category and deciding heuristic, judged on the endpoint's first call."""
+    return _categorized(base.join(representatives(keyed, base, _FIRST_CALL), KEY), seeds).withColumn("id", endpoint_id())
+
+
 def endpoints(keyed: DataFrame, seeds: DataFrame) -> DataFrame:
     """The endpoint table: roll-up, category, and the headers, bodies and caching of its chosen calls."""
     base = settle(endpoint_base(status_rollup(keyed)))
@@ -189,7 +200,7 @@ def endpoints(keyed: DataFrame, seeds: DataFrame) -> DataFrame:
         keyed,
         base,
         {
-            "first": ("first_seq", ["host", "path", "mime_type"]),
+            **_FIRST_CALL,
             "last": ("last_seq", ["request_headers", "response_headers"]),
             "request": ("request_seq", ["request_body"]),
             "response": ("response_seq", ["response_body"]),
@@ -198,26 +209,14 @@ def endpoints(keyed: DataFrame, seeds: DataFrame) -> DataFrame:
             "cache": ("cache_seq", ["response_headers"]),
         },
     )
-    seed_hosts = seeds.select("scan_id", url_host("seed_url").alias("seed_host"))
-    verdict = categorize(
-        F.col("first_host"),
-        F.col("first_path"),
-        F.col("method"),
-        F.col("first_mime_type"),
-        F.col("seed_host"),
-        F.col("is_graphql"),
-    )
     return (
-        base.join(chosen, KEY)
-        .join(seed_hosts, "scan_id", "left")
-        .withColumn("_verdict", verdict)
-        .join(latency_stats(keyed), KEY)
-        .join(size_stats(keyed), KEY, "left")
+        _categorized(base.join(chosen, KEY), seeds)
+        .join(call_stats(keyed), KEY)
         .select(
             *KEY,
             endpoint_id().alias("id"),
-            F.col("_verdict.category").alias("category"),
-            F.col("_verdict.heuristic").alias("heuristic"),
+            "category",
+            "heuristic",
             "count",
             "status_codes",
             "is_graphql",
@@ -230,7 +229,7 @@ def endpoints(keyed: DataFrame, seeds: DataFrame) -> DataFrame:
             F.col("response_file_response_body_file").alias("response_body_file"),
             "request_gap",
             "response_gap",
-            F.array_distinct(F.regexp_extract_all("url_pattern", F.lit(r"\{([^}]+)\}"), F.lit(1))).alias("path_params"),
+            path_params("url_pattern").alias("path_params"),
             "timing",
             "request_bytes",
             "response_bytes",
@@ -245,14 +244,13 @@ def query_params(keyed: DataFrame, redact: bool = True) -> DataFrame:
     Values are counted per (endpoint, name, value) before they are listed, and only the five
     earliest per name are brought together.
     """
-    from pyspark.sql import Window
-
     entries = keyed.select(
         *KEY, "call_seq", F.posexplode(query_entries(F.regexp_extract("url", r"(?s)\?(.*)$", 1))).alias("at", "entry")
     )
     seen = (
         entries.groupBy(*KEY, F.col("entry.name").alias("name"), F.col("entry.value").alias("value"))
-        .agg(F.min(F.struct("call_seq", "at")).alias("first_at"))
+        # Call position and place in its query as one number: the map side can hash it.
+        .agg(F.min(F.col("call_seq") * 4096 + F.col("at")).alias("first_at"))
     )
     filled = F.col("value") != ""
     earliest = Window.partitionBy(*KEY, "name").orderBy(F.col("value") == "", "first_at")
@@ -276,12 +274,12 @@ def error_contracts(keyed: DataFrame) -> DataFrame:
         errors.groupBy(*KEY, "status").agg(
             F.count(F.lit(1)).alias("count"),
             _first_where(F.col("response_body").isNotNull()).alias("response_seq"),
-            F.max(gap_rank(response_gap("response_body", F.col("response_body_truncated"), "mime_type"))).alias("gap"),
+            F.max(gap_rank(response_gap("response_body", "response_body_truncated", "mime_type"))).alias("gap"),
         )
     )
     wanted = base.where("response_seq is not null").select("scan_id", F.col("response_seq").alias("call_seq"))
     bodies = (
-        errors.join(broadcast_if_small(wanted), ["scan_id", "call_seq"])
+        errors.join(wanted, ["scan_id", "call_seq"])
         .select(*KEY, "status", F.col("response_body").alias("body_sample"))
     )
     return base.join(bodies, [*KEY, "status"], "left").select(

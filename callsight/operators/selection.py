@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +33,13 @@ def nearest_rank(
     all rows is therefore spread over its values, and no group is collected.
     """
     percentiles = percentiles or PERCENTILES
+    # Keys and bins are visibly non-null, so both uses of the counts share one shuffle.
+    present = [F.col(name).isNotNull() for name in (*keys, value)]
     counted = (
-        df.where(F.col(value).isNotNull())
+        df.where(reduce(and_, present))
         .groupBy(*keys, F.col(value).cast("bigint").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", _magnitude_bin(F.col("_value")))
+        .withColumn("_bin", F.coalesce(_magnitude_bin(F.col("_value")), F.lit(0).cast("bigint")))
     )
     bins = counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bin_n"), F.max("_value").alias("_max"))
     per_key = Window.partitionBy(*keys)

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import uuid
 
-from callsight.session import ensure_checkpoint_dir
+from pyspark.sql import DataFrame
 
-BROADCAST_ROWS = 500_000
+from callsight.session import checkpoint_folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write an aggregated result to the checkpoint folder once, so several branches can read it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def broadcast_if_small(settled: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a settled, narrow table when its counted rows are within the bound; else join it shuffled."""
-    return F.broadcast(settled) if settled.count() <= max_rows else settled
+    """Write an aggregated result once, so several branches can read it.
+
+    The table goes to the shared checkpoint folder: it survives lost executors, ends the lineage,
+    and has a known size, from which Spark decides whether a join broadcasts or shuffles it.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

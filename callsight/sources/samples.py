@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callsight.functions.memo import reused
+
 SEED_URL = "https://shop.example.com/"
 BEFORE, AFTER = "before", "after"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A sample table; one stored in fewer splits than there are cores is spread over them."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A sample table. ``spread`` hands one stored in fewer files than there are cores to all of them."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows.repartition(cores) if spread and len(rows.inputFiles()) < cores else rows
 
 
 def seeds(spark: SparkSession) -> DataFrame:
@@ -30,25 +32,14 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def calls_of(events: DataFrame, pages: DataFrame) -> DataFrame:
-    """The ``calls`` table of an events table (batch or stream) and its triggering pages."""
+@reused
+def _call_columns() -> list[Column]:
+    """Columns of a call over the columns of an event."""
     etype = F.col("event_type")
     k, c, uid, eid = F.col("k"), F.col("c"), F.col("user_id"), F.col("event_id")
     after = F.col("scan_id") == AFTER
     graphql = (etype == "view") & (k % 10 == 4)
     failed = (etype == "view") & (k == 13)
-    rows = events.select(
-        "event_id",
-        "user_id",
-        "event_type",
-        "ts",
-        F.regexp_extract("props", r"([0-9]+)", 1).cast("int").alias("k"),
-        F.round(F.col("value") * 100).cast("bigint").alias("c"),
-        F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), F.lit(BEFORE)).otherwise(F.lit(AFTER)).alias("scan_id"),
-    )
-    total = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
-    triggers = pages.select(F.col("page_id").alias("trigger_id"), F.col("url").alias("triggered_by"))
-    rows = rows.withColumn("trigger_id", eid % total).join(triggers, "trigger_id")
 
     noun = (
         F.when(graphql, F.lit("graphql"))
@@ -119,7 +110,7 @@ def calls_of(events: DataFrame, pages: DataFrame) -> DataFrame:
             etype == "view",
             _text('{"id":', eid, ',"state":"', state, '"', total_field, ',"lines":[{"sku":"s', k % 3, '","qty":', k % 5, "}]}"),
         )
-        .when(k == 9, F.lit("not available"))
+        .when(k == 18, F.lit("not available"))
         .otherwise(_text('{"id":', eid, ',"state":"', state, '"', total_field, "}"))
     )
     mime = F.when(failed | (etype == "click"), F.lit("")).otherwise(F.lit("application/json"))
@@ -142,7 +133,7 @@ def calls_of(events: DataFrame, pages: DataFrame) -> DataFrame:
         ("Age", F.when((eid % 2 == 0) & ~failed, k.cast("string"))),
         ("X-Content-Type-Options", F.when(etype == "signup", F.lit("nosniff"))),
     )
-    return rows.select(
+    return [
         "scan_id",
         eid.alias("call_seq"),
         method.alias("method"),
@@ -160,11 +151,29 @@ def calls_of(events: DataFrame, pages: DataFrame) -> DataFrame:
         F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts").alias("started_at"),
         c.alias("duration_ms"),
         "triggered_by",
+    ]
+
+
+def calls_of(events: DataFrame, pages: DataFrame) -> DataFrame:
+    """The ``calls`` table of an events table (batch or stream) and its triggering pages."""
+    rows = events.select(
+        "event_id",
+        "user_id",
+        "event_type",
+        "ts",
+        F.regexp_extract("props", r"([0-9]+)", 1).cast("int").alias("k"),
+        F.round(F.col("value") * 100).cast("bigint").alias("c"),
+        F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), F.lit(BEFORE)).otherwise(F.lit(AFTER)).alias("scan_id"),
     )
+    total = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
+    triggers = pages.select(F.col("page_id").alias("trigger_id"), F.col("url").alias("triggered_by"))
+    rows = rows.withColumn("trigger_id", F.col("event_id") % total).join(triggers, "trigger_id")
+
+    return rows.select(*_call_columns())
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls_of(table(spark, sf_dir, "events"), table(spark, sf_dir, "pages"))
+    return calls_of(table(spark, sf_dir, "events", spread=True), table(spark, sf_dir, "pages"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,4 +200,4 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pages with their URL and HTML."""
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return table(spark, sf_dir, "pages", spread=True).select("page_id", "url", "html")
