@@ -245,11 +245,18 @@ def redact_log_line(line: Column | str) -> Column:
 # --- rendering -----------------------------------------------------------------
 
 
+def _one_decimal(value: Column) -> Column:
+    """One decimal of the number as stored; only exact quarters lie halfway, and they round up."""
+    halfway = (value * 4 == F.floor(value * 4)) & (value * 2 != F.floor(value * 2))
+    shown = F.when(halfway, F.ceil(value * 10) / 10).otherwise(value)
+    return F.call_function("format_number", shown, F.lit("0.0"))
+
+
 def format_bytes(size: Column | str) -> Column:
     size = _col(size).cast("double")
     kb, mb = size / 1024, size / 1048576
     whole = lambda value: F.round(value, 0).cast("bigint").cast("string")
-    scaled = lambda value: F.when(value < 10, F.format_string("%.1f", value)).otherwise(whole(value))
+    scaled = lambda value: F.when(value < 10, _one_decimal(value)).otherwise(whole(value))
     return (
         F.when(size.isNull() | F.isnan(size) | (size <= 0) | (size == float("inf")), F.lit("0 B"))
         .when(size < 1024, F.concat(whole(size), F.lit(" B")))
@@ -263,7 +270,7 @@ def format_duration(millis: Column | str) -> Column:
     seconds = millis / 1000
     return (
         F.when(millis < 1000, F.concat(F.round(millis, 0).cast("bigint").cast("string"), F.lit("ms")))
-        .when(seconds < 60, F.concat(F.format_string("%.1f", seconds.cast("double")), F.lit("s")))
+        .when(seconds < 60, F.concat(_one_decimal(seconds.cast("double")), F.lit("s")))
         .otherwise(
             F.concat(
                 F.floor(seconds / 60).cast("string"),

@@ -39,7 +39,7 @@ def _tracking_domains() -> str:
 CALLS = f"""
 e AS (
   SELECT event_id, user_id, event_type, ts, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
-         CAST(round(value * 100) AS BIGINT) AS c, epoch_ms(ts) AS started_at,
+         CAST(round(value * 100) AS BIGINT) AS c, epoch_us(ts) // 1000 AS started_at,
          CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'before' ELSE 'after' END AS scan_id
   FROM events
 ),
@@ -444,3 +444,416 @@ SELECT source, format, enum_member, count(*) AS n FROM (
   UNION ALL SELECT 'stamp', 'date-time', FALSE FROM events
   UNION ALL SELECT 'money', CASE WHEN round(value * 100) < 1000 THEN 'currency' ELSE 'none' END, round(value * 100) >= 1000 FROM events
 ) GROUP BY ALL"""
+
+# --- redaction -----------------------------------------------------------------
+
+_TRIMMED = "regexp_replace(value, '^\\s+|\\s+$', '', 'g')"
+_ENTROPY = (
+    "-list_sum(list_transform(list_distinct(string_split(v, '')), lambda ch: "
+    "(length(v) - length(replace(v, ch, ''))) / length(v)::DOUBLE * log2((length(v) - length(replace(v, ch, ''))) / length(v)::DOUBLE)))"
+)
+ORACLES["sensitive_values"] = f"""
+WITH texts AS (
+  SELECT 'document' AS source, doc_id AS id, text AS value FROM documents
+  UNION ALL SELECT 'url', page_id, url FROM pages
+  UNION ALL SELECT 'customer', c_custkey, c_name FROM customer
+),
+t AS (SELECT source, id, {_TRIMMED} AS v FROM texts),
+judged AS (
+  SELECT source, id, v, v <> '' AND (regexp_matches(v, '{fv.JWT_VALUE}') OR regexp_full_match(v, '{fv.EMAIL_TEXT}') OR regexp_full_match(v, '{fv.SSN_TEXT}')
+    OR (regexp_matches(v, '{fv.PHONE_VALUE}') AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= 10 AND regexp_matches(v[2:-2], '[ ().-]'))
+    OR CASE WHEN length(v) >= 20 AND (regexp_matches(v, '{fv.BASE64_VALUE}') OR regexp_matches(v, '{fv.BASE64URL_VALUE}'))
+         AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') THEN {_ENTROPY} >= 3.5 ELSE FALSE END) AS scalar
+  FROM t
+)
+SELECT source, id, scalar, scalar OR regexp_matches(v, '{fv.EMAIL_TEXT}') OR regexp_matches(v, '\\b{fv.SSN_TEXT}\\b') AS sensitive FROM judged"""
+
+ORACLES["entropy"] = f"SELECT page_id, CAST(floor({_ENTROPY} * 1000000 + 0.5) AS BIGINT) AS micro_bits FROM (SELECT page_id, url AS v FROM pages)"
+
+ORACLES["redact_log_lines"] = f"""
+SELECT doc_id, sha256(masked) AS digest, length(masked) AS chars FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{fv.LOG_ASSIGNMENT}', '\\1={fv.REDACTED}', 'g'),
+    '{fv.LOG_BEARER}', 'Bearer {fv.REDACTED}', 'g'), '{fv.LOG_JWT}', 'JWT {fv.REDACTED}', 'g') AS masked
+  FROM documents)"""
+
+ORACLES["redact_headers"] = _with(CALLS) + f"""
+SELECT scan_id, call_seq, 'accept' AS name, '*/*' AS value FROM calls
+UNION ALL SELECT scan_id, call_seq, 'content-type', 'application/json' FROM calls WHERE request_body IS NOT NULL
+UNION ALL SELECT scan_id, call_seq, 'cookie', '{fv.REDACTED}' FROM calls WHERE cookie IS NOT NULL
+UNION ALL SELECT scan_id, call_seq, 'x-contact', '{fv.REDACTED}' FROM calls WHERE contact IS NOT NULL"""
+
+ORACLES["redact_bodies"] = _with(CALLS) + f"""
+SELECT scan_id, call_seq, regexp_replace(request_body, '"email":"[^"]*"', '"email":"{fv.REDACTED}"') AS body FROM calls WHERE request_body IS NOT NULL"""
+
+ORACLES["secret_ledger"] = _with(CALLS) + """
+SELECT DISTINCT value FROM (
+  SELECT cookie AS value FROM calls UNION ALL SELECT contact FROM calls
+  UNION ALL SELECT 'u' || user_id || '@example.com' FROM calls WHERE contains(request_body, '"email"')
+) WHERE length(value) >= 6"""
+
+LEAKS = f"""
+secrets AS (
+  SELECT DISTINCT value FROM (
+    SELECT unnest(regexp_extract_all(text, '{fv.EMAIL_TEXT}')) AS value FROM documents
+    UNION ALL SELECT unnest(regexp_extract_all(text, 'token = "([^"\\s]+)"', 1)) FROM documents)
+  WHERE length(value) >= 6
+),
+leaves AS (
+  SELECT 'documents' AS source, doc_id AS id, text AS leaf FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages
+),
+hits AS (SELECT source, id FROM leaves WHERE EXISTS (SELECT 1 FROM secrets WHERE contains(leaf, value)))
+"""
+ORACLES["leak_scan"] = _with(LEAKS) + "SELECT source, id FROM hits"
+ORACLES["leak_summary"] = _with(LEAKS) + """
+SELECT source, count(*) AS total, array_to_string(list_sort(list(source || '.' || id))[1:8], '|') AS paths FROM hits GROUP BY source"""
+
+# --- findings, resources, graph ------------------------------------------------
+
+_ANON = (
+    "category NOT IN ('analytics', 'third-party', 'authentication') "
+    f"AND regexp_matches(url_pattern, '{fv.SENSITIVE_PATH}') AND list_has_any(statuses, [200, 201]) AND NOT last_cookie"
+)
+_FINDINGS = {
+    "unauthenticated": f"""
+SELECT scan_id, 'unauthenticated' AS kind, 'high' AS severity, id AS endpoint,
+  id || ' — no Authorization or Cookie header; observed ' || array_to_string(statuses, ', ') AS detail
+FROM endpoints WHERE {_ANON}""",
+    "pii": f"""
+SELECT scan_id, 'pii' AS kind, 'medium' AS severity, method || ' ' || url_pattern AS endpoint,
+  method || ' ' || url_pattern || ' — ' || array_to_string(list_sort(list(DISTINCT path)), ', ') AS detail
+FROM shape WHERE regexp_matches(split_part(path, '.', -1), '{fv.PII_FIELD}') GROUP BY {KEY}""",
+    "verbose": f"""
+SELECT scan_id, 'verbose-error' AS kind, 'medium' AS severity, method || ' ' || url_pattern AS endpoint,
+  method || ' ' || url_pattern || ' — ' || status || ' body exposed internals ("stack trace")' AS detail
+FROM errors WHERE contains(body_sample, 'stack trace')""",
+    "headers": f"""
+SELECT s.scan_id, 'missing-security-header' AS kind, 'low' AS severity, '' AS endpoint, name || ' was not present on any captured response' AS detail
+FROM (SELECT scan_id, bool_or(nosniff) AS nosniff FROM endpoints GROUP BY scan_id) s
+CROSS JOIN (SELECT unnest([{_list(fv.SECURITY_HEADERS)}]) AS name) WHERE NOT (nosniff AND name = 'x-content-type-options')""",
+    "shape": f"""
+SELECT scan_id, 'inconsistent-shape' AS kind, 'low' AS severity, method || ' ' || url_pattern AS endpoint,
+  method || ' ' || url_pattern || ' — shape varied across samples (' || array_to_string(list(label || ats ORDER BY ord, label), '; ') || ')' AS detail
+FROM (
+  SELECT {KEY}, CASE side WHEN 'response' THEN 0 WHEN 'request' THEN 1 ELSE 2 END AS ord,
+    CASE side WHEN 'response' THEN 'response at ' WHEN 'request' THEN 'request body at ' ELSE replace(side, ':', ' ') || ' at ' END AS label,
+    array_to_string(list_sort(list(CASE path WHEN '' THEN '(root)' ELSE path END)), ', ') AS ats
+  FROM shape WHERE len(types) > 1 GROUP BY {KEY}, side
+) GROUP BY {KEY}""",
+}
+ORACLES["finding_unauthenticated"] = _with(CALLS, FIRST) + _FINDINGS["unauthenticated"]
+ORACLES["finding_pii"] = _with(*SHAPES) + _FINDINGS["pii"]
+ORACLES["finding_verbose_error"] = _with(CALLS, ERRORS) + _FINDINGS["verbose"]
+ORACLES["finding_security_headers"] = _with(CALLS, FIRST) + _FINDINGS["headers"]
+ORACLES["finding_inconsistent_shape"] = _with(*SHAPES) + _FINDINGS["shape"]
+FINDINGS = "findings AS (" + "\nUNION ALL ".join(f"SELECT * FROM ({sql})" for sql in _FINDINGS.values()) + ")"
+ORACLES["finding_summary"] = _with(*SHAPES, FIRST, ERRORS, FINDINGS) + """
+SELECT scan_id, kind, severity, count(DISTINCT nullif(endpoint, '')) AS endpoints, count(*) AS details,
+  CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS severity_rank
+FROM findings GROUP BY ALL"""
+
+_ROOT = "regexp_replace(url_pattern, '/\\{id\\}.*$', '')"
+RESOURCES = f"""
+rooted AS (SELECT *, {_ROOT} AS resource FROM endpoints),
+resources AS (
+  SELECT scan_id, resource, url_pattern AS path, list_sort(list(DISTINCT method)) AS methods FROM rooted GROUP BY ALL
+),
+roots AS (
+  SELECT scan_id, resource, bool_or(contains(url_pattern, '{{id}}')) AS crud, list_sort(list(DISTINCT category)) AS categories FROM rooted GROUP BY ALL
+)
+"""
+ORACLES["resources"] = _with(CALLS, FIRST, RESOURCES) + f"""
+SELECT scan_id, resource, array_to_string(categories, '|') AS categories, path, array_to_string(methods, '|') AS methods,
+  CASE WHEN crud THEN array_to_string(list_filter(CASE WHEN regexp_matches(path, '\\}}$') THEN [{_list(fv.ITEM_VERBS)}] ELSE [{_list(fv.COLLECTION_VERBS)}] END,
+    lambda verb: NOT list_contains(methods, verb)), '|') ELSE '' END AS missing
+FROM resources JOIN roots USING (scan_id, resource)"""
+ORACLES["resource_lookup"] = _with(CALLS) + f"SELECT DISTINCT {KEY}, {_ROOT} AS resource FROM api"
+
+GRAPH = f"""
+triggered AS (
+  SELECT scan_id, triggered_by AS url, id AS label, t.calls
+  FROM (SELECT DISTINCT {KEY}, id, triggered_by FROM api) JOIN (SELECT {KEY}, count(*) AS calls FROM api GROUP BY ALL) t USING ({KEY})
+),
+gpages AS (
+  SELECT scan_id, url, count(*) AS requests, regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://', '') AS label
+  FROM triggered GROUP BY ALL
+),
+kept_pages AS (
+  SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY requests DESC, label, url) - 1 AS n FROM gpages
+  QUALIFY n < {fv.GRAPH_MAX_PAGES}
+),
+on_kept AS (SELECT t.*, p.n AS page_n FROM triggered t JOIN kept_pages p USING (scan_id, url)),
+greq AS (SELECT scan_id, label, max(calls) AS calls FROM on_kept GROUP BY ALL),
+kept_requests AS (
+  SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY calls DESC, label) - 1 AS n FROM greq
+  QUALIFY n < {fv.GRAPH_MAX_REQUESTS}
+),
+edges AS (SELECT o.scan_id, page_n, r.n AS request_n, o.calls FROM on_kept o JOIN kept_requests r USING (scan_id, label))
+"""
+ORACLES["request_graph_pages"] = _with(CALLS, GRAPH) + "SELECT scan_id, 'p' || n AS node, label, requests FROM kept_pages"
+ORACLES["request_graph_requests"] = _with(CALLS, GRAPH) + "SELECT scan_id, 'e' || n AS node, label, calls FROM kept_requests"
+ORACLES["request_graph_edges"] = _with(CALLS, GRAPH) + (
+    "SELECT scan_id, 'p' || page_n AS page_node, 'e' || request_n AS request_node, calls FROM edges"
+)
+ORACLES["request_graph_omitted"] = _with(CALLS, GRAPH) + f"""
+SELECT scan_id, greatest(p.n - {fv.GRAPH_MAX_PAGES}, 0) AS omitted_pages, greatest(r.n - {fv.GRAPH_MAX_REQUESTS}, 0) AS omitted_requests
+FROM (SELECT scan_id, count(*) AS n FROM gpages GROUP BY ALL) p JOIN (SELECT scan_id, count(*) AS n FROM greq GROUP BY ALL) r USING (scan_id)"""
+ORACLES["request_graph_mermaid"] = _with(CALLS, GRAPH) + """
+SELECT DISTINCT scan_id, 'flowchart LR' AS line FROM kept_pages
+UNION ALL SELECT scan_id, '  p' || n || '["' || label || '"]' FROM kept_pages
+UNION ALL SELECT scan_id, '  e' || n || '["' || label || '"]' FROM kept_requests
+UNION ALL SELECT scan_id, '  p' || page_n || ' --> e' || request_n FROM edges"""
+
+# --- comparison ----------------------------------------------------------------
+
+PRESENCE = """
+bside AS (SELECT * FROM endpoints WHERE scan_id = 'before'),
+aside AS (SELECT * FROM endpoints WHERE scan_id = 'after'),
+presence AS (
+  SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' ELSE 'removed' END AS kind, a.id IS NULL AS breaking,
+    CASE WHEN b.id IS NULL THEN 'new endpoint (observed ' || array_to_string(a.statuses, ', ') || ')'
+      ELSE 'not observed in this scan (was ' || array_to_string(b.statuses, ', ') || ')' END AS text
+  FROM aside a FULL JOIN bside b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL
+)
+"""
+def _one_decimal(x: str) -> str:
+    """One decimal; exact quarters round up."""
+    return f"CASE WHEN {x} * 4 = floor({x} * 4) AND {x} * 2 <> floor({x} * 2) THEN format('{{:.1f}}', ceil({x} * 10) / 10) ELSE format('{{:.1f}}', {x}) END"
+
+
+def _bytes(n: str) -> str:
+    return (
+        f"CASE WHEN {n} < 1024 THEN {n} || ' B' WHEN {n} / 1024 < 10 THEN {_one_decimal(f'({n} / 1024)')} || ' KB' "
+        f"WHEN {n} / 1048576 < 1 THEN CAST(round({n} / 1024) AS BIGINT) || ' KB' "
+        f"WHEN {n} / 1048576 < 10 THEN {_one_decimal(f'({n} / 1048576)')} || ' MB' ELSE CAST(round({n} / 1048576) AS BIGINT) || ' MB' END"
+    )
+
+
+
+DETAILS = f"""
+pair AS (SELECT b.id, b.statuses AS bs, a.statuses AS s, b.category AS bc, a.category AS c, b.p95_bytes AS bp, a.p95_bytes AS p FROM bside b JOIN aside a ON a.id = b.id),
+d_status AS (
+  SELECT id, 'status codes ' || array_to_string(bs, ', ') || ' → ' || array_to_string(s, ', ') AS text, FALSE AS breaking FROM pair WHERE bs <> s
+  UNION ALL SELECT id, 'category ' || bc || ' → ' || c, FALSE FROM pair WHERE bc <> c
+),
+d_growth AS (
+  SELECT id, 'response payload grew sharply: p95 ' || {_bytes('bp')} || ' → ' || {_bytes('p')} || ' (+' || CAST(floor((p - bp) * 100 / bp + 0.5) AS BIGINT) || '%)' AS text, FALSE AS breaking
+  FROM pair WHERE bp > 0 AND p - bp >= {fv.GROWTH_MIN_BYTES} AND p >= bp * {fv.GROWTH_RATIO}
+),
+side_gaps AS (
+  SELECT scan_id, id, 'response' AS side, response_rank AS reason FROM gaps
+  UNION ALL SELECT scan_id, id, 'request', request_rank FROM gaps
+  UNION ALL SELECT DISTINCT scan_id, id, 'error:' || status, NULL FROM api WHERE status >= 400
+),
+side_state AS (
+  SELECT g.*, s.path IS NOT NULL AS shaped FROM side_gaps g
+  LEFT JOIN (SELECT DISTINCT scan_id, method || ' ' || url_pattern AS id, side, path FROM shape WHERE path = '') s USING (scan_id, id, side)
+),
+sides AS (
+  SELECT b.id, b.side, coalesce(a.reason, b.reason) AS reason, CASE WHEN NOT b.shaped AND NOT a.shaped THEN 'none' WHEN NOT b.shaped THEN 'new'
+    WHEN NOT a.shaped THEN 'gone' WHEN coalesce(a.reason, b.reason) IS NOT NULL THEN 'partial' ELSE 'compare' END AS verdict,
+    CASE b.side WHEN 'response' THEN 'response' WHEN 'request' THEN 'request body' ELSE replace(b.side, 'error:', 'error response ') END AS label
+  FROM (SELECT * FROM side_state WHERE scan_id = 'before') b JOIN (SELECT * FROM side_state WHERE scan_id = 'after') a USING (id, side)
+),
+d_gaps AS (
+  SELECT id, label || CASE verdict WHEN 'new' THEN ' schema newly inferred'
+    WHEN 'gone' THEN ' schema no longer inferred' || coalesce(CASE reason WHEN 0 THEN ' (no body captured)' WHEN 1 THEN ' (body was not JSON)' END, '')
+    ELSE ' not fully observed (' || CASE reason WHEN 0 THEN 'no body captured' ELSE 'body was not JSON' END || '); shape not compared' END AS text, FALSE AS breaking
+  FROM sides WHERE verdict IN ('new', 'gone', 'partial')
+),
+cmp AS (
+  SELECT id, side, label, path, b.types AS bt, a.types AS t, b.enum AS be, a.enum AS ae, b.minimum AS bmin, a.minimum AS amin, b.maximum AS bmax, a.maximum AS amax,
+    CASE path WHEN '' THEN '(root)' ELSE path END AS spot
+  FROM (SELECT *, method || ' ' || url_pattern AS id FROM shape WHERE scan_id = 'before') b
+  FULL JOIN (SELECT *, method || ' ' || url_pattern AS id FROM shape WHERE scan_id = 'after') a USING (id, side, path)
+  JOIN (SELECT * FROM sides WHERE verdict = 'compare') USING (id, side)
+),
+same AS (SELECT *, label || ' ' || spot || ': ' AS pre FROM cmp WHERE bt = t),
+fields AS (
+  SELECT * FROM cmp x WHERE (bt IS NULL OR t IS NULL) AND path <> '' AND NOT ends_with(path, '[]')
+    AND EXISTS (SELECT 1 FROM cmp p WHERE p.id = x.id AND p.side = x.side AND p.path = regexp_replace(x.path, '(^|[.])[^.]*$', '') AND p.bt IS NOT NULL AND p.t IS NOT NULL)
+),
+d_schema AS (
+  SELECT id, label || ' ' || spot || ': type ' || array_to_string(bt, '|') || ' → ' || array_to_string(t, '|') AS text, TRUE AS breaking FROM cmp WHERE bt <> t
+  UNION ALL SELECT id, pre || 'enum added ("' || array_to_string(ae, '", "') || '")', TRUE FROM same WHERE be IS NULL AND ae IS NOT NULL
+  UNION ALL SELECT id, pre || 'enum no longer inferred (was "' || array_to_string(be, '", "') || '")', FALSE FROM same WHERE ae IS NULL AND be IS NOT NULL
+  UNION ALL SELECT id, pre || 'enum values removed: "' || array_to_string(list_filter(be, lambda v: NOT list_contains(ae, v)), '", "') || '"', TRUE
+    FROM same WHERE len(list_filter(be, lambda v: NOT list_contains(ae, v))) > 0
+  UNION ALL SELECT id, pre || 'enum values added: "' || array_to_string(list_filter(ae, lambda v: NOT list_contains(be, v)), '", "') || '"', FALSE
+    FROM same WHERE len(list_filter(ae, lambda v: NOT list_contains(be, v))) > 0
+  UNION ALL SELECT id, pre || 'minimum ' || coalesce('' || bmin, 'unbounded') || ' → ' || coalesce('' || amin, 'unbounded'), bmin IS NULL OR coalesce(amin > bmin, FALSE)
+    FROM same WHERE bmin IS DISTINCT FROM amin
+  UNION ALL SELECT id, pre || 'maximum ' || coalesce('' || bmax, 'unbounded') || ' → ' || coalesce('' || amax, 'unbounded'), bmax IS NULL OR coalesce(amax < bmax, FALSE)
+    FROM same WHERE bmax IS DISTINCT FROM amax
+  UNION ALL SELECT id, label || ' field removed: ' || path, TRUE FROM fields WHERE t IS NULL
+  UNION ALL SELECT id, label || ' field added: ' || path, FALSE FROM fields WHERE bt IS NULL
+)
+"""
+# The operations of the three sample documents.
+GQL = f"""
+gops AS (
+  SELECT DISTINCT {KEY}, id, CASE WHEN k % 20 = 4 THEN 'query' WHEN aft THEN 'mutation' ELSE 'query' END AS type,
+    CASE WHEN k % 20 = 4 THEN 'Product' WHEN aft THEN 'AddItem' ELSE '' END AS name,
+    CASE WHEN k % 20 = 4 THEN 'product|reviews' WHEN aft THEN 'addItem' ELSE '__schema|viewer' END AS selections,
+    CASE WHEN k % 20 = 4 THEN 'first|id' WHEN aft THEN 'qty|sku' ELSE '' END AS arguments
+  FROM api WHERE gql
+),
+gintro AS (SELECT {KEY}, id, bool_or(k % 20 <> 4 AND NOT aft) AS introspection FROM api WHERE gql GROUP BY ALL),
+gop AS (
+  SELECT coalesce(b.id, a.id) AS id, coalesce(nullif(coalesce(a.name, b.name), ''), 'anonymous') || ' (' || coalesce(a.type, b.type) || ')' AS shown, a.id IS NULL AS gone
+  FROM (SELECT * FROM gops WHERE scan_id = 'before') b FULL JOIN (SELECT * FROM gops WHERE scan_id = 'after') a ON a.id = b.id AND a.type = b.type AND a.name = b.name
+  WHERE a.id IS NULL OR b.id IS NULL
+),
+d_graphql AS (
+  SELECT id, CASE WHEN gone THEN 'GraphQL operations not observed this time: ' ELSE 'new GraphQL operations: ' END || array_to_string(list_sort(list(shown)), ', ') AS text, gone AS breaking
+  FROM gop GROUP BY id, gone
+  UNION ALL SELECT b.id, CASE WHEN a.introspection THEN 'GraphQL introspection newly observed' ELSE 'GraphQL introspection no longer observed' END, FALSE
+    FROM (SELECT * FROM gintro WHERE scan_id = 'before') b JOIN (SELECT * FROM gintro WHERE scan_id = 'after') a ON a.id = b.id WHERE a.introspection <> b.introspection
+)
+"""
+CHANGES = """
+details AS (SELECT * FROM d_status UNION ALL SELECT * FROM d_growth UNION ALL SELECT * FROM d_gaps UNION ALL SELECT * FROM d_schema UNION ALL SELECT * FROM d_graphql),
+changes AS (
+  SELECT id, kind, breaking, 1 AS details FROM presence
+  UNION ALL SELECT id, 'changed', bool_or(breaking), count(*) FROM details GROUP BY id
+)
+"""
+_COMPARED = [*SHAPES, FIRST, PRESENCE, DETAILS]
+ORACLES["diff_endpoints"] = _with(CALLS, FIRST, PRESENCE) + "SELECT id, kind, breaking, text FROM presence"
+for _name, _table in (("diff_statuses", "d_status"), ("diff_growth", "d_growth"), ("diff_schema", "d_schema"), ("diff_schema_gaps", "d_gaps")):
+    ORACLES[_name] = _with(*_COMPARED) + f"SELECT id, text, breaking FROM {_table}"
+ORACLES["diff_graphql"] = _with(CALLS, GQL) + "SELECT id, text, breaking FROM d_graphql"
+# All endpoints are called with the same parameters, and vendors see the same keys in both scans.
+ORACLES["diff_params"] = _with(CALLS) + """
+SELECT id, 'new query parameters: page, token' AS text, FALSE AS breaking FROM api GROUP BY id HAVING max(call_seq) < 0"""
+ORACLES["diff_vendors"] = _with(CALLS) + f"""
+SELECT id, CASE WHEN count(DISTINCT scan_id) FILTER (host = 'api.segment.io') = 1 AND max(scan_id) FILTER (host = 'api.segment.io') = 'before'
+  THEN 'vendor Segment → unattributed' ELSE 'vendor unattributed → Segment' END AS text, FALSE AS breaking
+FROM api GROUP BY id HAVING count(DISTINCT scan_id) = 2 AND count(DISTINCT scan_id) FILTER (host = 'api.segment.io') = 1"""
+ORACLES["change_counts"] = _with(*_COMPARED, GQL, CHANGES) + """
+SELECT count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed, count(*) FILTER (kind = 'changed') AS changed,
+  count(*) FILTER (breaking) AS breaking FROM changes"""
+ORACLES["change_summary"] = _with(*_COMPARED, GQL, CHANGES) + f"""
+SELECT id, CASE kind WHEN 'added' THEN '+' WHEN 'removed' THEN '-' ELSE '~' END || ' ' || id || CASE WHEN breaking THEN ' [breaking]' ELSE '' END AS line, details,
+  (SELECT greatest(count(*) - {fv.SUMMARY_ITEMS}, 0) FROM changes) AS more
+FROM changes ORDER BY id LIMIT {fv.SUMMARY_ITEMS}"""
+ORACLES["change_gate"] = _with(*_COMPARED, GQL, CHANGES) + "SELECT count(*) > 0 AS has_changes, bool_or(breaking) AS breaking FROM changes"
+ORACLES["changed_rows"] = _with(*_COMPARED, GQL, CHANGES) + """
+SELECT id, category, coalesce(kind, 'unchanged') AS change, coalesce(breaking, FALSE) AS change_breaking
+FROM (SELECT id, category FROM aside UNION ALL SELECT id, '__removed' FROM changes WHERE kind = 'removed') LEFT JOIN changes USING (id)"""
+
+# --- views ---------------------------------------------------------------------
+
+ORACLES["slowest_endpoints"] = _with(CALLS, FIRST) + """
+SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY p95_ms DESC, category, id) AS rank, id, p95_ms FROM endpoints QUALIFY rank <= 10"""
+ORACLES["largest_responses"] = _with(CALLS, FIRST) + f"""
+SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY p95_bytes DESC, category, id) AS rank, id, p95_bytes, {_bytes('p95_bytes')} AS shown
+FROM endpoints WHERE p95_bytes IS NOT NULL QUALIFY rank <= 10"""
+ORACLES["category_summary"] = _with(CALLS, FIRST) + f"""
+SELECT scan_id, category, count(*) AS endpoints, CAST(sum(calls) AS BIGINT) AS calls, list_position([{_list(fv.CATEGORIES)}], category) AS position
+FROM endpoints GROUP BY ALL"""
+ORACLES["auth_flows"] = _with(CALLS, FIRST) + """
+SELECT scan_id, id, array_to_string(statuses, ', ') AS statuses, calls FROM endpoints WHERE category = 'authentication'"""
+ORACLES["third_party_calls"] = _with(CALLS, FIRST) + "SELECT scan_id, id, '—' AS vendor, calls FROM endpoints WHERE category = 'third-party'"
+ORACLES["endpoint_search"] = _with(CALLS) + """
+SELECT DISTINCT 'segment' AS query, scan_id, id FROM api WHERE host = 'api.segment.io'
+UNION ALL SELECT DISTINCT 'post /api', scan_id, id FROM api WHERE method = 'POST'"""
+ORACLES["endpoint_filters"] = _with(CALLS, FIRST) + """
+SELECT 'status 500' AS filter, scan_id, id FROM endpoints WHERE list_contains(statuses, 500)
+UNION ALL SELECT 'post mutations', scan_id, id FROM endpoints WHERE category = 'mutations' AND method = 'POST'"""
+ORACLES["group_counts"] = _with(CALLS, FIRST) + f"""
+SELECT 'category' AS by, scan_id, category AS "group", count(*) AS rows, arg_min(id, (category, id)) AS first_id FROM endpoints GROUP BY scan_id, category
+UNION ALL SELECT 'resource', scan_id, {_ROOT}, count(*), arg_min(id, (category, id)) FROM endpoints GROUP BY scan_id, {_ROOT}"""
+ORACLES["signals"] = _with(CALLS, FIRST) + f"""
+SELECT scan_id, category, heuristic, method, json FROM endpoints JOIN (SELECT {KEY}, bool_or(mime_type <> '') AS json FROM api GROUP BY ALL) USING ({KEY})"""
+ORACLES["signal_boundary"] = """
+SELECT event_id, unnest(['$: unexpected field "props"', '$.props: must be a scalar, not a nested value', '$.signals[0]: unexpected field "host"']) AS problem FROM events"""
+ORACLES["share_view"] = _with(CALLS, FIRST) + """
+SELECT scan_id, method, url_pattern, category, array_to_string(statuses, ', ') AS statuses, calls,
+  CASE WHEN contains(url_pattern, '{id2}') THEN 'id|id2' WHEN contains(url_pattern, '{id}') THEN 'id' ELSE '' END AS path_params
+FROM endpoints"""
+ORACLES["has_contract"] = _with(CALLS) + "SELECT DISTINCT scan_id, id FROM api"
+ORACLES["rendered_sizes"] = f"""
+SELECT doc_id, {_bytes('(n_chars * 97)')} AS bytes,
+  CASE WHEN n_chars * 13 < 1000 THEN (n_chars * 13) || 'ms' WHEN n_chars * 13 < 60000 THEN {_one_decimal('(n_chars * 13 / 1000)')} || 's'
+    ELSE (n_chars * 13 // 60000) || 'm ' || CAST(round(n_chars * 13 / 1000 - (n_chars * 13 // 60000) * 60) AS BIGINT) || 's' END AS duration,
+  CASE WHEN length(text) <= 40 THEN text ELSE text[1:39] || '…' END AS short
+FROM documents"""
+
+# --- stored pages --------------------------------------------------------------
+
+_ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
+ORACLES["robots_rules"] = f"""
+SELECT DISTINCT {_ORIGIN} AS origin, unnest([1, 2])::BIGINT AS group_id, unnest(['*', 'probe']) AS agents, unnest(['-/en/|+/en/1|-/th', '-/de/']) AS rules FROM pages"""
+ORACLES["robots_settings"] = f"SELECT DISTINCT {_ORIGIN} AS origin, 2::BIGINT AS crawl_delay_seconds, '/map.xml' AS sitemaps FROM pages"
+
+
+def _allowed(url: str) -> str:
+    """The rules for every agent; other sites than the stored ones have none."""
+    path = f"coalesce(nullif(regexp_extract({url}, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/')"
+    return f"(starts_with({path}, '/en/1') OR NOT (starts_with({path}, '/en/') OR starts_with({path}, '/th')))"
+
+
+ORACLES["robots_filter"] = _with(LINKS) + f"""
+SELECT url, '*' AS agent, {_allowed('url')} AS allowed FROM (SELECT link AS url FROM links UNION SELECT url FROM pages)
+UNION ALL SELECT url, 'probe', NOT starts_with({_PATH}, '/de/') FROM (SELECT link AS url FROM links UNION SELECT url FROM pages)"""
+
+_SITE = "regexp_extract({0}, '^[a-z]+://(?:www[.])?([^/?#]+)', 1)"
+ORACLES["reachable_pages"] = "WITH RECURSIVE " + LINKS.strip() + f""",
+walk AS (
+  SELECT '' || page_id AS scan_id, url AS seed, {_normalized('url')} AS url, 0 AS depth FROM pages
+  UNION
+  SELECT scan_id, seed, target, depth + 1 FROM walk JOIN link_table ON source = walk.url
+  WHERE depth < 2 AND {_SITE.format('target')} = {_SITE.format('seed')} AND NOT regexp_matches(target, '^[a-z]+://[^/]+/En(/|[?]|$)')
+)
+SELECT scan_id, url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY scan_id, url"""
+
+CRAWL = LINKS.strip() + f""",
+start AS (SELECT '' || page_id AS scan_id, {_normalized('url')} AS url FROM pages),
+found AS (
+  SELECT scan_id, url, 0 AS depth, -1 AS pos FROM start WHERE {_allowed('url')}
+  UNION ALL SELECT s.scan_id, l.target, 1, l.pos FROM start s JOIN link_table l ON l.source = s.url
+    WHERE {_allowed('s.url')} AND {_allowed('l.target')} AND l.target <> s.url
+)
+"""
+ORACLES["crawl_limited"] = "WITH " + CRAWL + """
+SELECT scan_id, url, CAST(depth AS BIGINT) AS depth FROM found QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY depth, pos, url) <= 4"""
+ORACLES["crawl_blocked"] = "WITH " + CRAWL + f"""
+SELECT scan_id, url FROM start WHERE NOT {_allowed('url')}
+UNION SELECT s.scan_id, l.target FROM start s JOIN link_table l ON l.source = s.url WHERE {_allowed('s.url')} AND NOT {_allowed('l.target')} AND l.target <> s.url"""
+ORACLES["unvisited_links"] = _with(LINKS) + f"""
+SELECT DISTINCT target AS url FROM link_table WHERE target NOT IN (SELECT {_normalized('url')} FROM pages)"""
+
+TECH = """
+seen AS (
+  SELECT CASE WHEN page_id % 2 = 0 THEN 'before' ELSE 'after' END AS scan_id, page_id, html FROM pages
+),
+tech AS (
+  SELECT scan_id, 'Express' AS name, 'framework' AS category, page_id, CASE WHEN page_id % 5 = 0 THEN 'x-powered-by: Express' ELSE 'cookie: connect.sid' END AS evidence
+    FROM seen WHERE page_id % 5 = 0 OR page_id % 7 = 0
+  UNION ALL SELECT scan_id, CASE WHEN page_id % 3 = 0 THEN 'nginx' ELSE 'Apache' END, 'web-server', page_id, CASE WHEN page_id % 3 = 0 THEN 'server: nginx' ELSE 'server: Apache' END FROM seen
+  UNION ALL SELECT scan_id, 'Segment', 'analytics', page_id, 'script: segment' FROM seen WHERE page_id % 11 = 0
+  UNION ALL SELECT scan_id, 'WordPress', 'cms', page_id, 'html: wp-content' FROM seen WHERE contains(html, 'wp-content')
+)
+"""
+ORACLES["technologies"] = _with(TECH) + """
+SELECT scan_id, name, category, arg_min(evidence, page_id) AS evidence FROM tech GROUP BY ALL"""
+
+ORACLES["scorecard"] = _with(*SHAPES, FIRST, ERRORS, FINDINGS, RESOURCES, TECH) + """
+SELECT scan_id, (SELECT count(*) FROM endpoints x WHERE x.scan_id = s.scan_id) AS endpoints,
+  (SELECT count(DISTINCT resource) FROM resources x WHERE x.scan_id = s.scan_id) AS resources,
+  (SELECT count(DISTINCT name) FROM tech x WHERE x.scan_id = s.scan_id) AS technologies,
+  (SELECT count(DISTINCT kind) FROM findings x WHERE x.scan_id = s.scan_id) AS findings,
+  (SELECT count(DISTINCT kind) FROM findings x WHERE x.scan_id = s.scan_id AND severity = 'high') AS high,
+  (SELECT count(DISTINCT kind) FROM findings x WHERE x.scan_id = s.scan_id AND severity = 'medium') AS medium,
+  (SELECT count(DISTINCT kind) FROM findings x WHERE x.scan_id = s.scan_id AND severity = 'low') AS low,
+  (SELECT count(DISTINCT triggered_by) FROM api x WHERE x.scan_id = s.scan_id) AS pages
+FROM (SELECT DISTINCT scan_id FROM api) s"""
+
+ORACLES["row_digests"] = "SELECT '' || doc_id AS file, sha256(text) AS digest FROM documents"
+ORACLES["verify_manifest"] = """
+SELECT '' || doc_id AS file, CASE WHEN lang = 'fr' THEN 'missing' WHEN doc_id % 5 = 1 THEN 'mismatch' ELSE 'ok' END AS status FROM documents"""
+
+# --- GraphQL -------------------------------------------------------------------
+
+ORACLES["graphql_operations"] = _with(CALLS, GQL) + f"SELECT {KEY}, type, name, selections, arguments FROM gops"
+ORACLES["graphql_introspection"] = _with(CALLS, GQL) + f"SELECT {KEY}, introspection FROM gintro"
