@@ -857,3 +857,17 @@ SELECT '' || doc_id AS file, CASE WHEN lang = 'fr' THEN 'missing' WHEN doc_id %
 
 ORACLES["graphql_operations"] = _with(CALLS, GQL) + f"SELECT {KEY}, type, name, selections, arguments FROM gops"
 ORACLES["graphql_introspection"] = _with(CALLS, GQL) + f"SELECT {KEY}, introspection FROM gintro"
+
+# --- streams -------------------------------------------------------------------
+
+_LIVE = f"""
+SELECT {KEY}, count(*) AS count, count(*) FILTER (status = 0) AS failed, count(*) FILTER (status >= 400) AS errors,
+  min(call_seq) AS first_seq, max(call_seq) AS last_seq, CAST(sum(c) AS BIGINT) AS duration_ms
+FROM api GROUP BY ALL"""
+ORACLES["stream_endpoints"] = _with(CALLS) + _LIVE
+ORACLES["stream_progress"] = _with(CALLS) + f"""
+SELECT '{{"event":"done","scan_id":"' || scan_id || '","calls":' || sum(count) || ',"endpoints":' || count(*) || '}}' AS value
+FROM ({_LIVE}) GROUP BY scan_id"""
+ORACLES["stream_capped_frames"] = "SELECT conv_id AS conn_seq, least(count(*), 5) AS kept FROM conversations GROUP BY conv_id"
+ORACLES["stream_pairs"] = """
+SELECT event_id AS request_id, CAST(round(value * 100) AS BIGINT) AS duration_ms FROM events WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 2 = 0"""

@@ -5,6 +5,7 @@ Results are flat: lists are joined to text, so they compare with any engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +24,10 @@ from callsight.operators.endpoints import KEY
 from callsight.operators.resources import group_resources, resource_of
 from callsight.operators.sizing import settle
 from callsight.plans import report
+from callsight.session import checkpoint_folder
 from callsight.sources import samples
 from callsight.sources.samples import AFTER, BEFORE, table
+from callsight.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -881,6 +884,63 @@ def graphql_introspection(spark: SparkSession, sf: str) -> DataFrame:
     return _report(spark, sf).introspection
 
 
+# --- streams -------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A sample table as a stream of files."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _drained(rows: DataFrame, mode: str = "append") -> str:
+    """Run a stream over all there is and return the folder of its batches."""
+    folder = f"{checkpoint_folder(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
+    live.start_batches(rows, f"{folder}/out", f"{folder}/state", mode).awaitTermination()
+    return f"{folder}/out"
+
+
+@query
+def stream_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    calls = samples.calls_of(_stream(spark, sf, "events"), table(spark, sf, "pages"))
+    path = _drained(live.live_endpoints(report.keyed(calls)), "update")
+    return live.read_live_endpoints(spark, path)
+
+
+@query
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """The progress lines after the last micro-batch, from the live endpoint list."""
+    calls = samples.calls_of(_stream(spark, sf, "events"), table(spark, sf, "pages"))
+    found = live.read_live_endpoints(spark, _drained(live.live_endpoints(report.keyed(calls)), "update"))
+    totals = found.groupBy("scan_id").agg(F.sum("count").alias("calls"), F.count(F.lit(1)).alias("endpoints"))
+    return live.progress_lines(totals, "done")
+
+
+@query
+def stream_capped_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames kept per connection by the live limit."""
+    kept = live.capped_stream(samples.frames_of(_stream(spark, sf, "conversations")), limit=5)
+    rows = spark.read.parquet(_drained(kept))
+    return rows.groupBy("conn_seq").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query
+def stream_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event asked at its time and answered after its duration; events with an odd property never are."""
+    events = _stream(spark, sf, "events").select(
+        F.col("event_id").alias("request_id"),
+        F.col("ts").cast("timestamp").alias("asked"),
+        F.round(F.col("value") * 100).cast("bigint").alias("wait_ms"),
+        (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 2).alias("odd"),
+    )
+    requests = events.select("request_id", F.col("asked").alias("requested_at"))
+    answered_at = F.timestamp_micros(F.unix_micros("asked") + F.col("wait_ms") * 1000)
+    responses = events.where(F.col("odd") == 0).select("request_id", answered_at.alias("answered_at"))
+    rows = spark.read.parquet(_drained(live.paired_calls(requests, responses)))
+    duration = F.expr("div(unix_micros(answered_at) - unix_micros(requested_at), 1000)")
+    return rows.select("request_id", duration.cast("bigint").alias("duration_ms"))
+
+
 # --- OpenAPI -------------------------------------------------------------------
 
 

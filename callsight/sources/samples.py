@@ -176,8 +176,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls_of(table(spark, sf_dir, "events", spread=True), table(spark, sf_dir, "pages"))
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as socket frames; their payload is a small JSON message."""
+def frames_of(conversations: DataFrame) -> DataFrame:
+    """Conversation turns (batch or stream) as socket frames; their payload is a small JSON message."""
     role = F.col("role")
     size = F.length("text")
     payload = (
@@ -185,7 +185,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("turn") % 5 == 4, _text('{"type":"note","turn":', F.col("turn"), ',"chars":"', size, '"}'))
         .otherwise(_text('{"type":"message","turn":', F.col("turn"), ',"chars":', size, "}"))
     )
-    return table(spark, sf_dir, "conversations").select(
+    return conversations.select(
         F.lit(AFTER).alias("scan_id"),
         F.col("conv_id").alias("conn_seq"),
         F.col("turn").cast("bigint").alias("frame_seq"),
@@ -198,6 +198,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames_of(table(spark, sf_dir, "conversations"))
+
+
 def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pages with their URL and HTML."""
     return table(spark, sf_dir, "pages", spread=True).select("page_id", "url", "html")

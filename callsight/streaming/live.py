@@ -30,13 +30,18 @@ def live_endpoints(keyed: DataFrame) -> DataFrame:
     )
 
 
-def start_live_endpoints(live: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep the changed endpoints of every micro-batch in ``path``; a repeated batch replaces itself."""
+def start_batches(
+    rows: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = True
+) -> StreamingQuery:
+    """Keep the rows of every micro-batch in ``path``; a repeated batch replaces itself.
 
-    def keep(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    ``checkpoint`` holds offsets and state, so a restarted query goes on where it stopped.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = live.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep)
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
