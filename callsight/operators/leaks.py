@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
@@ -70,24 +70,16 @@ def leaks_by_anchor(leaves: DataFrame, ids: list[str], text: str, secrets: DataF
     )
     classes = [row["cls"] for row in sized.select("cls").distinct().collect()]  # powers of two: a few dozen at most
     length = F.length(text)
-    grams = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    length >= cls,
-                    F.transform(
-                        F.sequence(F.lit(1), length - F.lit(cls) + 1),
-                        lambda at, cls=cls: F.struct(
-                            F.lit(cls).alias("cls"),
-                            at.alias("at"),
-                            F.xxhash64(F.substr(F.col(text), at, F.lit(cls))).alias("anchor"),
-                        ),
-                    ),
-                ).otherwise(F.array().cast("array<struct<cls:int,at:int,anchor:bigint>>"))
-                for cls in classes
-            ]
+
+    def grams_of(cls: int) -> Column:
+        gram = lambda at: F.struct(
+            F.lit(cls).alias("cls"), at.alias("at"), F.xxhash64(F.substr(F.col(text), at, F.lit(cls))).alias("anchor")
         )
-    )
+        positions = F.sequence(F.lit(1), length - F.lit(cls) + 1)
+        none = F.array().cast("array<struct<cls:int,at:int,anchor:bigint>>")
+        return F.when(length >= cls, F.transform(positions, gram)).otherwise(none)
+
+    grams = F.flatten(F.array(*[grams_of(cls) for cls in classes]))
     candidates = (
         leaves.where(length >= fv.LEDGER_MIN_LENGTH)
         .select(*ids, F.explode(grams).alias("g"))
