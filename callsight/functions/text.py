@@ -43,8 +43,9 @@ def cache_info(headers: Column | str) -> Column:
         "vary": header_value(headers, "vary"),
         "status": F.coalesce(header_value(headers, "x-cache"), header_value(headers, "cf-cache-status")),
     }
-    said = reduce(lambda left, right: left | right, [value.isNotNull() for value in fields.values()])
-    return F.when(said, F.struct(*[value.alias(name) for name, value in fields.items()]))
+    found = F.struct(*[value.alias(name) for name, value in fields.items()])
+    said = lambda info: reduce(lambda left, right: left | right, [info[name].isNotNull() for name in fields])
+    return F.get(F.filter(F.array(found), said), F.lit(0))
 
 
 def _numeric_text(text: Column) -> Column:

@@ -42,6 +42,15 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def present(value: Column) -> Column:
+    """Generator of the value, dropping rows where it is null.
+
+    Unlike a filter on a new column, which Spark evaluates again below the projection, this
+    computes an expensive value once.
+    """
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def _percent_encode(text: Column, unsafe: str) -> Column:
     encoded = F.array_join(
         F.transform(

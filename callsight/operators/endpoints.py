@@ -27,12 +27,15 @@ def _key_columns() -> dict[str, Column]:
     parts, page = F.col("_url"), F.col("_page")
     failed = F.coalesce("status", F.lit(0)) == 0
     return {
-        "method": F.upper("method"),
+        # Key columns end in a literal, so they are visibly never null: joins on them add no
+        # null filter, which would parse every URL once more.
+        "scan_id": F.coalesce("scan_id", F.lit("")),
+        "method": F.coalesce(F.upper("method"), F.lit("")),
         "url": normalize_url("url", parts),
         "host": parts["host"],
         "path": parts["path"],
         "origin": url_origin("url", parts),
-        "url_pattern": F.coalesce(path_pattern(parts["path"]), F.col("url")),
+        "url_pattern": F.coalesce(path_pattern(parts["path"]), F.col("url"), F.lit("")),
         "mime_type": F.trim(F.substring_index(F.coalesce("mime_type", F.lit("")), ";", 1)),
         "status": F.coalesce("status", F.lit(0)),
         # A failed call keeps its page as recorded.

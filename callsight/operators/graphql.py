@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
 from callsight.functions.graphql import graphql_request
+from callsight.functions.urls import present
 from callsight.operators.endpoints import KEY
 
 # strings, comments, spread, names, single signs
@@ -24,8 +25,7 @@ _NAME = r"^[_A-Za-z]"
 def graphql_calls(keyed: DataFrame) -> DataFrame:
     """Calls that carry GraphQL with their document and operation name."""
     return (
-        keyed.withColumn("_g", graphql_request())
-        .where(F.col("_g").isNotNull())
+        keyed.select(*KEY, "call_seq", present(graphql_request()).alias("_g"))
         .select(*KEY, "call_seq", F.col("_g.query").alias("query"), F.col("_g.operation_name").alias("operation_name"))
     )
 

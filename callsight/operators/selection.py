@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callsight.operators.sizing import settle
+
 PERCENTILES = {"p50": 0.5, "p95": 0.95}
 
 
@@ -30,16 +29,15 @@ def nearest_rank(
 
     Values are first counted per (key, value). Bin totals then tell which bin holds each
     rank, and only the counted values of that bin are ranked. A key that holds a third of
-    all rows is therefore spread over its values, and no group is collected.
+    all rows is therefore spread over its values, and no group is collected. The counts are used
+    twice, so they are settled; the input is read once.
     """
     percentiles = percentiles or PERCENTILES
-    # Keys and bins are visibly non-null, so both uses of the counts share one shuffle.
-    present = [F.col(name).isNotNull() for name in (*keys, value)]
-    counted = (
-        df.where(reduce(and_, present))
-        .groupBy(*keys, F.col(value).cast("bigint").alias("_value"))
+    counted = settle(
+        df.groupBy(*keys, F.col(value).cast("bigint").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", F.coalesce(_magnitude_bin(F.col("_value")), F.lit(0).cast("bigint")))
+        .where(F.col("_value").isNotNull())
+        .withColumn("_bin", _magnitude_bin(F.col("_value")))
     )
     bins = counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bin_n"), F.max("_value").alias("_max"))
     per_key = Window.partitionBy(*keys)

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
+from callsight.functions.memo import reused
 from callsight.functions.text import gap_name, gap_rank, is_enum_member, json_container, string_format
 from callsight.functions.urls import bind
+from callsight.operators.sizing import settle
 
 ELEMENT = "[]"
 
@@ -20,17 +22,17 @@ _NODE = "struct<path:array<string>,at:string,type:string,shape:boolean,value:var
 
 def _json_type(value: Column) -> Column:
     """``null array object string integer number boolean`` of a variant."""
-    name = F.schema_of_variant(value)
     number = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(name == "VOID", F.lit("null"))
+    return bind(
+        F.schema_of_variant(value),
+        lambda name: F.when(name == "BIGINT", F.lit("integer"))
+        .when(name == "STRING", F.lit("string"))
+        .when(name == "VOID", F.lit("null"))
         .when(name.startswith("OBJECT"), F.lit("object"))
         .when(name.startswith("ARRAY"), F.lit("array"))
-        .when(name == "STRING", F.lit("string"))
         .when(name == "BOOLEAN", F.lit("boolean"))
-        .when(name == "BIGINT", F.lit("integer"))
         .when(number == F.floor(number), F.lit("integer"))
-        .otherwise(F.lit("number"))
+        .otherwise(F.lit("number")),
     )
 
 
@@ -117,50 +119,53 @@ def _array_children(node: Column) -> Column:
     return bind(items, children)
 
 
+def _levels(root: Column, body: Column) -> Column:
+    """All nodes of one parsed body, the root first, down to the depth limit."""
+    start = F.array(_node(F.array().cast("array<string>"), F.lit("$"), _json_type(root), F.lit(True), root))
+
+    def below(level: Column) -> Column:
+        containers = F.filter(level, lambda n: n["type"].isin("object", "array"))
+        return F.flatten(
+            F.transform(
+                containers,
+                lambda n: F.when(n["type"] == "object", _object_children(n, body)).otherwise(_array_children(n)),
+            )
+        )
+
+    def collect(level: Column, depth: int) -> Column:
+        if depth == fv.MAX_DEPTH:
+            return level
+        return bind(level, lambda here: F.concat(here, collect(below(here), depth + 1)))
+
+    return F.transform(
+        collect(start, 0),
+        lambda n: F.struct(
+            n["path"].alias("path"),
+            n["type"].alias("type"),
+            n["shape"].alias("shape"),
+            F.when(n["type"] == "string", F.try_variant_get(n["value"], "$", "string")).alias("text"),
+            F.when(n["type"].isin("integer", "number"), F.try_variant_get(n["value"], "$", "double")).alias("number"),
+        ),
+    )
+
+
+@reused
+def _node_array(body: str) -> Column:
+    parsed = json_container(body)
+    return bind(parsed, lambda root: F.when(root.isNotNull(), _levels(root, F.col(body))))
+
+
 def body_nodes(bodies: DataFrame, keys: list[str], body: str) -> DataFrame:
     """One row per node of every JSON body, down to the depth limit.
 
     ``shape`` marks the nodes a shape is read from: the first fifty fields of an object and the
-    first non-null element of an array. The other nodes only contribute values. Each level
-    expands the containers the level before produced, so one pass over the input suffices and
-    an intermediate row holds one container at most.
+    first non-null element of an array. The other nodes only contribute values. A body is parsed
+    once; the nodes of one body, which the payload limit bounds, are one array before they
+    become rows.
     """
-    rows = (
-        bodies.where(F.col(body).isNotNull())
-        .select(*keys, F.col(body).alias("_body"), json_container(body).alias("_root"))
-        .where(F.col("_root").isNotNull())
-        .select(
-            *keys,
-            "_body",
-            _node(
-                F.array().cast("array<string>"), F.lit("$"), _json_type(F.col("_root")), F.lit(True), F.col("_root")
-            ).alias("_n"),
-        )
-    )
-    for depth in range(fv.MAX_DEPTH):
-        node = F.col("_n")
-        open_here = (F.size(node["path"]) == depth) & node["value"].isNotNull()
-        myself = F.array(
-            _node(node["path"], node["at"], node["type"], node["shape"], F.lit(None).cast("variant"))
-        )
-        expanded = (
-            F.when(open_here & (node["type"] == "object"), F.concat(myself, _object_children(node, F.col("_body"))))
-            .when(open_here & (node["type"] == "array"), F.concat(myself, _array_children(node)))
-            .otherwise(F.array(node))
-        )
-        rows = rows.select(*keys, "_body", F.explode(expanded).alias("_n"))
-    text = F.when(F.col("_n.type") == "string", F.try_variant_get(F.col("_n.value"), "$", "string"))
-    number = F.when(
-        F.col("_n.type").isin("integer", "number"), F.try_variant_get(F.col("_n.value"), "$", "double")
-    )
-    return rows.select(
-        *keys,
-        F.col("_n.path").alias("path"),
-        F.col("_n.type").alias("type"),
-        F.col("_n.shape").alias("shape"),
-        text.alias("text"),
-        F.when(F.abs(number) < float("inf"), number).alias("number"),
-    ).withColumn("format", string_format("text"))
+    nodes = bodies.select(*keys, F.explode(_node_array(body)).alias("_n")).select(*keys, "_n.*")
+    finite = F.when(F.abs("number") < float("inf"), F.col("number"))
+    return nodes.withColumns({"number": finite, "format": string_format("text")})
 
 
 TYPE_COUNTS = ["object", "array", "string", "integer", "number", "boolean", "null", "any"]
@@ -225,7 +230,7 @@ def enum_values(observed: DataFrame, keys: list[str]) -> DataFrame:
 
 def schema_paths(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """The merged shape: types, format, required, enum and bounds of every path."""
-    observed = observed_values(nodes, keys)
+    observed = settle(observed_values(nodes, keys))
     return shape_of(path_counts(observed, keys), enum_values(observed, keys), keys)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
-from callsight.functions.urls import link_targets, normalize_url, resolve_link, serialize_url, url_parts
+from callsight.functions.urls import link_targets, normalize_url, present, resolve_link, serialize_url, url_parts
 from callsight.operators.scope import in_scope
 from callsight.operators.sizing import settle
 
@@ -17,8 +17,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
         pages.select("url", F.posexplode(link_targets("html")).alias("pos", "href"))
         .withColumn("_base", url_parts("url"))
         .withColumn("_link", resolve_link("href", "url", F.col("_base")))
-        .select("url", "pos", "href", serialize_url("_link").alias("link"))
-        .where(F.col("link").isNotNull())
+        .select("url", "pos", "href", present(serialize_url("_link")).alias("link"))
     )
 
 
