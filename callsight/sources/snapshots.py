@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from callsight import fixed_values as fv
 from callsight import schemas
@@ -46,8 +47,6 @@ def check_snapshot(documents: DataFrame) -> DataFrame:
 
 def _as_fields() -> str:
     """The snapshot schema as struct fields."""
-    from pyspark.sql.types import StructType
-
     return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in StructType.fromDDL(schemas.SNAPSHOT).fields)
 
 
@@ -84,7 +83,7 @@ def document_shapes(rows: DataFrame, keys: list[str], schema: str) -> DataFrame:
         )
         return F.concat(fields, elements)
 
-    level = rows.where(F.col(schema).isNotNull()).select(
+    level = rows.where(F.col(schema).isNotNull() & ~F.is_variant_null(schema)).select(
         *keys, F.struct(F.array().cast("array<string>").alias("path"), F.col(schema).alias("node"), F.lit(False).alias("required")).alias("i")
     )
     found = level
