@@ -114,16 +114,20 @@ def dedupe_pages(pages: DataFrame) -> DataFrame:
     return pages.join(first, ["scan_id", "normalized_url", "page_seq"], "left_semi")
 
 
+# A minute of one origin's requests is ordered at a time.
+PACING_BUCKET_MS = 60_000
+
+
 def request_pacing(starts: DataFrame, delay_ms: int) -> DataFrame:
     """Per origin: gap to the previous start, whether it was too short, and the earliest paced start.
 
     ``starts`` has ``origin, started_at, call_seq``. The paced start of the i-th request is
     ``i*d + max(t_j - j*d)`` over the requests up to it.
     """
-    gaps = with_previous(starts, ["origin"], ["started_at", "call_seq"], "previous_at", width=3_600_000)
-    nth = with_running(gaps, ["origin"], ["started_at", "call_seq"], {"_i": ("sum", F.lit(1))}, width=3_600_000)
+    gaps = with_previous(starts, ["origin"], ["started_at", "call_seq"], "previous_at", width=PACING_BUCKET_MS)
+    nth = with_running(gaps, ["origin"], ["started_at", "call_seq"], {"_i": ("sum", F.lit(1))}, width=PACING_BUCKET_MS)
     slack = F.col("started_at") - F.col("_i") * delay_ms
-    paced = with_running(nth, ["origin"], ["started_at", "call_seq"], {"_slack": ("max", slack)}, width=3_600_000)
+    paced = with_running(nth, ["origin"], ["started_at", "call_seq"], {"_slack": ("max", slack)}, width=PACING_BUCKET_MS)
     return paced.select(
         "origin",
         "call_seq",

@@ -83,13 +83,12 @@ def in_scope(rows: DataFrame, scope: DataFrame, url: str = "url") -> DataFrame:
 
 def redirect_guard(landings: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split page landings (``url`` asked for, ``landed_url`` reached) into kept and refused ones."""
-    keyed = landings.withColumn("_row", F.xxhash64("scan_id", "url", "landed_url"))
-    kept = in_scope(keyed, scope, "landed_url")
-    refused = keyed.join(kept.select("scan_id", "url", "landed_url"), ["scan_id", "url", "landed_url"], "left_anti")
+    kept = in_scope(landings, scope, "landed_url")
+    refused = landings.join(kept.select("scan_id", "url", "landed_url"), ["scan_id", "url", "landed_url"], "left_anti")
     host_ok = allowed_hosts(refused, scope, "landed_url").select("scan_id", "url", "landed_url", F.lit(True).alias("_ok"))
     reason = F.when(F.col("_ok"), F.lit("path excluded")).otherwise(F.lit("host out of scope"))
     with_reason = refused.join(host_ok, ["scan_id", "url", "landed_url"], "left").withColumn("reason", reason)
-    return kept.drop("_row"), with_reason.drop("_ok", "_row")
+    return kept, with_reason.drop("_ok")
 
 
 def target_check(targets: DataFrame, url: str = "seed_url", allow_local: bool = False) -> DataFrame:
