@@ -85,10 +85,6 @@ def _covered(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(total)
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
-
-
 def measured(documents: DataFrame) -> DataFrame:
     """``documents`` with the counts the rules need, of whole texts; a null text has no words.
 
@@ -104,8 +100,8 @@ def measured(documents: DataFrame) -> DataFrame:
         .withColumn("__lines", lines)
         .withColumn("__windows", _windows(F.col("__words")))
         .withColumn("n_words", F.size("__words").cast("long"))
-        .withColumn("word_chars", _without(text, SPACES).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - _without(text, SYMBOLS)).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
+        .withColumn("n_symbols", F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"))
         .withColumn("n_lines", F.size("__lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .withColumn("n_repeat_words", _covered(F.col("__windows")))
