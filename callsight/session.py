@@ -45,7 +45,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     )
     if shared:
         return shared
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="callsight-"))
