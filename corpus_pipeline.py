@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callsight.llm import line_templates, near_duplicates, quality, rules
+from callsight.llm import line_templates, near_duplicates, packing, quality, rules
 from callsight.llm.common import settle, table
 
 STAGES = [
@@ -16,6 +16,7 @@ STAGES = [
     ("quality_rules", rules.stage),
     ("line_templates", line_templates.stage),
     ("near_duplicates", near_duplicates.stage),
+    ("packing", packing.stage),
 ]
 
 #: SQL can express neither the classifier nor the packing; tests compare with brute force.
