@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from callsight.llm import line_templates, near_duplicates, quality, rules
+from callsight.llm import bpe, chat, line_templates, near_duplicates, neighbours, packing, quality, rules, url_lists, wrappers
 
 QUERIES = {
+    "op1_packing": packing.query,
+    "op2_chat_rotation": chat.query,
+    "op3_permutation_index": neighbours.query,
     "op4_quality_rules": rules.query,
     "op5_line_templates": line_templates.query,
+    "op6_url_lists": url_lists.query,
+    "op7_wrappers": wrappers.query,
     "op8_quality_classifier": quality.query,
+    "op9_byte_bpe": bpe.query,
     "op10_jaccard_join": near_duplicates.query,
 }
 
@@ -47,4 +53,27 @@ ORACLES = {
                failures & 3 <> 0 AS base_failed, failures & 63 = 0 AS kept, failures
         FROM judged
     """,
+    "op2_chat_rotation": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
+                   replace(coalesce(text, ''), '<|im_', '< |im_') AS said,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role IS NOT NULL,
+                       coalesce(role, 'unknown'), text IS NOT NULL, coalesce(text, '')) - 1 AS at
+            FROM conversations),
+        voices AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+        heads AS (
+            SELECT s.*, perspective, speaker = perspective AS mine,
+                   '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker
+                       ELSE 'user name=' || speaker END || chr(10) AS head
+            FROM said s JOIN voices v ON s.conv_id IS NOT DISTINCT FROM v.conv_id),
+        segments AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS segment FROM heads),
+        placed AS (
+            SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY at
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+            FROM segments)
+        SELECT conv_id, perspective, turn, at::BIGINT AS at, speaker, segment, start,
+               CASE WHEN mine THEN start + length(head) ELSE start END::BIGINT AS mask_start,
+               CASE WHEN mine THEN start + length(segment) ELSE start END::BIGINT AS mask_end
+        FROM placed
+    """,
 }
