@@ -58,7 +58,7 @@ ORACLES = {
             SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
                    replace(coalesce(text, ''), '<|im_', '< |im_') AS said,
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role IS NOT NULL,
-                       coalesce(role, 'unknown'), text IS NOT NULL, coalesce(text, '')) - 1 AS at
+                       coalesce(role, 'unknown'), text IS NOT NULL, coalesce(text, '')) - 1 AS place
             FROM conversations),
         voices AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
         heads AS (
@@ -68,10 +68,10 @@ ORACLES = {
             FROM said s JOIN voices v ON s.conv_id IS NOT DISTINCT FROM v.conv_id),
         segments AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS segment FROM heads),
         placed AS (
-            SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY at
+            SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY place
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
             FROM segments)
-        SELECT conv_id, perspective, turn, at::BIGINT AS at, speaker, segment, start,
+        SELECT conv_id, perspective, turn, place::BIGINT AS "at", speaker, segment, start,
                CASE WHEN mine THEN start + length(head) ELSE start END::BIGINT AS mask_start,
                CASE WHEN mine THEN start + length(segment) ELSE start END::BIGINT AS mask_end
         FROM placed
