@@ -31,8 +31,8 @@ ORACLES = {
             FROM (SELECT row_id, words, unnest(range(1, len(words) - 1)) AS i FROM base)),
         often AS (SELECT *, count(*) OVER (PARTITION BY row_id, w) AS c FROM windows),
         covered AS (
-            SELECT row_id, count(DISTINCT at) AS n
-            FROM (SELECT row_id, unnest([i, i + 1, i + 2]) AS at FROM often WHERE c > 1) GROUP BY row_id),
+            SELECT row_id, count(DISTINCT pos) AS n
+            FROM (SELECT row_id, unnest([i, i + 1, i + 2]) AS pos FROM often WHERE c > 1) GROUP BY row_id),
         counts AS (
             SELECT doc_id, len(words)::BIGINT AS n_words,
                    coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
@@ -76,4 +76,60 @@ ORACLES = {
                CASE WHEN mine THEN start + length(segment) ELSE start END::BIGINT AS mask_end
         FROM placed
     """,
+    "op6_url_lists": r"""
+        WITH caps AS (
+            SELECT page_id, url,
+                   1704067200 + (('0x' || substr(md5(page_id::VARCHAR), 1, 7))::BIGINT % 1440) * 3600 AS fetched_at,
+                   lower(nullif(regexp_extract(url, '^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host
+            FROM pages),
+        marks AS (
+            SELECT domain, ('0x' || substr(md5(domain), 1, 7))::BIGINT AS m
+            FROM (SELECT DISTINCT host AS domain FROM caps WHERE host IS NOT NULL)),
+        listed AS (
+            SELECT domain, CASE m % 3 WHEN 0 THEN 'spam' ELSE 'adult' END AS list,
+                   (m // 7) % 60 AS d, (m // 11) % 20 + 1 AS stay, m % 5 AS kind
+            FROM marks WHERE m % 3 < 2),
+        entries AS (
+            SELECT list, domain, 1704067200 + d * 86400 AS pos, 'add' AS action FROM listed
+            UNION ALL
+            SELECT list, domain, 1704067200 + (d + stay) * 86400, 'remove' FROM listed WHERE kind <> 0
+            UNION ALL
+            SELECT list, domain, 1704067200 + (d + 2 * stay) * 86400, 'add' FROM listed WHERE kind = 1),
+        spans AS (
+            SELECT *, coalesce(lead(pos) OVER (PARTITION BY list, domain ORDER BY pos), 253402300800) AS until FROM entries),
+        hits AS (
+            SELECT host, fetched_at, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, min(pos) AS since
+            FROM (SELECT DISTINCT host, fetched_at FROM caps) c
+            JOIN spans s ON action = 'add' AND (host = domain OR ends_with(host, '.' || domain))
+                        AND pos <= fetched_at AND fetched_at < until
+            GROUP BY host, fetched_at)
+        SELECT page_id, url, fetched_at, coalesce(lists, '') AS lists, since, lists IS NULL AS allowed
+        FROM caps LEFT JOIN hits USING (host, fetched_at)
+    """,
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT DISTINCT doc_id, s
+            FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) END) AS s
+                  FROM words)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * c >= 90 * (p.n + q.n - c)),
+        reach AS (
+            SELECT DISTINCT x AS doc_id, x AS other FROM links
+            UNION
+            SELECT reach.doc_id, y FROM reach JOIN links ON x = other),
+        roots AS (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id),
+        degrees AS (SELECT x AS doc_id, count(*) AS d FROM links GROUP BY x)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(d, 0)::BIGINT AS n_links
+        FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id) LEFT JOIN degrees USING (doc_id)
+    """,
 }

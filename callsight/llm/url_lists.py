@@ -89,16 +89,21 @@ def judged(captures: DataFrame, entries: DataFrame, horizon: tuple[int, int]) ->
 START, DAYS = 1_704_067_200, 60  # the sample's first second and number of days
 
 
+def _mark(value: Column) -> Column:
+    """A number spread over the values, the same in any engine."""
+    return F.conv(F.substring(F.md5(value.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
 def sample_captures(pages: DataFrame) -> DataFrame:
     """Pages with a time of fetching, spread over the days by their id; ``pages`` holds none."""
-    at = F.lit(START) + F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(DAYS * 24)) * 3600
+    at = F.lit(START) + F.pmod(_mark(F.col("page_id").cast("string")), F.lit(DAYS * 24)) * 3600
     return pages.select("page_id", "url", at.alias("fetched_at"))
 
 
 def sample_entries(pages: DataFrame) -> DataFrame:
     """Dated entries for the hosts of ``pages``: put on a list, mostly taken off, some put on again."""
     hosts = pages.select(host_of("url").alias("domain")).where("domain is not null").distinct()
-    mark = F.crc32(F.col("domain").cast("binary"))
+    mark = _mark(F.col("domain"))
     day = F.pmod(F.floor(mark / 7), F.lit(DAYS))
     stay = F.pmod(F.floor(mark / 11), F.lit(20)) + 1
     names = F.when(mark % 3 == 0, F.lit("spam")).when(mark % 3 == 1, F.lit("adult"))
