@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import public_tokenizers
 import regex
 import tiktoken
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsight.llm.common import column, groups, settle, shuffle_width, table
+from callsight.llm.common import column, shuffle_width, table
 
 END = 0  # the id that ends a document where documents are packed
 SPECIAL = {"<|endoftext|>": 50256}
@@ -54,6 +55,13 @@ def word_coder(path: str | None = None) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks(path), special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def _table(path: str | None = None) -> tuple[list[bytes], list[str]]:
+    """The bytes of every token, and its id in decimals."""
+    token = {rank: data for data, rank in ranks(path).items()}
+    return [token[rank] for rank in range(len(token))], [str(rank) for rank in range(len(token))]
+
+
 def _packed_numbers(values: np.ndarray) -> bytes:
     """Numbers by byte planes, compressed: the frequent ones are small."""
     return zstandard.compress(np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
@@ -156,47 +164,61 @@ def _answered(asked: DataFrame, path: str | None) -> DataFrame:
     return asked.mapInArrow(answer, "chunk string, owner int, counts binary, ids binary")
 
 
-def _together(chunks: DataFrame, answers: DataFrame, parts: int, path: str | None) -> DataFrame:
-    """The documents of each chunk, put together by place from the ids of its words."""
-    nothing = F.lit(None)
-    both = (
-        chunks.select("chunk", F.lit(-1).alias("owner"), "documents", "sizes", "places", "owners")
-        .union(answers.select("chunk", "owner", nothing.cast("array<long>"), "counts", "ids", nothing.cast("binary")))
-        .repartition(parts, "chunk")
-        .sortWithinPartitions("chunk", "owner")
-    )
+def _asked(chunks: DataFrame) -> DataFrame:
+    """chunk, owner, words: what each chunk asks of each owner.
+
+    Takes whole rows, so that this reading and the one that puts documents together share one shuffle.
+    """
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: data for data, rank in ranks(path).items()}
-        token = [token[rank] for rank in range(len(token))]
-        decimal = [str(rank) for rank in range(len(token))]
-        for rows in groups(batches, ["chunk"]):
-            names, owner = rows.column("documents")[0].as_py(), _numbers(rows.column("owners")[0].as_py())
-            sizes, places = (_numbers(rows.column(n)[0].as_py()) for n in ("sizes", "places"))
-            ids_of, bytes_of = np.empty(len(owner), object), np.empty(len(owner), object)
-            tokens_of = np.zeros(len(owner), np.int64)
-            for own, counts, ids in zip(*(rows.column(n).to_pylist()[1:] for n in ("owner", "sizes", "places"))):
-                at, counts, ids = np.flatnonzero(owner == own), _numbers(counts), _numbers(ids).tolist()
-                tokens_of[at] = counts
-                ends = np.cumsum(counts, dtype=np.int64).tolist()
-                parts_ = [ids[a:b] for a, b in zip([0, *ends], ends)]
-                ids_of[at] = [" ".join([decimal[i] for i in part]) for part in parts_]
-                bytes_of[at] = [b"".join([token[i] for i in part]) for part in parts_]
-            ids_of, bytes_of = ids_of.tolist(), bytes_of.tolist()
-            n_tokens, texts, decoded, begin = [], [], [], 0
-            for size in sizes.tolist():
-                place = places[begin : begin + size]
-                begin += size
-                n_tokens.append(int(tokens_of[place].sum()))
-                place = place.tolist()
-                texts.append(" ".join([ids_of[at] for at in place]))
-                decoded.append(b"".join([bytes_of[at] for at in place]))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = column(batch, "words")
+            at = pa.compute.list_parent_indices(words)
+            owner = [own for part in words.to_pylist() for own in range(len(part))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(texts, pa.string()), pa.array(decoded, pa.binary())],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
+                [column(batch, "chunk").take(at), pa.array(owner, pa.int32()), words.flatten()], names=["chunk", "owner", "words"]
             )
 
-    return both.mapInArrow(assemble, "doc_id long, n_tokens long, ids string, decoded binary")
+    return chunks.mapInArrow(ask, "chunk string, owner int, words binary")
+
+
+def _together(chunks: DataFrame, answers: DataFrame, path: str | None) -> DataFrame:
+    """The documents of each chunk, put together by place from the ids of its words."""
+
+    def assemble(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        token, decimal = _table(path)
+        row = {name: chunk.column(name)[0].as_py() for name in ("documents", "sizes", "places", "owners")}
+        owner, sizes, places = (_numbers(row[name]) for name in ("owners", "sizes", "places"))
+        ids_of, bytes_of = np.empty(len(owner), object), np.empty(len(owner), object)
+        tokens_of = np.zeros(len(owner), np.int64)
+        for own, counts, ids in zip(*(found.column(name).to_pylist() for name in ("owner", "counts", "ids"))):
+            at, counts, ids = np.flatnonzero(owner == own), _numbers(counts), _numbers(ids).tolist()
+            tokens_of[at] = counts
+            ends = np.cumsum(counts, dtype=np.int64).tolist()
+            parts = [ids[a:b] for a, b in zip([0, *ends], ends)]
+            ids_of[at] = [" ".join([decimal[i] for i in part]) for part in parts]
+            bytes_of[at] = [b"".join([token[i] for i in part]) for part in parts]
+        ids_of, bytes_of = ids_of.tolist(), bytes_of.tolist()
+        n_tokens, texts, decoded, begin = [], [], [], 0
+        for size in sizes.tolist():
+            place = places[begin : begin + size]
+            begin += size
+            n_tokens.append(int(tokens_of[place].sum()))
+            place = place.tolist()
+            texts.append(" ".join([ids_of[at] for at in place]))
+            decoded.append(b"".join([bytes_of[at] for at in place]))
+        return pa.table(
+            [
+                pa.array(row["documents"], pa.int64()),
+                pa.array(n_tokens, pa.int64()),
+                pa.array(texts, pa.string()),
+                pa.array(decoded, pa.binary()),
+            ],
+            names=["doc_id", "n_tokens", "ids", "decoded"],
+        )
+
+    both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return both.applyInArrow(assemble, "doc_id long, n_tokens long, ids string, decoded binary")
 
 
 def coded(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -206,9 +228,9 @@ def coded(documents: DataFrame, path: str | None = None) -> DataFrame:
     without doc_id come back each for itself. Strings of special tokens are ordinary text.
     """
     parts = shuffle_width(documents.sparkSession)
-    chunks = settle(_chunked(documents, parts))
-    asked = chunks.select("chunk", F.posexplode("words").alias("owner", "words")).repartition(parts, "owner")
-    return _together(chunks, _answered(asked, path), parts, path)
+    chunks = _chunked(documents, parts).repartition(parts, "chunk")
+    asked = _asked(chunks).repartition(parts, "owner")
+    return _together(chunks, _answered(asked, path), path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
