@@ -95,18 +95,23 @@ def measured(documents: DataFrame) -> DataFrame:
     trimmed = F.btrim(text, F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_BREAK))
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    return (
-        documents.withColumn("__words", words)
+    counts = {
+        "n_words": F.size("__words"),
+        "word_chars": F.length(F.array_join("__words", "")),
+        "n_symbols": F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[{SYMBOLS}]")),
+        "n_lines": F.size("__lines"),
+        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
+        "n_repeat_words": _covered(F.col("__windows")),
+    }
+    prepared = (
+        documents.drop(*counts)
+        .withColumn("__words", words)
         .withColumn("__lines", lines)
         .withColumn("__windows", _windows(F.col("__words")))
-        .withColumn("n_words", F.size("__words").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
-        .withColumn("n_symbols", F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"))
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-        .withColumn("n_repeat_words", _covered(F.col("__windows")))
-        .drop("__words", "__lines", "__windows")
     )
+    # As rows of a generator: a filter on a verdict would else be moved below the counts, and count again.
+    row = F.struct(*(value.cast("long").alias(name) for name, value in counts.items()))
+    return prepared.select("*", F.inline(F.array(row))).drop("__words", "__lines", "__windows")
 
 
 def ledger(measurements: DataFrame, into: str = "failures") -> DataFrame:
