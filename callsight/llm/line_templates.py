@@ -162,7 +162,6 @@ def template_lines(
     )
 
 
-@F.pandas_udf("struct<text string, dropped long>")
 def _kept(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
     out, dropped = [], np.zeros(len(texts), dtype=np.int64)
     for at, (text, keys) in enumerate(zip(texts, gone)):
@@ -193,8 +192,9 @@ def without_templates(documents: DataFrame, **options) -> DataFrame:
         "left",
     )
     changed = F.col("__gone").isNotNull()
+    kept = F.pandas_udf(_kept, "struct<text string, dropped long>")
     return (
-        joined.withColumn("__kept", _kept(F.when(changed, F.col("text")), "__gone"))
+        joined.withColumn("__kept", kept(F.when(changed, F.col("text")), "__gone"))
         .withColumn("__lines_dropped", F.when(changed, F.col("__kept.dropped")).otherwise(0).cast("long"))
         .withColumn("text", F.when(changed, F.col("__kept.text")).otherwise(F.col("text")))
         .drop("__key", "__doc", "__text_key", "__gone", "__kept")

@@ -101,7 +101,7 @@ def nearest(
     facts = classes.agg(F.count("*"), F.count_if("asks"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     count, asked, longest = facts[0], facts[1], float(np.sqrt(facts[2] or 0.0))
     drawn = classes.orderBy(F.xxhash64("same", F.lit(7)), "same").limit(pivots).select("v").collect()
-    lifted = _lifted(np.array([row.v for row in drawn], dtype=np.float64).reshape(-1, dimension), longest)
+    lifted = _lifted(np.array([row.v for row in drawn], dtype=np.float64).reshape(len(drawn), dimension), longest)
     shared = spark.sparkContext.broadcast(lifted)  # as many rows as pivots
     shards, blocks = -(-count // SHARD_ROWS) or 1, -(-asked // BLOCK_ROWS) or 1
     spread = F.xxhash64("same", F.lit(1))
