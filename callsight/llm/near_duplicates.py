@@ -111,9 +111,17 @@ def pages_of(items: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
 
 
-def point_of(items: np.ndarray) -> np.ndarray:
-    """Counts of the coarse groups."""
-    return np.bincount((mix(items, 9) % U64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def groups_for(size: int) -> int:
+    """Coordinates that tell sets of a size apart: by chance two sets differ less, the larger their groups are."""
+    count = GROUPS
+    while count < size // 12 and count < 4096:
+        count *= 2
+    return count
+
+
+def point_of(items: np.ndarray, count: int) -> np.ndarray:
+    """Counts of the groups. Groups of half as many coordinates are sums of two of these."""
+    return np.bincount((mix(items, 9) % U64(count)).astype(np.int64), minlength=count).astype(np.int32)
 
 
 def needed(left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -123,7 +131,14 @@ def needed(left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarra
 
 
 def _points(values: pa.ChunkedArray) -> np.ndarray:
-    return values.combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+    """Points of one number of coordinates: the least that occurs."""
+    values = values.combine_chunks()
+    lengths = values.value_lengths().to_numpy()
+    flat, least = values.flatten().to_numpy(), int(lengths.min())
+    if least == lengths.max():
+        return flat.reshape(-1, least)
+    ends = np.cumsum(lengths)
+    return np.stack([flat[a:b].reshape(-1, least).sum(axis=0) for a, b in zip(ends - lengths, ends)])
 
 
 def _may_link(point: np.ndarray, size: int, points: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -205,12 +220,13 @@ def sets_of(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, node, point, pages = [], [], [], []
+            size, node, point, fine, pages = [], [], [], [], []
             for text in column(batch, "text").to_pylist():
                 items = shingles(text, width)
                 size.append(len(items))
                 node.append(node_of(items) if len(items) else None)
-                point.append(point_of(items) if len(items) else None)
+                point.append(point_of(items, GROUPS) if len(items) else None)
+                fine.append(point_of(items, groups_for(len(items))) if len(items) else None)
                 pages.append(pages_of(items, num, den))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -218,19 +234,20 @@ def sets_of(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     pa.array(size, pa.int64()),
                     pa.array(node, pa.int64()),
                     pa.array(point, pa.list_(pa.int32())),
+                    pa.array(fine, pa.list_(pa.int32())),
                     pa.array(pages, pa.list_(pa.int64())),
                 ],
-                names=[*KEY, "doc_id", "n", "node", "point", "pages"],
+                names=[*KEY, "doc_id", "n", "node", "point", "fine", "pages"],
             )
 
     rows = keyed(documents).select(*KEY, F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(
-        measure, "__k1 long, __k2 int, doc_id long, n long, node long, point array<int>, pages array<long>"
+        measure, "__k1 long, __k2 int, doc_id long, n long, node long, point array<int>, fine array<int>, pages array<long>"
     )
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (page, node), sorted, without pages of one class."""
+    """Rows (page, node) of the pages of several classes, from rows sorted by both; pages of equal classes are one."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_page = last_node = None
@@ -253,16 +270,36 @@ def _shared(rows: DataFrame) -> DataFrame:
                 last_page, last_node = page[-1:], node[-1:]
             yield pa.RecordBatch.from_arrays([pa.array(page[keep_]), pa.array(node[keep_])], names=["page", "node"])
 
-    return rows.mapInArrow(keep, "page long, node long")
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages are named by their classes, so that pages of the same classes become one."""
+        held_page = held_node = np.zeros(0, dtype=np.int64)
+
+        def named(page: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            begins = np.flatnonzero(np.append(True, page[1:] != page[:-1])) if len(page) else np.zeros(0, dtype=np.int64)
+            rows_ = np.diff(np.append(begins, len(page)))
+            name = mix(np.add.reduceat(mix(node, 11), begins), 12) if len(page) else np.zeros(0, dtype=U64)
+            name = np.repeat(mix(name ^ rows_.astype(U64), 13), rows_).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(node)], names=["page", "node"])
+
+        for batch in batches:
+            page = np.concatenate([held_page, column(batch, "page").to_numpy()])
+            node = np.concatenate([held_node, column(batch, "node").to_numpy()])
+            upto = int(np.searchsorted(page, page[-1])) if len(page) else 0  # the last page may go on
+            held_page, held_node = page[upto:], node[upto:]
+            yield named(page[:upto], node[:upto])
+        yield named(held_page, held_node)
+
+    schema = "page long, node long"
+    return rows.mapInArrow(keep, schema).mapInArrow(sign, schema).distinct()
 
 
 def _filtered(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) from rows (page, node, n, point) sorted by page."""
+    """Edges (a, b) from rows (page, node, n, fine) sorted by page."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in groups(batches, ["page"]):
             nodes, sizes = page.column("node").to_numpy(), page.column("n").to_numpy()
-            edges = page_edges(nodes, sizes, _points(page.column("point")), num, den)
+            edges = page_edges(nodes, sizes, _points(page.column("fine")), num, den)
             if edges:
                 a, b = zip(*edges)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -271,7 +308,7 @@ def _filtered(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Forests and link counts from rows (block, x, y, side, node, n, point, copies, items), a pair (x, y) of nodes together.
+    """Forests and link counts from rows (block, x, y, side, node, n, fine, copies, items), a pair (x, y) of nodes together.
 
     ``side`` 0 is node x, 1 is node y; x = y has side 0 alone. Rows with b give an edge, others a number of links.
     """
@@ -285,7 +322,7 @@ def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
             split = int((side == 0).sum())
             links = np.zeros((len(nodes), len(nodes)), dtype=bool)
             if split:
-                links[:split] = _linked(items, sizes, _points(pair.column("point")), split, num, den)
+                links[:split] = _linked(items, sizes, _points(pair.column("fine")), split, num, den)
             links |= links.T
             copies = pair.column("copies").to_numpy()
             a, b, n = [], [], []
@@ -323,16 +360,16 @@ def _blocks(sets: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     points = _points_of(sets, settle(shared.select("node").distinct()))
     heavy = small(settle(shared.groupBy("page").agg(F.count("*").alias("c"), F.min("node").alias("a")).where(F.col("c") > PAGE_ROWS)), BROADCAST_ROWS)
     light = shared.join(heavy, "page", "left_anti").join(points, "node")
-    light = light.select("page", "node", "n", "point").repartition(width, "page").sortWithinPartitions("page", "node")
+    light = light.select("page", "node", "n", "fine").repartition(width, "page").sortWithinPartitions("page", "node")
     whole = shared.join(heavy, "page").select("a", F.col("node").alias("b"))
     edges = _filtered(light, num, den).union(whole).distinct()
     return connected(edges).select("node", F.col("root").alias("block"))
 
 
 def _points_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, point of the given classes, one row each."""
-    chosen = sets.select("node", "n", "point").join(small(nodes, BROADCAST_ROWS), "node", "left_semi")
-    return chosen.groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    """node, n, point, fine of the given classes, one row each."""
+    chosen = sets.select("node", "n", "point", "fine").join(small(nodes, BROADCAST_ROWS), "node", "left_semi")
+    return chosen.groupBy("node").agg(*(F.first(name).alias(name) for name in ("n", "point", "fine")))
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -391,7 +428,7 @@ def grouped(documents: DataFrame, width: int, num: int, den: int) -> tuple[DataF
     both = F.when(F.col("x") == F.col("y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
     sides = pairs.select("block", "x", "y", F.explode(both).alias("side"))
     sides = sides.withColumn("tile", F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")))
-    placed = members.join(sides, ["block", "tile"]).select("block", "x", "y", "side", "node", "n", "point", "copies")
+    placed = members.join(sides, ["block", "tile"]).select("block", "x", "y", "side", "node", "n", "fine", "copies")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
