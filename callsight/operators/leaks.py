@@ -2,93 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
-
-try:
-    import ahocorasick
-except ImportError:  # the shuffled search below needs nothing
-    ahocorasick = None
-
-MAX_SECRETS = 200_000
-MAX_SECRET_CHARS = 16_000_000
+from callsight.operators.sizing import settle
 
 
 def leaking_leaves(leaves: DataFrame, ids: list[str], text: str, secrets: DataFrame) -> DataFrame:
     """Ids of the leaves whose text contains any secret. ``secrets`` is a ledger (column ``value``).
 
-    A ledger within the size bounds is sent to every task and matched in one scan of the leaves;
-    a larger one is matched by shuffled joins. Both answers are exact.
+    The same search for every size of ledger and text. A secret is known by its anchor, its first
+    characters (as many as the shortest secret of a ledger has). A place of a text that reads like
+    an anchor is taken up with the lengths of the secrets that begin so, and what stands there is
+    looked up among the secrets by a semi join. No step pairs secrets with leaves, however many
+    share an anchor; nothing is collected. The anchors are settled, so Spark knows their size and
+    shuffles the places of the texts only where the anchors are too many to broadcast.
     """
-    size = secrets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("chars")).first()
-    if size["n"] == 0:
-        return leaves.select(*ids).limit(0)
-    if ahocorasick is not None and size["n"] <= MAX_SECRETS and size["chars"] <= MAX_SECRET_CHARS:
-        return leaks_by_automaton(leaves, ids, text, secrets)
-    return leaks_by_anchor(leaves, ids, text, secrets)
-
-
-def leaks_by_automaton(leaves: DataFrame, ids: list[str], text: str, secrets: DataFrame) -> DataFrame:
-    """One scan of the leaves against a broadcast ledger (bounded by the caller)."""
-    context = leaves.sparkSession.sparkContext
-    ledger = context.broadcast([row["value"] for row in secrets.collect()])
-
-    @F.pandas_udf("boolean")
-    def contains_any(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for secret in ledger.value:
-            automaton.add_word(secret, 1)
-        automaton.make_automaton()
-        for batch in batches:
-            yield batch.map(lambda t: t is not None and next(automaton.iter(t), None) is not None).astype(bool)
-
-    return leaves.where(F.col(text).isNotNull()).where(contains_any(F.col(text))).select(*ids)
-
-
-def _anchor_length(length):
-    """The longest of 6, 8, 16, 32, ... that fits into the length."""
-    return F.when(length < 8, F.lit(6)).otherwise(F.call_function("shiftleft", F.lit(1), F.length(F.bin(length)) - 1))
-
-
-def leaks_by_anchor(leaves: DataFrame, ids: list[str], text: str, secrets: DataFrame) -> DataFrame:
-    """Shuffled search for ledgers of any size.
-
-    Every secret is represented by its first 6, 8, 16, 32, ... characters (the most that fit).
-    A leaf position whose text equals such an anchor is a candidate for the lengths its secrets
-    have, and a candidate's text is looked up among the secrets by a semi join. Neither step
-    pairs secrets with leaves, however many share an anchor.
-    """
-    sized = secrets.select("value", F.length("value").alias("length")).withColumn("cls", _anchor_length(F.col("length")))
-    anchors = (
-        sized.select("cls", F.xxhash64(F.expr("left(value, cls)")).alias("anchor"), "length")
+    shortest = fv.LEDGER_MIN_LENGTH
+    lengths = settle(
+        secrets.where(F.length("value") >= shortest)
+        .select(F.xxhash64(F.left("value", F.lit(shortest))).alias("anchor"), F.length("value").alias("length"))
         .distinct()
     )
-    classes = [row["cls"] for row in sized.select("cls").distinct().collect()]  # powers of two: a few dozen at most
-    length = F.length(text)
-
-    def grams_of(cls: int) -> Column:
-        gram = lambda at: F.struct(
-            F.lit(cls).alias("cls"), at.alias("at"), F.xxhash64(F.substr(F.col(text), at, F.lit(cls))).alias("anchor")
-        )
-        positions = F.sequence(F.lit(1), length - F.lit(cls) + 1)
-        none = F.array().cast("array<struct<cls:int,at:int,anchor:bigint>>")
-        return F.when(length >= cls, F.transform(positions, gram)).otherwise(none)
-
-    grams = F.flatten(F.array(*[grams_of(cls) for cls in classes]))
-    candidates = (
-        leaves.where(length >= fv.LEDGER_MIN_LENGTH)
-        .select(*ids, F.explode(grams).alias("g"))
-        .select(*ids, "g.cls", "g.at", "g.anchor")
-        .join(anchors, ["cls", "anchor"])
+    # Looks at a window, then takes one character: one pass over the text, places counted in code points.
+    windows = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{shortest}}}))."), F.lit(1))
+    places = (
+        leaves.select(*ids, F.posexplode(windows).alias("at", "window"))
+        .select(*ids, "at", F.xxhash64("window").alias("anchor"))
+        .join(lengths, "anchor")
         .select(*ids, "at", "length")
         .distinct()
     )
-    found = leaves.join(candidates, ids).select(*ids, F.expr(f"substr({text}, at, length)").alias("value"))
+    found = leaves.join(places, ids).select(*ids, F.expr(f"substr({text}, at + 1, length)").alias("value"))
     return found.join(secrets.select("value"), "value", "left_semi").select(*ids).distinct()
 
 
