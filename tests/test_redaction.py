@@ -34,6 +34,15 @@ def test_bodies(spark):
     assert sorted(secrets[0]) == ["x", "y"] and secrets[2] == ["me@mail.test"]
 
 
+def test_any_depth(spark):
+    deep = lambda n, inner: '{"a":' * n + inner + "}" * n
+    bodies = [deep(10, '"me@mail.test"'), deep(300, '["me@mail.test"]'), deep(1, deep(40, '{"token":[["x"]]}')), deep(200_000, '"me@mail.test"')]
+    texts, secrets = masked(spark, bodies)
+    assert texts[:3] == [b.replace("me@mail.test", "[REDACTED]").replace('"x"', '"[REDACTED]"') for b in bodies[:3]]
+    assert secrets[:3] == [["me@mail.test"], ["me@mail.test"], ["x"]]
+    assert "me@mail.test" not in texts[3]
+
+
 def test_masking_twice_changes_nothing(spark):
     once, _ = masked(spark, ['{"token":"a","x":[1,"b@c.test"]}', "plain"])
     again, found = masked(spark, once)
@@ -61,8 +70,18 @@ def test_leaks_match_brute_force(spark):
     expected = {n for n, t in enumerate(texts) if any(s in t for s in secrets)}
     leaves = spark.createDataFrame(list(enumerate(texts)), "id int, leaf string")
     ledger = spark.createDataFrame([(s,) for s in secrets], "value string")
-    for search in (leaks.leaks_by_automaton, leaks.leaks_by_anchor, leaks.leaking_leaves):
-        assert {r["id"] for r in search(leaves, ["id"], "leaf", ledger).collect()} == expected
+    found = leaks.leaking_leaves(leaves, ["id"], "leaf", ledger)
+    assert {r["id"] for r in found.collect()} == expected
+    assert "Python" not in found._jdf.queryExecution().toString()
+
+
+def test_leaks_at_every_place(spark):
+    secrets = ["naïve\nsecret", "\U0001f600mark-one", "ends-here"]
+    texts = ["\U0001f600" * 3 + "naïve\nsecret", "x" * 30_000 + "\U0001f600mark-one", "ends-here", "naïve secret", "", None, "ends-"]
+    leaves = spark.createDataFrame(list(enumerate(texts)), "id int, leaf string")
+    ledger = spark.createDataFrame([(s,) for s in secrets], "value string")
+    assert {r["id"] for r in leaks.leaking_leaves(leaves, ["id"], "leaf", ledger).collect()} == {0, 1, 2}
+    assert leaks.leaking_leaves(leaves, ["id"], "leaf", ledger.limit(0)).count() == 0
 
 
 def test_ledger_and_summary(spark):
