@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,15 @@ MANIFEST_FILE = "integrity.json"
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Bytes of every file below a folder: (file, content); the manifest itself is left out."""
+    """Bytes of every file below a folder: (file, content); a manifest at its top is left out.
+
+    ``file`` is the path below the folder, so files called alike in two folders stay apart. Spark's
+    readers do not list files and folders whose names begin with ``_`` or ``.``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_replace(F.col("path"), r"^.*/", "")
-    return files.select(name.alias("file"), "content").where(
-        (F.col("file") != MANIFEST_FILE) & ~F.col("file").startswith("_") & ~F.col("file").startswith(".")
-    )
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).removeprefix("./").strip("/")
+    below = F.element_at(F.split("path", re.escape(f"/{folder}/"), 2), 2)
+    return files.select(below.alias("file"), "content").where(F.col("file") != MANIFEST_FILE)
 
 
 def file_digests(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
