@@ -42,7 +42,8 @@ def request_graph(
         .where(F.col("rank") <= max_pages)
         .withColumn("node", F.concat(F.lit("p"), (F.col("rank") - 1).cast("string")))
     )
-    on_kept = triggered.join(kept_pages.select("scan_id", "url", F.col("node").alias("page_node")), ["scan_id", "url"])
+    numbered = lambda rows, key, name: rows.select("scan_id", key, F.col("node").alias(f"{name}_node"), F.col("rank").alias(f"{name}_rank"))
+    on_kept = triggered.join(numbered(kept_pages, "url", "page"), ["scan_id", "url"])
     requests = on_kept.groupBy("scan_id", "label").agg(F.max("calls").alias("calls"))
     request_rank = Window.partitionBy("scan_id").orderBy(F.col("calls").desc(), "label")
     kept_requests = (
@@ -50,9 +51,9 @@ def request_graph(
         .where(F.col("rank") <= max_requests)
         .withColumn("node", F.concat(F.lit("e"), (F.col("rank") - 1).cast("string")))
     )
-    edges = on_kept.join(
-        kept_requests.select("scan_id", "label", F.col("node").alias("request_node")), ["scan_id", "label"]
-    ).select("scan_id", "page_node", "request_node", "url", "label", "calls")
+    edges = on_kept.join(numbered(kept_requests, "label", "request"), ["scan_id", "label"]).select(
+        "scan_id", "page_node", "request_node", "url", "label", "calls", "page_rank", "request_rank"
+    )
     left_out = lambda rows, limit, name: rows.groupBy("scan_id").agg(
         F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias(name)
     )
@@ -74,12 +75,11 @@ def mermaid_lines(graph: dict[str, DataFrame]) -> DataFrame:
         F.lit(0).alias("rank2"),
         F.concat(F.lit("  "), "node", F.lit('["'), mermaid_label("label"), F.lit('"]')).alias("line"),
     )
-    number = lambda name: F.substring(name, 2, 9).cast("int")
     edges = graph["edges"].select(
         "scan_id",
         F.lit(3).alias("part"),
-        number("page_node").alias("rank"),
-        number("request_node").alias("rank2"),
+        F.col("page_rank").alias("rank"),
+        F.col("request_rank").alias("rank2"),
         F.concat(F.lit("  "), "page_node", F.lit(" --> "), "request_node").alias("line"),
     )
     return head.unionByName(node(graph["pages"], 1)).unionByName(node(graph["requests"], 2)).unionByName(edges)

@@ -217,8 +217,7 @@ def _signature_test(kind: str, needle: str) -> Column:
 def detect_technologies(evidence: DataFrame) -> DataFrame:
     """Technologies per scan with the evidence of the first page that shows them.
 
-    A match is encoded as ``page position * 8 + evidence number``, so the first evidence is the
-    minimum of one number per (scan, name).
+    The first evidence is the least (page position, evidence number) per (scan, name).
     """
     safe = evidence.withColumns(
         {
@@ -240,9 +239,9 @@ def detect_technologies(evidence: DataFrame) -> DataFrame:
     seen = (
         safe.select("scan_id", "page_seq", F.explode(F.array_compact(F.array(*matches))).alias("m"))
         .groupBy("scan_id", F.col("m.name").alias("name"))
-        .agg(F.min(F.col("page_seq") * 8 + F.col("m.at")).alias("first"))
+        .agg(F.min(F.struct("page_seq", F.col("m.at").alias("at"))).alias("first"))
     )
-    at = F.pmod(F.col("first"), F.lit(8)).cast("int")
+    at = F.col("first.at")
     categories = F.create_map(*[F.lit(x) for name, category, _ in fv.TECHNOLOGIES for x in (name, category)])
     texts = F.create_map(
         *[x for name, _, tests in fv.TECHNOLOGIES for x in (F.lit(name), F.array(*[F.lit(t[2]) for t in tests]))]

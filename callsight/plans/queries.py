@@ -257,7 +257,9 @@ def endpoint_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def categorize(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(spark, sf).endpoints.select(*KEY, "category", "heuristic")
+    rows = _keyed(spark, sf)
+    base = settle(ep.endpoint_base(ep.status_rollup(rows)))
+    return ep.with_category(base, rows, samples.seeds(spark)).select(*KEY, "category", "heuristic")
 
 
 @query
