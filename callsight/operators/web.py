@@ -22,18 +22,17 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 
 def link_table(pages: DataFrame) -> DataFrame:
-    """Distinct normalised (source, target) links with the first position of the target on the page."""
-    links = extract_links(pages).select(
-        normalize_url("url").alias("source"), normalize_url("link").alias("target"), F.col("link").alias("link"), "pos"
-    )
-    return links.groupBy("source", "target").agg(F.min("pos").alias("pos"))
+    """Distinct normalised (source, target) links with the first position of the target on the page and the link there."""
+    links = extract_links(pages).select(normalize_url("url").alias("source"), normalize_url("link").alias("target"), "link", "pos")
+    first = links.groupBy("source", "target").agg(F.min(F.struct("pos", "link")).alias("first"))
+    return first.select("source", "target", "first.pos", "first.link")
 
 
 def reachable_pages(
     seeds: DataFrame,
     links: DataFrame,
-    max_depth: int = fv.CRAWL_MAX_DEPTH,
-    max_pages: int | None = fv.CRAWL_MAX_PAGES,
+    max_depth: int | None = None,
+    max_pages: int | None = None,
     scope: DataFrame | None = None,
     robots: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +41,9 @@ def reachable_pages(
     ``seeds`` has ``scan_id, seed_url``. One join and one anti join per level, however many scans
     there are; each level is settled so the plan does not grow. ``order`` is the chain of link
     positions that reached a page, which sorts as the crawl queue does, so limiting a scan to
-    its first ``max_pages`` keeps the pages a limited crawl would visit.
+    its first ``max_pages`` keeps the pages a limited crawl would visit, and of the refused ones those
+    before the last of them. Robots rules judge the link that came first, as it was written. Without
+    limits the walk ends when a level brings nothing new.
     """
     links = settle(links)
     frontier = seeds.select(
@@ -50,16 +51,18 @@ def reachable_pages(
         normalize_url("seed_url").alias("url"),
         F.lit(0).alias("depth"),
         F.array().cast("array<int>").alias("order"),
+        F.col("seed_url").alias("link"),
     )
-    visited, blocked = None, None
-    for depth in range(max_depth + 1):
+    visited, blocked, depth = None, None, 0
+    while max_depth is None or depth <= max_depth:
         if depth:
             found = (
-                frontier.join(links, F.col("url") == F.col("source"))
-                .select("scan_id", F.col("target").alias("url"), F.array_append("order", F.col("pos")).alias("order"))
+                frontier.drop("link")
+                .join(links, F.col("url") == F.col("source"))
+                .select("scan_id", F.col("target").alias("url"), F.array_append("order", F.col("pos")).alias("order"), "link")
                 .groupBy("scan_id", "url")
-                .agg(F.min("order").alias("order"))
-                .select("scan_id", "url", F.lit(depth).alias("depth"), "order")
+                .agg(F.min(F.struct("order", "link")).alias("first"))
+                .select("scan_id", "url", F.lit(depth).alias("depth"), "first.order", "first.link")
             )
             found = found.join(visited.select("scan_id", "url"), ["scan_id", "url"], "left_anti")
             if scope is not None:
@@ -67,18 +70,27 @@ def reachable_pages(
         else:
             found = frontier
         if robots is not None:
-            judged = robots_filter(found, robots)
-            refused = judged.where(~F.col("allowed")).select("scan_id", "url")
+            judged = settle(robots_filter(found, robots, url="link"))
+            refused = judged.where(~F.col("allowed")).drop("allowed")
             blocked = refused if blocked is None else blocked.unionByName(refused)
-            found = judged.where("allowed").drop("allowed")
-        frontier = settle(found)
+            frontier = judged.where("allowed").drop("allowed")
+        else:
+            frontier = settle(found)
         visited = frontier if visited is None else visited.unionByName(frontier)
-    if max_pages is not None:
-        queue = Window.partitionBy("scan_id").orderBy("depth", "order", "url")
-        visited = visited.withColumn("_nth", F.row_number().over(queue)).where(F.col("_nth") <= max_pages).drop("_nth")
+        depth += 1
+        if max_depth is None and frontier.isEmpty():
+            break
     if blocked is None:
-        blocked = visited.select("scan_id", "url").limit(0)
-    return visited, blocked.distinct()
+        blocked = visited.limit(0)
+    if max_pages is not None:
+        place = ["depth", "order", "url"]
+        queue = Window.partitionBy("scan_id").orderBy(*place)
+        visited = visited.withColumn("_nth", F.row_number().over(queue)).where(F.col("_nth") <= max_pages)
+        ends = visited.where(F.col("_nth") == max_pages).select("scan_id", F.struct(*place).alias("_end"))
+        before_end = F.col("_end").isNull() | (F.struct(*place) < F.col("_end"))
+        blocked = blocked.join(ends, "scan_id", "left").where(before_end)
+        visited = visited.drop("_nth")
+    return visited.drop("link"), blocked.select("scan_id", "url").distinct()
 
 
 def unvisited(links: DataFrame, visited: DataFrame) -> DataFrame:

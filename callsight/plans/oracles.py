@@ -193,7 +193,8 @@ links AS (
   FROM absolute
 ),
 link_table AS (
-  SELECT {_normalized('url')} AS source, {_normalized('link')} AS target, min(pos) AS pos FROM links GROUP BY ALL
+  SELECT {_normalized('url')} AS source, {_normalized('link')} AS target, min(pos) AS pos,
+    min(struct_pack(pos := pos, link := link)).link AS link FROM links GROUP BY ALL
 )
 """
 
@@ -808,18 +809,16 @@ walk AS (
 SELECT scan_id, url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY scan_id, url"""
 
 CRAWL = LINKS.strip() + f""",
-start AS (SELECT '' || page_id AS scan_id, {_normalized('url')} AS url FROM pages),
-found AS (
-  SELECT scan_id, url, 0 AS depth, -1 AS pos FROM start WHERE {_allowed('url')}
-  UNION ALL SELECT s.scan_id, l.target, 1, l.pos FROM start s JOIN link_table l ON l.source = s.url
-    WHERE {_allowed('s.url')} AND {_allowed('l.target')} AND l.target <> s.url
-)
+start AS (SELECT '' || page_id AS scan_id, {_normalized('url')} AS url, url AS link FROM pages),
+queue AS (
+  SELECT scan_id, url, 0 AS depth, -1 AS pos, {_allowed('link')} AS allowed FROM start
+  UNION ALL SELECT s.scan_id, l.target, 1, l.pos, {_allowed('l.link')} FROM start s JOIN link_table l ON l.source = s.url
+    WHERE {_allowed('s.link')} AND l.target <> s.url
+),
+ranked AS (SELECT *, count(*) FILTER (allowed) OVER (PARTITION BY scan_id ORDER BY depth, pos, url) AS visits FROM queue)
 """
-ORACLES["crawl_limited"] = "WITH " + CRAWL + """
-SELECT scan_id, url, CAST(depth AS BIGINT) AS depth FROM found QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY depth, pos, url) <= 4"""
-ORACLES["crawl_blocked"] = "WITH " + CRAWL + f"""
-SELECT scan_id, url FROM start WHERE NOT {_allowed('url')}
-UNION SELECT s.scan_id, l.target FROM start s JOIN link_table l ON l.source = s.url WHERE {_allowed('s.url')} AND NOT {_allowed('l.target')} AND l.target <> s.url"""
+ORACLES["crawl_limited"] = "WITH " + CRAWL + "SELECT scan_id, url, CAST(depth AS BIGINT) AS depth FROM ranked WHERE allowed AND visits <= 4"
+ORACLES["crawl_blocked"] = "WITH " + CRAWL + "SELECT DISTINCT scan_id, url FROM ranked WHERE NOT allowed AND visits < 4"
 ORACLES["unvisited_links"] = _with(LINKS) + f"""
 SELECT DISTINCT target AS url FROM link_table WHERE target NOT IN (SELECT {_normalized('url')} FROM pages)"""
 

@@ -819,7 +819,7 @@ def crawl_limited(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def crawl_blocked(spark: SparkSession, sf: str) -> DataFrame:
     pages = samples.captured_pages(spark, sf)
-    _, blocked = web.reachable_pages(_page_seeds(pages), web.link_table(pages), max_depth=1, robots=_robots(spark, sf))
+    _, blocked = web.reachable_pages(_page_seeds(pages), web.link_table(pages), max_depth=1, max_pages=4, robots=_robots(spark, sf))
     return blocked
 
 

@@ -188,6 +188,23 @@ def test_crawl(spark):
     assert walk(max_depth=2, max_pages=None) == ["", "one", "two", "three", "four"]
     assert walk(max_depth=2, max_pages=3) == ["", "one", "two"]
     assert walk(max_depth=0, max_pages=None) == [""]
+    assert walk() == ["", "one", "two", "three", "four", "five"]
+
+
+def test_crawl_robots(spark):
+    """Rules judge the link as written; refused pages behind the last visited one are not reported."""
+    page = lambda name, *links: (f"https://a.test/{name}", "".join(f'<a href="{x}">.</a>' for x in links))
+    pages = spark.createDataFrame([page("", "/en/", "/one", "/no/1", "/two", "/no/2"), page("one"), page("two")], "url string, html string")
+    seeds = spark.createDataFrame([("s", "https://a.test")], "scan_id string, seed_url string")
+    robots = spark.createDataFrame([("https://a.test", "User-agent: *\nDisallow: /en/\nDisallow: /no/")], "origin string, raw string")
+    paths = lambda rows: sorted(r["url"][15:] for r in rows.collect())
+    seen = {}
+    for most in (2, 3, None):
+        visited, blocked = web.reachable_pages(seeds, web.link_table(pages), max_pages=most, robots=robots)
+        seen[most] = paths(visited), paths(blocked)
+    assert seen[2] == (["", "one"], ["en"])
+    assert seen[3] == (["", "one", "two"], ["en", "no/1"])
+    assert seen[None] == (["", "one", "two"], ["en", "no/1", "no/2"])
 
 
 def test_technologies(spark):
