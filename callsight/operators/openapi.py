@@ -209,24 +209,30 @@ def openapi_operations(
     return full.select(*KEY, "category", operation.alias("operation"))
 
 
-def openapi_paths(operations: DataFrame) -> DataFrame:
-    """One row per scan and path: the path item with its operations by method."""
+def first_operations(operations: DataFrame) -> DataFrame:
+    """One operation per scan, path and method: that of the first endpoint by category and id."""
     path = F.when(F.col("url_pattern").startswith("/"), F.col("url_pattern")).otherwise(
         F.concat(F.lit("/"), "url_pattern")
     )
-    entry = F.concat(json_text(F.lower("method")), F.lit(":"), "operation")
-    first = operations.withColumns({"path": path, "entry": entry})
-    return first.groupBy("scan_id", "path").agg(
-        F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_set("entry")), ","), F.lit("}")).alias("path_item"),
+    first = F.min(F.struct("category", F.concat_ws(" ", "method", "url_pattern").alias("id"), "operation")).alias("first")
+    chosen = operations.groupBy("scan_id", path.alias("path"), F.lower("method").alias("verb")).agg(first)
+    return chosen.select("scan_id", "path", "verb", "first.category", "first.operation")
+
+
+def openapi_paths(operations: DataFrame) -> DataFrame:
+    """One row per scan and path: the path item with its operations by method, each method once."""
+    entry = F.concat(json_text("verb"), F.lit(":"), "operation").alias("entry")
+    return first_operations(operations).select("scan_id", "path", entry).groupBy("scan_id", "path").agg(
+        F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("entry")), ","), F.lit("}")).alias("path_item"),
         F.count(F.lit(1)).alias("operations"),
     )
 
 
 def openapi_document(paths: DataFrame, operations: DataFrame, values: DataFrame, seeds: DataFrame) -> DataFrame:
     """Ordered text fragments per scan: (scan_id, part, at, text). Joined in order they form the document."""
-    summary = operations.groupBy("scan_id").agg(
-        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("category")).alias("tags")
-    )
+    counted = operations.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    tagged = first_operations(operations).groupBy("scan_id").agg(F.array_sort(F.collect_set("category")).alias("tags"))
+    summary = counted.join(tagged, "scan_id")
     tags = _list(F.transform("tags", lambda t: F.concat(F.lit('{"name":'), json_text(t), F.lit("}"))))
     head = summary.join(seeds, "scan_id").select(
         "scan_id",
@@ -242,7 +248,9 @@ def openapi_document(paths: DataFrame, operations: DataFrame, values: DataFrame,
             F.lit(',"servers":['),
         ).alias("text"),
     )
-    origins = values.where(F.col("kind") == "origin").groupBy("scan_id", "value").agg(F.min("first_seq").alias("first_seq"))
+    origins = values.where(F.col("kind") == "origin").select("scan_id", "value").distinct()
+    unserved = head.join(origins, "scan_id", "left_anti").select("scan_id")
+    origins = origins.unionByName(seeds.join(unserved, "scan_id").select("scan_id", F.col("seed_url").alias("value")))
     listed = _separated(
         origins.select(
             "scan_id",

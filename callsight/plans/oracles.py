@@ -247,7 +247,8 @@ ORACLES["body_budget"] = _with(CALLS, PAYLOADS) + f"""
 SELECT scan_id, call_seq, kind, fits AND length(body) > 60 AS truncated, CASE WHEN fits THEN body[1:60] ELSE '(dropped)' END AS body
 FROM (SELECT *, sum(least(length(body), 60)) {_RUNNING} <= 150000 AS fits FROM payloads)"""
 ORACLES["spill_budget"] = _with(CALLS, PAYLOADS) + f"""
-SELECT scan_id, call_seq, 'payloads/' || kind || '-body-' || call_seq AS payload_key, length(body) AS chars
+SELECT scan_id, call_seq, 'payloads/' || kind || '-body-' || call_seq AS payload_key,
+  sha256(regexp_replace(body, '"email":"[^"]*"', '"email":"{fv.REDACTED}"', 'g')) AS digest
 FROM payloads WHERE length(body) > 60 QUALIFY sum(length(body)) {_RUNNING} <= 150000"""
 
 ORACLES["recent_pages"] = f"""
@@ -723,9 +724,11 @@ ORACLES["diff_endpoints"] = _with(CALLS, FIRST, PRESENCE) + "SELECT id, kind, br
 for _name, _table in (("diff_statuses", "d_status"), ("diff_growth", "d_growth"), ("diff_schema", "d_schema"), ("diff_schema_gaps", "d_gaps")):
     ORACLES[_name] = _with(*_COMPARED) + f"SELECT id, text, breaking FROM {_table}"
 ORACLES["diff_graphql"] = _with(CALLS, GQL) + "SELECT id, text, breaking FROM d_graphql"
-# All endpoints are called with the same parameters, and vendors see the same keys in both scans.
-ORACLES["diff_params"] = _with(CALLS) + """
-SELECT id, 'new query parameters: page, token' AS text, FALSE AS breaking FROM api GROUP BY id HAVING max(call_seq) < 0"""
+# The query takes 'token' from the first scan but for orders, and 'page' from the second for users.
+ORACLES["diff_params"] = _with(CALLS) + """,
+shared AS (SELECT id FROM api GROUP BY id HAVING count(DISTINCT scan_id) = 2)
+SELECT id, 'new query parameters: token' AS text, FALSE AS breaking FROM shared WHERE NOT contains(id, '/orders')
+UNION ALL SELECT id, 'query parameters not observed this time: page', FALSE FROM shared WHERE contains(id, '/users')"""
 ORACLES["diff_vendors"] = _with(CALLS) + f"""
 SELECT id, CASE WHEN count(DISTINCT scan_id) FILTER (host = 'api.segment.io') = 1 AND max(scan_id) FILTER (host = 'api.segment.io') = 'before'
   THEN 'vendor Segment → unattributed' ELSE 'vendor unattributed → Segment' END AS text, FALSE AS breaking

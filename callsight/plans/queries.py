@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,8 +193,9 @@ def body_budget(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def spill_budget(spark: SparkSession, sf: str) -> DataFrame:
     payloads = caps.call_payloads(samples.calls(spark, sf))
-    spilled = caps.spilled_payloads(payloads, F.col("body"), max_chars=60, total_chars=150_000)
-    return spilled.select("scan_id", "call_seq", "payload_key", F.length("body").cast("bigint").alias("chars"))
+    masked = redaction.redact_body("body")["body"]
+    spilled = caps.spilled_payloads(payloads, masked, max_chars=60, total_chars=150_000)
+    return spilled.select("scan_id", "call_seq", "payload_key", F.sha2("body", 256).alias("digest"))
 
 
 @query
@@ -591,7 +593,11 @@ def diff_statuses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def diff_params(spark: SparkSession, sf: str) -> DataFrame:
-    return _details(diff.diff_params(*_snapshots(spark, sf, "params")))
+    """The sample calls all endpoints alike, so each scan is made to lack one parameter of some endpoints."""
+    before, after = _snapshots(spark, sf, "params")
+    before = replace(before, params=before.params.where("name <> 'token' or id like '%/orders%'"))
+    after = replace(after, params=after.params.where("name <> 'page' or id not like '%/users%'"))
+    return _details(diff.diff_params(before, after))
 
 
 @query

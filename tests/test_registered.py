@@ -4,12 +4,14 @@ import pytest
 
 import check
 from __spark_entry__ import entry, oracle_sql, queries
+from callsight.plans.oracles import ORACLES
+from callsight.plans.queries import QUERIES
 
 QUICK = ["url_normalize", "link_extract", "endpoint_rollup", "schema_paths", "pacing_audit", "redirect_guard", "leak_scan", "diff_schema", "technologies"]
 
 
 def test_every_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == {"openapi_schemas", "openapi_paths"}
+    assert set(QUERIES) - set(ORACLES) == {"openapi_schemas", "openapi_paths"}
     assert set(oracle_sql()) <= set(queries())
 
 

@@ -135,6 +135,19 @@ def test_openapi_document_is_json(report):
     assert operation["responses"]["500"]["content"]["application/json"]["schema"]["properties"]["error"] == {"type": "string"}
 
 
+def test_openapi_first_operation_wins(report, spark):
+    operations = spark.createDataFrame(
+        [("s", "GET", "x", "b", '{"n":1}'), ("s", "GET", "/x", "a", '{"n":2}'), ("s", "POST", "/x", "c", '{"n":3}')],
+        "scan_id string, method string, url_pattern string, category string, operation string",
+    )
+    rows = openapi.openapi_paths(operations).collect()
+    assert [(r["path"], r["path_item"], r["operations"]) for r in rows] == [("/x", '{"get":{"n":2},"post":{"n":3}}', 2)]
+    seeds = spark.createDataFrame([("s", "https://a.test/")], "scan_id string, seed_url string")
+    fragments = openapi.openapi_document(openapi.openapi_paths(operations), operations, report.values, seeds)
+    document = json.loads("".join(r["text"] for r in fragments.where("scan_id = 's'").orderBy("part", "at").collect()))
+    assert document["servers"] == [{"url": "https://a.test/"}] and document["tags"] == [{"name": "a"}, {"name": "c"}]
+
+
 def test_signals(report, spark):
     rows = sg.signals(report.endpoints, report.values)
     assert sg.schema_violations(rows) == [] and rows.count() == report.endpoints.count()
