@@ -1,20 +1,23 @@
 """Line removal by log templates.
 
 A line is parsed to a fixed depth: by its number of words, then by its leading words, with words that
-hold a digit read as variable. The lines of a leaf share a template: a word that many documents have
-at one place of the leaf is fixed, any other word there is a variable field ``<*>``. A template found
-in ``min_docs`` documents or more recurs; its lines stay in the document of the smallest doc_id and
-leave all others.
-
-The tree is never held anywhere: leaves, fields and templates are keys of groupings, counted per
-(leaf), (leaf, place, word) and (template). Lines travel as hashes of 64 bits; only lines of leaves
-that hold several lines and enough documents are split into words.
+hold a digit read as variable. The lines of a leaf fall into clusters, each led by the line of the most
+documents; a line joins the first leader it agrees with at the share ``fixed`` of its places. The places
+where the lines of a cluster differ are its fields, whatever words they hold and however often those
+recur, so that a template has one key in a table of any size. A template found in ``min_docs``
+documents or more recurs; its lines stay in the document of the smallest doc_id and leave all others.
+
+The tree is never held anywhere: leaves and templates are keys of groupings. Lines travel as hashes of
+64 bits; only lines of leaves that hold several lines and enough documents are split into words. A large
+leaf is clustered in parts of bounded size, then the leaders of its parts among each other.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -23,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsight.llm.common import column, settle, table
+from callsight.llm.common import column, settle, shuffle_width, table
 
 FIELD = "<*>"
 DIGIT = re.compile("[0-9]")
+#: Words of the lines that are clustered at once.
+PART_WORDS = 1 << 16
 
 
 def masked(line: str) -> list[str]:
@@ -76,7 +81,10 @@ def lines_of(documents: DataFrame, depth: int, min_words: int) -> DataFrame:
 
 
 def words_of(wanted: DataFrame) -> DataFrame:
-    """leaf, line, docs, words from rows of text, lines (array of leaf, line, docs)."""
+    """leaf, line, docs, parts, words (joined by blanks) from rows of text, lines (array of leaf, line, docs, variants).
+
+    ``parts`` is the number of parts in which the leaf is clustered.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,14 +97,75 @@ def words_of(wanted: DataFrame) -> DataFrame:
                     words = masked(line)
                     entry = left.pop(key_of(words), None) if words else None
                     if entry:
-                        out.append((entry["leaf"], entry["line"], entry["docs"], words))
-            leaf, line, docs, words = zip(*out) if out else ((), (), (), ())
+                        parts = -(-entry["variants"] * len(words) // PART_WORDS)
+                        out.append((entry["leaf"], entry["line"], entry["docs"], parts, " ".join(words)))
+            leaf, line, docs, parts, words = zip(*out) if out else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(values, pa.int64()) for values in (leaf, line, docs)), pa.array(words, pa.list_(pa.string()))],
-                names=["leaf", "line", "docs", "words"],
+                [*(pa.array(values, pa.int64()) for values in (leaf, line, docs, parts)), pa.array(words, pa.string())],
+                names=["leaf", "line", "docs", "parts", "words"],
             )
 
-    return wanted.mapInArrow(split, "leaf long, line long, docs long, words array<string>")
+    return wanted.mapInArrow(split, "leaf long, line long, docs long, parts long, words string")
+
+
+class Leaders:
+    """The leading lines of some lines of a leaf, met in their order.
+
+    Two lines may differ at ``may`` places. Of ``may`` + 1 groups of places they then agree in one, so
+    leaders are looked up by the words of a group, and only those found are compared.
+    """
+
+    def __init__(self, size: int, depth: int, fixed: float):
+        self.may = size - math.ceil(fixed * size - 1e-9)
+        rest = max(size - depth, 0)  # the leading words are those of the leaf
+        count = min(self.may + 1, rest + 1)
+        bounds = [size - rest + rest * at // count for at in range(count + 1)]
+        self.slices = list(zip(bounds, bounds[1:]))
+        self.keys: list[int] = []
+        self.words: list[list[str]] = []
+        self.found: dict[tuple, list[int]] = {}
+
+    def of(self, key: int, words: list[str]) -> int:
+        """The key of the first leader that agrees with a line, or else its own."""
+        slots = [(at, *words[begin:end]) for at, (begin, end) in enumerate(self.slices)]
+        for leader in sorted({leader for slot in slots for leader in self.found.get(slot, ())}):
+            if sum(map(ne, words, self.words[leader])) <= self.may:
+                return self.keys[leader]
+        for slot in slots:
+            self.found.setdefault(slot, []).append(len(self.keys))
+        self.keys.append(key)
+        self.words.append(words)
+        return key
+
+
+def led(lines: DataFrame, keys: list[str], depth: int, fixed: float) -> DataFrame:
+    """leaf, line, docs, parts, words, leader: each line with the line that leads it among those of equal ``keys``.
+
+    Only leaders keep their words.
+    """
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaders = None, None
+        for batch in batches:
+            out, left = [], []
+            here = zip(*(column(batch, name).to_pylist() for name in keys))
+            for key, line, text in zip(here, column(batch, "line").to_pylist(), column(batch, "words").to_pylist()):
+                words = text.split(" ")
+                if key != at:
+                    at, leaders = key, Leaders(len(words), depth, fixed)
+                leader = leaders.of(line, words)
+                out.append(leader)
+                left.append(text if leader == line else None)
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, name) for name in ("leaf", "line", "docs", "parts")]
+                + [pa.array(left, pa.string()), pa.array(out, pa.int64())],
+                names=["leaf", "line", "docs", "parts", "words", "leader"],
+            )
+
+    placed = lines.repartition(shuffle_width(lines.sparkSession), *keys)
+    return placed.sortWithinPartitions(*keys, F.desc("docs"), "line").mapInArrow(
+        lead, "leaf long, line long, docs long, parts long, words string, leader long"
+    )
 
 
 def template_lines(
@@ -106,8 +175,9 @@ def template_lines(
 
     One row for each line to leave: doc_id, text_key (hash of the text), line (hash of its masked
     words), template. The line stays in the document that comes first by (doc_id, text_key), nulls
-    first. A template needs ``min_words`` words, and at least the share ``fixed`` of them fixed; a
-    whole line repeated word for word always meets this. Null and empty texts have no lines. Rows
+    first. A template needs ``min_words`` words. Its lines agree in their first ``depth`` words and with
+    its leading line, in a large leaf with the leading line of their part, at the share ``fixed`` of
+    all words. Null and empty texts have no lines. Rows
     with equal doc_id and text count as one document.
     """
     whole = settle(lines_of(documents, depth, min_words).distinct())
@@ -120,26 +190,20 @@ def template_lines(
     busy = settle(leaves.where(F.col("docs") >= min_docs).select("leaf", "variants"))
     # A leaf of one line is its own template; the words matter only where lines differ.
     wanted = (
-        counted.join(busy.where("variants > 1"), "leaf", "left_semi")
+        counted.join(busy.where("variants > 1"), "leaf")
         .groupBy(F.col("first.doc_id").alias("__doc"), F.col("first.text_key").alias("__text_key"))
-        .agg(F.collect_list(F.struct("leaf", "line", "docs")).alias("lines"))  # at most the lines of one text
+        .agg(F.collect_list(F.struct("leaf", "line", "docs", "variants")).alias("lines"))  # at most the lines of one text
     )
     texts = _documents(documents).join(
         wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__text_key"))
     )
-    words = settle(words_of(texts.select("text", "lines")).dropDuplicates(["leaf", "line"]))
-    placed = words.select("leaf", "line", "docs", F.posexplode("words").alias("at", "word"))
-    support = placed.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("support"))
-    kept = (
-        placed.join(support.where(F.col("support") >= min_docs), ["leaf", "at", "word"])
-        .groupBy("leaf", "line")
-        .agg(F.count("*").alias("n_fixed"), F.sum(F.xxhash64("at", "word").cast("decimal(38,0)")).alias("shape"))
-    )
-    general = (
-        words.select("leaf", "line", F.size("words").alias("n"))
-        .join(kept, ["leaf", "line"])
-        .where(F.col("n_fixed") >= fixed * F.col("n"))
-        .select("leaf", "line", F.xxhash64("leaf", "shape").alias("template"))
+    words = words_of(texts.select("text", "lines")).dropDuplicates(["leaf", "line"])
+    words = words.withColumn("part", F.pmod(F.xxhash64("line"), "parts"))
+    parts = settle(led(words, ["leaf", "part"], depth, fixed))
+    leaders = led(parts.where("parts > 1 and words is not null").drop("leader"), ["leaf"], depth, fixed)
+    leaders = leaders.select("leaf", F.col("line").alias("leader"), F.col("leader").alias("above"))
+    general = parts.where("parts = 1").select("leaf", "line", F.xxhash64("leaf", "leader").alias("template")).union(
+        parts.where("parts > 1").join(leaders, ["leaf", "leader"]).select("leaf", "line", F.xxhash64("leaf", "above").alias("template"))
     )
     alone = counted.join(busy.where("variants = 1"), "leaf", "left_semi")
     known = general.union(alone.select("leaf", "line", F.xxhash64("leaf", "line").alias("template")))

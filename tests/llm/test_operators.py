@@ -175,6 +175,35 @@ def test_recurring_templates_leave_all_but_the_first(spark, nothing):
     assert line_templates.without_templates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("part_words", [line_templates.PART_WORDS, 60])
+def test_templates_have_one_key_at_every_size(spark, monkeypatch, part_words):
+    monkeypatch.setattr(line_templates, "PART_WORDS", part_words)  # small parts: leaders of parts meet again
+    rng = np.random.default_rng(7)
+    names, desks = ([f"{stem}{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(100)] for stem in ("name", "desk"))
+    line = "The reading room was opened for {} who then asked at {} for the keys"
+    other = "The reading room was closed because {} had lost them all during {} last night again"
+    for size in (20, 200):
+        picks = [(names[rng.integers(100)], desks[rng.integers(50)]) for _ in range(size)]
+        rows = [(n, line.format(*pick) + "\n" + other.format(*pick)) for n, pick in enumerate(picks)]
+        rows.append((size, line.format("odd", "odd").replace("keys", "locks")))
+        rows.append((size + 1, "The reading room was a place where nobody of our town ever went"))
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {row.doc_id: row["__lines_dropped"] for row in line_templates.without_templates(frame).collect()}
+        assert got == {0: 0} | {n: 2 for n in range(1, size)} | {size: 1, size + 1: 0}
+
+
+def test_leaders_are_those_of_all_pairs():
+    rng = np.random.default_rng(8)
+    for size in (5, 6, 9, 14, 30):
+        leaders, kept = line_templates.Leaders(size, 4, 0.7), []
+        for key in range(300):
+            words = ["a", "b", "c", "d", *(str(x) for x in rng.integers(0, 3, size - 4))]
+            agree = [k for k, other in kept if sum(x == y for x, y in zip(words, other)) >= 0.7 * size - 1e-9]
+            assert leaders.of(key, words) == (agree[0] if agree else key)
+            if not agree:
+                kept.append((key, words))
+
+
 def test_classifier_learns_and_scores_any_text(spark, documents, nothing):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, len(quality.FEATURES)))
