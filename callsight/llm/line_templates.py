@@ -6,6 +6,8 @@ documents; a line joins the first leader it agrees with at the share ``fixed`` o
 where the lines of a cluster differ are its fields, whatever words they hold and however often those
 recur, so that a template has one key in a table of any size. A template found in ``min_docs``
 documents or more recurs; its lines stay in the document of the smallest doc_id and leave all others.
+A line of ``long_words`` words or more is also a template by itself, word for word with its digits, and
+recurs from two documents on.
 
 The tree is never held anywhere: leaves and templates are keys of groupings. Lines travel as hashes of
 64 bits; only lines of leaves that hold several lines and enough documents are split into words. A large
@@ -52,12 +54,19 @@ def _documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def lines_of(documents: DataFrame, depth: int, min_words: int) -> DataFrame:
-    """doc_id, text_key, leaf, line for the distinct lines of each text."""
+def verbatim(line: str) -> int:
+    return key_of(["", *line.split()])
+
+
+def lines_of(documents: DataFrame, depth: int, min_words: int, min_docs: int, long_words: int) -> DataFrame:
+    """doc_id, text_key, leaf, line, need for the distinct lines of each text; long lines once more as they are written.
+
+    ``need`` is the number of documents from which on a template of the leaf recurs.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, leaves, keys = [], [], []
+            rows, leaves, keys, needs = [], [], [], []
             for row, text in enumerate(column(batch, "text").to_pylist()):
                 seen = set()
                 for line in text.split("\n"):
@@ -70,14 +79,21 @@ def lines_of(documents: DataFrame, depth: int, min_words: int) -> DataFrame:
                         rows.append(row)
                         leaves.append(key_of([str(len(words)), *words[:depth]]))
                         keys.append(key)
+                        needs.append(min_docs)
+                    if len(words) >= long_words and (key := verbatim(line)) not in seen:
+                        seen.add(key)
+                        rows.append(row)
+                        leaves.append(key)
+                        keys.append(key)
+                        needs.append(min(min_docs, 2))
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id").take(at), column(batch, "text_key").take(at)]
-                + [pa.array(values, pa.int64()) for values in (leaves, keys)],
-                names=["doc_id", "text_key", "leaf", "line"],
+                + [pa.array(values, pa.int64()) for values in (leaves, keys, needs)],
+                names=["doc_id", "text_key", "leaf", "line", "need"],
             )
 
-    return _documents(documents).mapInArrow(parse, "doc_id long, text_key long, leaf long, line long")
+    return _documents(documents).mapInArrow(parse, "doc_id long, text_key long, leaf long, line long, need long")
 
 
 def words_of(wanted: DataFrame) -> DataFrame:
@@ -169,25 +185,25 @@ def led(lines: DataFrame, keys: list[str], depth: int, fixed: float) -> DataFram
 
 
 def template_lines(
-    documents: DataFrame, min_docs: int = 3, depth: int = 4, fixed: float = 0.7, min_words: int = 3
+    documents: DataFrame, min_docs: int = 3, depth: int = 4, fixed: float = 0.7, min_words: int = 3, long_words: int = 50
 ) -> DataFrame:
     """The recurring templates of ``documents`` (doc_id, text) and the lines they match.
 
-    One row for each line to leave: doc_id, text_key (hash of the text), line (hash of its masked
-    words), template. The line stays in the document that comes first by (doc_id, text_key), nulls
+    One row for each line to leave and template it is of: doc_id, text_key (hash of the text), line
+    (hash of its masked words, or of a long line as it is written), template. The line stays in the document that comes first by (doc_id, text_key), nulls
     first. A template needs ``min_words`` words. Its lines agree in their first ``depth`` words and with
     its leading line, in a large leaf with the leading line of their part, at the share ``fixed`` of
     all words. Null and empty texts have no lines. Rows
     with equal doc_id and text count as one document.
     """
-    whole = settle(lines_of(documents, depth, min_words).distinct())
+    whole = settle(lines_of(documents, depth, min_words, min_docs, long_words).distinct())
     document = F.struct("doc_id", "text_key")
     # Documents of a line are counted first, so that hot lines and leaves arrive summed.
     counted = settle(
-        whole.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(document).alias("first"))
+        whole.groupBy("leaf", "line", "need").agg(F.count("*").alias("docs"), F.min(document).alias("first"))
     )
-    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("variants"))
-    busy = settle(leaves.where(F.col("docs") >= min_docs).select("leaf", "variants"))
+    leaves = counted.groupBy("leaf", "need").agg(F.sum("docs").alias("docs"), F.count("*").alias("variants"))
+    busy = settle(leaves.where("docs >= need").select("leaf", "variants"))
     # A leaf of one line is its own template; the words matter only where lines differ.
     wanted = (
         counted.join(busy.where("variants > 1"), "leaf")
@@ -209,15 +225,16 @@ def template_lines(
     known = general.union(alone.select("leaf", "line", F.xxhash64("leaf", "line").alias("template")))
     # Only templates of enough documents go on; counting a document twice here is put right below.
     enough = counted.join(known, ["leaf", "line"])
-    sums = enough.groupBy("template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    sums = enough.groupBy("template", "need").agg(F.sum("docs").alias("docs")).where("docs >= need")
     known = settle(enough.join(sums.select("template"), "template").select("leaf", "line", "template"))
-    found = settle(whole.join(known, ["leaf", "line"]).select("doc_id", "text_key", "line", "template"))
+    found = settle(whole.join(known, ["leaf", "line"]).select("doc_id", "text_key", "line", "template", "need"))
     recurring = (
-        found.select("template", "doc_id", "text_key")
+        found.select("template", "need", "doc_id", "text_key")
         .distinct()
-        .groupBy("template")
+        .groupBy("template", "need")
         .agg(F.count("*").alias("docs"), F.min(document).alias("first"))
-        .where(F.col("docs") >= min_docs)
+        .where("docs >= need")
+        .select("template", "first")
     )
     return (
         found.join(recurring, "template")
@@ -233,7 +250,10 @@ def _kept(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
             out.append(None)
             continue
         leaving, lines = set(keys), text.split("\n")
-        kept = [line for line in lines if not (words := masked(line)) or key_of(words) not in leaving]
+        kept = [
+            line for line in lines
+            if not (words := masked(line)) or key_of(words) not in leaving and verbatim(line) not in leaving
+        ]
         out.append("\n".join(kept))
         dropped[at] = len(lines) - len(kept)
     return pd.DataFrame({"text": pd.Series(out, dtype=object), "dropped": dropped})

@@ -192,6 +192,18 @@ def test_templates_have_one_key_at_every_size(spark, monkeypatch, part_words):
         assert got == {0: 0} | {n: 2 for n in range(1, size)} | {size: 1, size + 1: 0}
 
 
+def test_long_lines_recur_from_two_documents_on(spark):
+    def passage(n, words):
+        return " ".join(hashlib.md5(f"{n} {k}".encode()).hexdigest() for k in range(words))
+
+    numbers = " ".join(str(n) for n in range(100, 160))
+    rows = [(1, passage(1, 50) + "\nown"), (2, "other\n" + passage(1, 50)), (3, numbers), (4, numbers[::-1]),
+            (6, passage(6, 49)), (7, passage(6, 49))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {row.doc_id: row.text for row in line_templates.without_templates(frame).collect()}
+    assert got == dict(rows) | {2: "other"}  # other numbers are not the same line; 49 words are not long
+
+
 def test_leaders_are_those_of_all_pairs():
     rng = np.random.default_rng(8)
     for size in (5, 6, 9, 14, 30):
