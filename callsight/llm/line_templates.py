@@ -7,7 +7,8 @@ where the lines of a cluster differ are its fields, whatever words they hold and
 recur, so that a template has one key in a table of any size. A template found in ``min_docs``
 documents or more recurs; its lines stay in the document of the smallest doc_id and leave all others.
 A line of ``long_words`` words or more is also a template by itself, word for word with its digits, and
-recurs from two documents on.
+recurs from two documents on. A line of fewer than ``min_words`` words is a template as it is written,
+and recurs from ``short_docs`` documents on.
 
 The tree is never held anywhere: leaves and templates are keys of groupings. Lines travel as hashes of
 64 bits; only lines of leaves that hold several lines and enough documents are split into words. A large
@@ -32,14 +33,16 @@ from callsight.llm.common import column, settle, shuffle_width, table
 
 FIELD = "<*>"
 DIGIT = re.compile("[0-9]")
+#: Words from which on a line is generalised; a shorter one is only taken as it is written.
+MIN_WORDS = 3
 #: Words of the lines that are clustered at once.
 PART_WORDS = 1 << 16
 
 
-def masked(line: str) -> list[str]:
-    """The words of a line, those that hold a digit as fields."""
+def masked(line: str, min_words: int) -> list[str]:
+    """The words of a line, those that hold a digit as fields if it has ``min_words`` words."""
     words = line.split()
-    if DIGIT.search(line):
+    if len(words) >= min_words and DIGIT.search(line):
         words = [FIELD if DIGIT.search(word) else word for word in words]
     return words
 
@@ -58,7 +61,9 @@ def verbatim(line: str) -> int:
     return key_of(["", *line.split()])
 
 
-def lines_of(documents: DataFrame, depth: int, min_words: int, min_docs: int, long_words: int) -> DataFrame:
+def lines_of(
+    documents: DataFrame, depth: int, min_words: int, min_docs: int, long_words: int, short_docs: int
+) -> DataFrame:
     """doc_id, text_key, leaf, line, need for the distinct lines of each text; long lines once more as they are written.
 
     ``need`` is the number of documents from which on a template of the leaf recurs.
@@ -70,16 +75,17 @@ def lines_of(documents: DataFrame, depth: int, min_words: int, min_docs: int, lo
             for row, text in enumerate(column(batch, "text").to_pylist()):
                 seen = set()
                 for line in text.split("\n"):
-                    words = masked(line)
-                    if len(words) < min_words:
+                    words = masked(line, min_words)
+                    if not words:
                         continue
+                    short = len(words) < min_words
                     key = key_of(words)
                     if key not in seen:
                         seen.add(key)
                         rows.append(row)
-                        leaves.append(key_of([str(len(words)), *words[:depth]]))
+                        leaves.append(key_of([str(len(words)), *(words if short else words[:depth])]))
                         keys.append(key)
-                        needs.append(min_docs)
+                        needs.append(short_docs if short else min_docs)
                     if len(words) >= long_words and (key := verbatim(line)) not in seen:
                         seen.add(key)
                         rows.append(row)
@@ -96,7 +102,7 @@ def lines_of(documents: DataFrame, depth: int, min_words: int, min_docs: int, lo
     return _documents(documents).mapInArrow(parse, "doc_id long, text_key long, leaf long, line long, need long")
 
 
-def words_of(wanted: DataFrame) -> DataFrame:
+def words_of(wanted: DataFrame, min_words: int) -> DataFrame:
     """leaf, line, docs, parts, words (joined by blanks) from rows of text, lines (array of leaf, line, docs, variants).
 
     ``parts`` is the number of parts in which the leaf is clustered.
@@ -110,7 +116,7 @@ def words_of(wanted: DataFrame) -> DataFrame:
                 for line in text.split("\n"):
                     if not left:
                         break
-                    words = masked(line)
+                    words = masked(line, min_words)
                     entry = left.pop(key_of(words), None) if words else None
                     if entry:
                         parts = -(-entry["variants"] * len(words) // PART_WORDS)
@@ -185,18 +191,18 @@ def led(lines: DataFrame, keys: list[str], depth: int, fixed: float) -> DataFram
 
 
 def template_lines(
-    documents: DataFrame, min_docs: int = 3, depth: int = 4, fixed: float = 0.7, min_words: int = 3, long_words: int = 50
-) -> DataFrame:
+    documents: DataFrame, min_docs: int = 3, depth: int = 4, fixed: float = 0.7, min_words: int = MIN_WORDS,
+    long_words: int = 50, short_docs: int = 4,
+) -> DataFrame:
     """The recurring templates of ``documents`` (doc_id, text) and the lines they match.
 
     One row for each line to leave and template it is of: doc_id, text_key (hash of the text), line
-    (hash of its masked words, or of a long line as it is written), template. The line stays in the document that comes first by (doc_id, text_key), nulls
-    first. A template needs ``min_words`` words. Its lines agree in their first ``depth`` words and with
-    its leading line, in a large leaf with the leading line of their part, at the share ``fixed`` of
+    (hash of its masked words, or of a long or short line as it is written), template. The line stays in the document that comes first by (doc_id, text_key), nulls
+    first. The lines of a generalised template agree in their first ``depth`` words and with its leading line, in a large leaf with the leading line of their part, at the share ``fixed`` of
     all words. Null and empty texts have no lines. Rows
     with equal doc_id and text count as one document.
     """
-    whole = settle(lines_of(documents, depth, min_words, min_docs, long_words).distinct())
+    whole = settle(lines_of(documents, depth, min_words, min_docs, long_words, short_docs).distinct())
     document = F.struct("doc_id", "text_key")
     # Documents of a line are counted first, so that hot lines and leaves arrive summed.
     counted = settle(
@@ -213,7 +219,7 @@ def template_lines(
     texts = _documents(documents).join(
         wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__text_key"))
     )
-    words = words_of(texts.select("text", "lines")).dropDuplicates(["leaf", "line"])
+    words = words_of(texts.select("text", "lines"), min_words).dropDuplicates(["leaf", "line"])
     words = words.withColumn("part", F.pmod(F.xxhash64("line"), "parts"))
     parts = settle(led(words, ["leaf", "part"], depth, fixed))
     leaders = led(parts.where("parts > 1 and words is not null").drop("leader"), ["leaf"], depth, fixed)
@@ -243,7 +249,7 @@ def template_lines(
     )
 
 
-def _kept(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+def _kept(texts: pd.Series, gone: pd.Series, min_words: int) -> pd.DataFrame:
     out, dropped = [], np.zeros(len(texts), dtype=np.int64)
     for at, (text, keys) in enumerate(zip(texts, gone)):
         if text is None:
@@ -252,20 +258,20 @@ def _kept(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         leaving, lines = set(keys), text.split("\n")
         kept = [
             line for line in lines
-            if not (words := masked(line)) or key_of(words) not in leaving and verbatim(line) not in leaving
+            if not (words := masked(line, min_words)) or key_of(words) not in leaving and verbatim(line) not in leaving
         ]
         out.append("\n".join(kept))
         dropped[at] = len(lines) - len(kept)
     return pd.DataFrame({"text": pd.Series(out, dtype=object), "dropped": dropped})
 
 
-def without_templates(documents: DataFrame, **options) -> DataFrame:
+def without_templates(documents: DataFrame, min_words: int = MIN_WORDS, **options) -> DataFrame:
     """``documents`` without recurring lines; every row and column stays, null texts stay null.
 
     A line that leaves takes its line break along. ``__lines_dropped`` counts what went.
     """
     gone = (
-        template_lines(documents, **options)
+        template_lines(documents, min_words=min_words, **options)
         .groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text_key"))
         .agg(F.collect_set("line").alias("__gone"))  # at most the lines of one text
     )
@@ -276,7 +282,11 @@ def without_templates(documents: DataFrame, **options) -> DataFrame:
         "left",
     )
     changed = F.col("__gone").isNotNull()
-    kept = F.pandas_udf(_kept, "struct<text string, dropped long>")
+
+    @F.pandas_udf("struct<text string, dropped long>")
+    def kept(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        return _kept(texts, gone, min_words)
+
     return (
         joined.withColumn("__kept", kept(F.when(changed, F.col("text")), "__gone"))
         .withColumn("__lines_dropped", F.when(changed, F.col("__kept.dropped")).otherwise(0).cast("long"))

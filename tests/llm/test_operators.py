@@ -204,6 +204,13 @@ def test_long_lines_recur_from_two_documents_on(spark):
     assert got == dict(rows) | {2: "other"}  # other numbers are not the same line; 49 words are not long
 
 
+def test_short_lines_recur_as_they_are_written(spark):
+    rows = [(n, f"Home\nPage {n}\n{n}\nRead more\n全部分类\n") for n in range(4)] + [(9, "Read\nmore"), (10, "Page 2")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {row.doc_id: row.text for row in line_templates.without_templates(frame).collect()}
+    assert got == {0: rows[0][1]} | {n: f"Page {n}\n{n}\n" for n in (1, 2, 3)} | {9: "Read\nmore", 10: "Page 2"}
+
+
 def test_leaders_are_those_of_all_pairs():
     rng = np.random.default_rng(8)
     for size in (5, 6, 9, 14, 30):
