@@ -51,27 +51,28 @@ def judged(captures: DataFrame, entries: DataFrame, horizon: tuple[int, int]) ->
 
     Added are ``host``, ``lists`` (sorted, empty if none), ``since`` (when the earliest of the entries began)
     and ``allowed``. A list holds a capture if it holds the host or a parent domain of it. ``horizon`` bounds the times in which
-    intervals are cut to slices; a fetch outside of it meets only the entries active at its nearer end.
+    intervals are cut to slices; the first and the last slice also hold all times before and after it.
     Without a host or a time nothing holds a capture. Repeated captures are judged each for itself.
     """
     low, high = horizon
-    clamped = F.greatest(F.least(F.col("fetched_at").cast("long"), F.lit(high)), F.lit(low))
+
+    def slice_of(at: str) -> Column:
+        return F.floor((F.greatest(F.least(at, F.lit(high)), F.lit(low)) - low) / SLICE)
+
     labels = F.split("host", r"\.")
     parents = F.when(
         F.col("host").isNotNull(),
         F.transform(F.sequence(F.lit(1), F.size(labels)), lambda at: F.array_join(F.slice(labels, at, F.size(labels)), ".")),
     )
-    rows = captures.withColumn("host", host_of("url")).withColumn("__at", clamped)
+    rows = captures.withColumn("host", host_of("url")).withColumn("__at", F.col("fetched_at").cast("long"))
     asks = (
         rows.where("host is not null and __at is not null")
         .select("host", "__at")
         .distinct()
-        .select("host", "__at", F.explode(parents).alias("domain"), F.floor((F.col("__at") - low) / SLICE).alias("__slice"))
+        .select("host", "__at", F.explode(parents).alias("domain"), slice_of("__at").alias("__slice"))
     )
-    spans = intervals(entries).where((F.col("until") > low) & (F.col("since") <= high))
-    first = F.floor((F.greatest("since", F.lit(low)) - low) / SLICE)
-    last = F.floor((F.least("until", F.lit(high)) - low) / SLICE)
-    cut = spans.select("list", "domain", "since", "until", F.explode(F.sequence(first, last)).alias("__slice"))
+    slices = F.explode(F.sequence(slice_of("since"), slice_of("until")))
+    cut = intervals(entries).select("list", "domain", "since", "until", slices.alias("__slice"))
     hits = (
         asks.join(cut, ["domain", "__slice"])
         .where((F.col("since") <= F.col("__at")) & (F.col("__at") < F.col("until")))

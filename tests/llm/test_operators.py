@@ -316,3 +316,17 @@ def test_lists_hold_captures_by_time(spark):
     got = Counter((row.url, row.fetched_at, tuple(row.lists), row.allowed) for row in found.collect())
     lists = [(), ("spam",), ("adult", "spam"), (), (), (), (), ("spam",), ("spam",)]
     assert got == Counter((u, t, held, not held) for (u, t), held in zip(captures, lists))
+
+
+def test_lists_hold_captures_outside_the_horizon(spark):
+    entries = [("spam", "b.org", 10, "add"), ("spam", "b.org", 40, "remove"), ("spam", "c.org", 2000, "add"),
+               ("adult", "c.org", 900, "add"), ("adult", "c.org", 3000, "remove")]
+    captures = [("http://b.org", 5), ("http://b.org", 20), ("http://b.org", 50), ("http://c.org", 1500),
+                ("http://c.org", 2500), ("http://c.org", 2 * url_lists.SLICE)]
+    found = url_lists.judged(
+        spark.createDataFrame(captures, "url string, fetched_at long"),
+        spark.createDataFrame(entries, "list string, domain string, at long, action string"),
+        (100, 1000),
+    )
+    got = {(row.url, row.fetched_at): tuple(row.lists) for row in found.collect()}
+    assert got == dict(zip(captures, [(), ("spam",), (), ("adult",), ("adult", "spam"), ("spam",)]))
