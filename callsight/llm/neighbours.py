@@ -7,7 +7,8 @@ product itself. For the greatest inner product, vectors are first lifted to one
 coordinate, so that the nearest pivots are those of the greatest product.
 
 The index is cut into shards of bounded size, each with its own inverted files; queries are cut into
-blocks, and each block meets each shard once. Equal vectors are indexed once and stand for their
+blocks, and each block meets each shard once. Vectors of each length have pivots, shards and blocks of
+their own and are searched among themselves. Equal vectors are indexed once and stand for their
 smallest ids, as many as a result can show.
 """
 
@@ -78,54 +79,63 @@ def nearest(
 
     ``queries`` selects the query rows; candidates are all other rows, whatever their id. Nearness is
     the inner product in double precision, ties go to the smaller vec_id. Rows without vec_id, and
-    vectors null, empty, zero, holding null or non-finite components, or of another length than most,
-    take no part. Repeated rows count once; where a vec_id stands on several vectors, it is no
+    vectors null, empty, zero, or holding null or non-finite components take no part; candidates are of
+    the length of the query. Repeated rows count once; where a vec_id stands on several vectors, it is no
     neighbour of its own. No more rows than there are candidates come back.
     """
     spark, parts = vectors.sparkSession, shuffle_width(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", queries.alias("asks")).where(
         F.col("vec_id").isNotNull() & _usable("embedding")
     )
-    dimension = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimension = dimension.d if dimension else 0
-    rows = (
-        rows.where(F.size("embedding") == dimension)
-        .select("vec_id", "asks", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-        .withColumn("same", F.xxhash64("v"))
-    )
+    rows = rows.select(
+        "vec_id", "asks", F.transform("embedding", lambda x: x.cast("double")).alias("v")
+    ).withColumn("same", F.xxhash64("v"))
     smallest = F.row_number().over(Window.partitionBy("same").orderBy("vec_id"))
     named = rows.select("same", "vec_id").distinct().withColumn("at", smallest).where(F.col("at") <= k + 1)
     ids = named.groupBy("same").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
     classes = settle(rows.groupBy("same").agg(F.first("v").alias("v"), F.max("asks").alias("asks")).join(ids, "same"))
     asking = settle(rows.where("asks").select(F.col("vec_id").alias("query_id"), "same").distinct())
-    facts = classes.agg(F.count("*"), F.count_if("asks"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    count, asked, longest = facts[0], facts[1], float(np.sqrt(facts[2] or 0.0))
-    drawn = classes.orderBy(F.xxhash64("same", F.lit(7)), "same").limit(pivots).select("v").collect()
-    lifted = _lifted(np.array([row.v for row in drawn], dtype=np.float64).reshape(len(drawn), dimension), longest)
-    shared = spark.sparkContext.broadcast(lifted)  # as many rows as pivots
-    shards, blocks = -(-count // SHARD_ROWS) or 1, -(-asked // BLOCK_ROWS) or 1
+    length = F.size("v").alias("d")
+    squared = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    facts = classes.groupBy(length).agg(F.count("*").alias("n"), F.count_if("asks").alias("asked"), squared.alias("sq")).collect()
+    longest = {row.d: float(np.sqrt(row.sq)) for row in facts}
+    hashed = classes.select(length, "same", F.xxhash64("same", F.lit(7)).alias("h"))
+    place = F.row_number().over(Window.partitionBy("d").orderBy("h", "same"))
+    drawn = hashed.withColumn("at", place).where(F.col("at") <= pivots)
+    found_pivots: dict[int, list] = {}
+    for row in drawn.join(classes.select("same", "v"), "same").orderBy("d", "at").select("d", "v").collect():
+        found_pivots.setdefault(row.d, []).append(row.v)
+    lifted = {d: _lifted(np.array(vs, dtype=np.float64), longest[d]) for d, vs in found_pivots.items()}
+    shared = spark.sparkContext.broadcast(lifted)  # for each length as many rows as pivots
+    cuts = [(row.d, -(-row.n // SHARD_ROWS), -(-row.asked // BLOCK_ROWS) or 1) for row in facts]
+    cuts = F.broadcast(spark.createDataFrame(cuts, "d int, shards int, blocks int"))  # a row for each length
+    classes = classes.withColumn("d", F.size("v")).join(cuts, "d")
     spread = F.xxhash64("same", F.lit(1))
     posted = classes.select(
-        F.pmod(spread, F.lit(shards)).cast("int").alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        "d",
+        F.pmod(spread, "shards").cast("int").alias("shard"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.lit(0).alias("side"), "same", "v", "ids",
     )
     sent = classes.where("asks").select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.pmod(spread, F.lit(blocks)).cast("int").alias("block"),
+        "d",
+        F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
+        F.pmod(spread, "blocks").cast("int").alias("block"),
         F.lit(1).alias("side"), "same", "v", F.array().cast("array<long>").alias("ids"),
     )
-    met = posted.union(sent).repartition(parts, "shard", "block").sortWithinPartitions("shard", "block", "side")
+    met = posted.union(sent).repartition(parts, "d", "shard", "block")
+    met = met.sortWithinPartitions("d", "shard", "block", "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots_ = shared.value
-        for part in groups(batches, ["shard", "block"]):
+        for part in groups(batches, ["d", "shard", "block"]):
             side = part.column("side").to_numpy()
             all_ = part.column("v").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
             split = int((side == 0).sum())
             if not split or split == len(side):
                 continue
-            index = Shard(all_[:split], pivots_, longest, order)
+            size = all_.shape[1]
+            pivots_ = shared.value[size]
+            index = Shard(all_[:split], pivots_, longest[size], order)
             ids = part.column("ids").to_pylist()
             asks = all_[split:]
             orders = _orders(np.hstack([asks, np.zeros((len(asks), 1))]), pivots_, order)

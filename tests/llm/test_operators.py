@@ -261,6 +261,21 @@ def test_index_on_odd_vectors(spark):
     assert neighbours.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_index_searches_every_length(spark):
+    rng = np.random.default_rng(5)
+    rows = [(n, rng.normal(size=8 if n < 60 else 5).astype("float32").tolist()) for n in range(100)] + [(100, [1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for row in neighbours.nearest(frame, F.col("vec_id") % 20 == 0, k=5, pivots=16, order=8).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id))
+    vectors = {i: np.array(v, dtype=float) for i, v in rows}
+    assert set(got) == {0, 20, 40, 60, 80}
+    for query, found in got.items():
+        v = vectors[query]
+        near = sorted((-float(w @ v), i) for i, w in vectors.items() if i != query and len(w) == len(v))[:5]
+        assert sorted(found) == [(at + 1, i) for at, (_, i) in enumerate(near)]
+
+
 def test_wrappers_find_the_article():
     page = (
         "<html><head><title>T</title></head><body><header>H</header><div class='cookie-notice'>n</div><nav><a>m</a></nav>"
