@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from callsight.llm import bpe, chat, line_templates, near_duplicates, neighbours, packing, quality, rules, url_lists, wrappers
+from callsight.llm import (
+    bpe,
+    chat,
+    line_templates,
+    near_duplicates,
+    neighbours,
+    packing,
+    quality,
+    rules,
+    runs,
+    url_lists,
+    wrappers,
+)
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,6 +27,7 @@ QUERIES = {
     "op8_quality_classifier": quality.query,
     "op9_byte_bpe": bpe.query,
     "op10_jaccard_join": near_duplicates.query,
+    "op13_periodic_runs": runs.query,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
