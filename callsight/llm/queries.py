@@ -5,6 +5,7 @@ from __future__ import annotations
 from callsight.llm import (
     bpe,
     chat,
+    divergence,
     line_templates,
     near_duplicates,
     neighbours,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_quality_classifier": quality.query,
     "op9_byte_bpe": bpe.query,
     "op10_jaccard_join": near_duplicates.query,
+    "op11_source_divergence": divergence.query,
     "op13_periodic_runs": runs.query,
 }
 
@@ -145,4 +147,38 @@ ORACLES = {
         SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(d, 0)::BIGINT AS n_links
         FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id) LEFT JOIN degrees USING (doc_id)
     """,
+    "op11_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents),
+        words AS (
+            SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+        places AS (SELECT DISTINCT lang, source FROM docs),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        dense AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n
+            FROM places JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+        shares AS (
+            SELECT *, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER g + 2 * count(*) OVER g) AS p
+            FROM dense WINDOW g AS (PARTITION BY lang, source)),
+        whole AS (SELECT lang, term, sum(n) AS n FROM dense GROUP BY ALL),
+        lang_shares AS (
+            SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER g + 2 * count(*) OVER g) AS q
+            FROM whole WINDOW g AS (PARTITION BY lang)),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM places a JOIN places b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+        terms AS (
+            SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+            FROM shares JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        QUALIFY part = 'pair' OR rank <= 10
+    """,
 }
