@@ -8,6 +8,7 @@ from callsight.llm import (
     divergence,
     line_templates,
     near_duplicates,
+    near_vectors,
     neighbours,
     packing,
     quality,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_byte_bpe": bpe.query,
     "op10_jaccard_join": near_duplicates.query,
     "op11_source_divergence": divergence.query,
+    "op12_near_vectors": near_vectors.query,
     "op13_periodic_runs": runs.query,
 }
 
@@ -181,4 +183,24 @@ ORACLES = {
         FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
         QUALIFY part = 'pair' OR rank <= 10
     """,
+    "op12_near_vectors": r"""
+        WITH RECURSIVE good AS (
+            SELECT row_number() OVER () AS id, vec_id, embedding::DOUBLE[] AS v,
+                   embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+            FROM embeddings),
+        links AS (
+            SELECT a.id AS x, b.id AS y
+            FROM good a JOIN good b ON a.id <> b.id AND a.usable AND b.usable AND len(a.v) = len(b.v)
+            WHERE CASE WHEN a.usable AND b.usable THEN list_cosine_similarity(a.v, b.v) >= 0.9 ELSE false END),
+        reach AS (
+            SELECT DISTINCT x AS id, x AS other FROM links
+            UNION
+            SELECT reach.id, y FROM reach JOIN links ON x = other),
+        roots AS (SELECT reach.id, min(vec_id) AS root FROM reach JOIN good ON good.id = other GROUP BY reach.id),
+        degrees AS (SELECT x AS id, count(*) AS d FROM links GROUP BY x)
+        SELECT vec_id, coalesce(d, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id,
+               vec_id IS NOT DISTINCT FROM coalesce(root, vec_id) AS kept
+        FROM good LEFT JOIN roots USING (id) LEFT JOIN degrees USING (id)
+    """,
 }
