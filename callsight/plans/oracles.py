@@ -870,6 +870,7 @@ ORACLES["stream_endpoints"] = _with(CALLS) + _LIVE
 ORACLES["stream_progress"] = _with(CALLS) + f"""
 SELECT '{{"event":"done","scan_id":"' || scan_id || '","calls":' || sum(count) || ',"endpoints":' || count(*) || '}}' AS value
 FROM ({_LIVE}) GROUP BY scan_id"""
-ORACLES["stream_capped_frames"] = "SELECT conv_id AS conn_seq, least(count(*), 5) AS kept FROM conversations GROUP BY conv_id"
+ORACLES["stream_capped_frames"] = ORACLES["cap_frames"]
+ORACLES["stream_body_budget"] = f"SELECT * FROM ({ORACLES['body_budget']}) WHERE body <> '(dropped)'"
 ORACLES["stream_pairs"] = """
 SELECT event_id AS request_id, CAST(round(value * 100) AS BIGINT) AS duration_ms FROM events WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 2 = 0"""

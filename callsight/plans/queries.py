@@ -28,7 +28,7 @@ from callsight.plans import report
 from callsight.session import checkpoint_folder
 from callsight.sources import samples
 from callsight.sources.samples import AFTER, BEFORE, table
-from callsight.streaming import live
+from callsight.streaming import live, prefix
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -924,12 +924,30 @@ def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     return live.progress_lines(totals, "done")
 
 
+def _arriving(rows: DataFrame, at: str) -> DataFrame:
+    """Rows as a stream that brings them in no order, in several batches, and then a row much later than all."""
+    spark, folder = rows.sparkSession, f"{checkpoint_folder(rows.sparkSession)}/arrivals-{uuid.uuid4().hex}"
+    spark.conf.set(prefix.STORE, prefix.ROCKSDB)
+    rows.repartition(8, F.xxhash64(*rows.columns)).write.parquet(folder)
+    late = [F.lit(100 * prefix.YEAR_MS).cast("long").alias(c) if c == at else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
+    spark.range(1).select(*late).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(folder)
+
+
 @query
 def stream_capped_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames kept per connection by the live limit."""
-    kept = live.capped_stream(samples.frames_of(_stream(spark, sf, "conversations")), limit=5)
-    rows = spark.read.parquet(_drained(kept))
-    return rows.groupBy("conn_seq").agg(F.count(F.lit(1)).alias("kept"))
+    """The frames that the limit of a connection keeps, from a stream that brings them in no order."""
+    kept = prefix.first_frames(_arriving(samples.frames(spark, sf), "at"), limit=5)
+    return spark.read.parquet(_drained(kept)).select("conn_seq", "frame_seq", "direction", "payload")
+
+
+@query
+def stream_body_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """The bodies that the budget of a scan keeps, from a stream that brings them in no order."""
+    calls = samples.calls(spark, sf)
+    payloads = caps.call_payloads(calls).withColumn("at", F.col("call_seq"))
+    kept = prefix.budgeted_bodies(_arriving(payloads, "at"), "at", max_chars=60, total_chars=150_000)
+    return spark.read.parquet(_drained(kept)).select("scan_id", "call_seq", "kind", "truncated", "body")
 
 
 @query

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from callsight import fixed_values as fv
 from callsight.operators.endpoints import KEY
 
 
@@ -55,24 +50,6 @@ def read_live_endpoints(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def capped_stream(frames: DataFrame, limit: int = fv.MAX_FRAMES) -> DataFrame:
-    """Frames of a stream up to the limit per connection, by a counter per connection."""
-    schema = frames.schema
-
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get[0] if state.exists else 0
-        for batch in batches:
-            room = batch.head(max(limit - kept, 0))
-            kept += len(room)
-            if len(room):
-                yield room
-        state.update((kept,))
-
-    return frames.groupBy("scan_id", "conn_seq").applyInPandasWithState(
-        keep, schema, "kept BIGINT", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def paired_calls(requests: DataFrame, responses: DataFrame, wait: str = "1 hour") -> DataFrame:
     """Requests with their response or failure (``request_id, requested_at`` ⋈ ``request_id, answered_at``).
 
