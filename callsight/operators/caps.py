@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
-from callsight.operators.running import with_previous, with_running
+from callsight.operators.running import with_pace, with_running
 
 
-def cap_calls(calls: DataFrame, limit: int = fv.MAX_CALLS) -> DataFrame:
-    """The first calls of every scan, in capture order."""
-    counted = with_running(calls, ["scan_id"], ["call_seq"], {"_nth": ("sum", F.lit(1))})
+def cap_calls(calls: DataFrame, limit: int = fv.MAX_CALLS, start: DataFrame | None = None) -> DataFrame:
+    """The first calls of every scan, in capture order. ``start`` counts earlier ones (``scan_id, _nth``)."""
+    counted = with_running(calls, ["scan_id"], ["call_seq"], {"_nth": ("sum", F.lit(1).cast("bigint"))}, start=start)
     return counted.where(F.col("_nth") <= limit).drop("_nth")
 
 
@@ -21,8 +21,12 @@ def dropped(rows: DataFrame, limit: int, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.greatest(over, F.lit(0)).alias("dropped"))
 
 
-def cap_sockets(sockets: DataFrame, limit: int = fv.MAX_SOCKETS) -> DataFrame:
-    return _first_rows(sockets, ["scan_id"], ["conn_seq"], limit)
+def cap_sockets(sockets: DataFrame, limit: int = fv.MAX_SOCKETS, start: DataFrame | None = None) -> DataFrame:
+    """The first connections of every scan. ``start`` counts earlier ones (``scan_id, _nth``)."""
+    if start is None:
+        return _first_rows(sockets, ["scan_id"], ["conn_seq"], limit)
+    counted = with_running(sockets, ["scan_id"], ["conn_seq"], {"_nth": ("sum", F.lit(1).cast("bigint"))}, start=start)
+    return counted.where(F.col("_nth") <= limit).drop("_nth")
 
 
 def cap_frames(frames: DataFrame, limit: int = fv.MAX_FRAMES) -> DataFrame:
@@ -46,6 +50,12 @@ def frame_counters(frames: DataFrame, limit: int = fv.MAX_FRAMES) -> DataFrame:
     )
 
 
+def stored_chars(body: str | Column, max_chars: int = fv.MAX_BODY_CHARS) -> Column:
+    """What a payload takes of the total budget."""
+    length = F.coalesce(F.length(body), F.lit(0))  # first: ``least`` passes over nulls
+    return F.least(length, F.lit(max_chars)).cast("bigint")
+
+
 def body_budget(
     payloads: DataFrame,
     keys: list[str],
@@ -53,14 +63,14 @@ def body_budget(
     body: str,
     max_chars: int = fv.MAX_BODY_CHARS,
     total_chars: int = fv.TOTAL_BODY_CHARS,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Cut payloads to the per-payload limit and drop all from the one that breaks the total budget.
 
     The budget is sticky: the running total never shrinks, so "over budget" holds from the first
-    payload that breaks it to the last.
+    payload that breaks it to the last. ``start`` (the keys and ``_stored``) is what earlier payloads took.
     """
-    kept = F.least(F.length(body), F.lit(max_chars))
-    running = with_running(payloads, keys, order, {"_stored": ("sum", F.coalesce(kept, F.lit(0)).cast("bigint"))})
+    running = with_running(payloads, keys, order, {"_stored": ("sum", stored_chars(body, max_chars))}, start=start)
     fits = F.col("_stored") <= total_chars
     return running.withColumns(
         {
@@ -124,15 +134,8 @@ def request_pacing(starts: DataFrame, delay_ms: int) -> DataFrame:
     ``starts`` has ``origin, started_at, call_seq``. The paced start of the i-th request is
     ``i*d + max(t_j - j*d)`` over the requests up to it.
     """
-    gaps = with_previous(starts, ["origin"], ["started_at", "call_seq"], "previous_at", width=PACING_BUCKET_MS)
-    nth = with_running(gaps, ["origin"], ["started_at", "call_seq"], {"_i": ("sum", F.lit(1))}, width=PACING_BUCKET_MS)
-    slack = F.col("started_at") - F.col("_i") * delay_ms
-    paced = with_running(nth, ["origin"], ["started_at", "call_seq"], {"_slack": ("max", slack)}, width=PACING_BUCKET_MS)
+    paced = with_pace(starts, ["origin"], "started_at", "call_seq", delay_ms, width=PACING_BUCKET_MS)
+    gap = F.col("started_at") - F.col("previous_at")
     return paced.select(
-        "origin",
-        "call_seq",
-        "started_at",
-        (F.col("started_at") - F.col("previous_at")).alias("gap_ms"),
-        F.coalesce(F.col("started_at") - F.col("previous_at") < delay_ms, F.lit(False)).alias("too_soon"),
-        (F.col("_i") * delay_ms + F.col("_slack")).alias("paced_at"),
+        "origin", "call_seq", "started_at", gap.alias("gap_ms"), F.coalesce(gap < delay_ms, F.lit(False)).alias("too_soon"), "paced_at"
     )

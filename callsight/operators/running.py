@@ -11,6 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 65_536
+#: The bucket of what was counted before a table begins.
+_BEFORE = -(1 << 62)
+
+
+def _inside(keys: list[str], order: list[str]):
+    return Window.partitionBy(*keys, "_bucket").orderBy(*order)
+
+
+def _earlier(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_running(
@@ -19,48 +29,70 @@ def with_running(
     order: list[str],
     measures: dict[str, tuple[str, Column]],
     width: int = BUCKET,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Add running aggregates per key, including the current row.
 
     ``measures`` maps an output column to ``("sum" | "max", expression)``. The first
     column of ``order`` is an integer; ``width`` of its values share a bucket.
+    ``start`` (the keys and the measures) holds what earlier rows amounted to.
     """
     combine = {"sum": F.sum, "max": F.max}
     named = df.withColumn("_bucket", F.floor(F.col(order[0]) / F.lit(width)))
-    for name, (_, expression) in measures.items():
-        named = named.withColumn(f"_in_{name}", expression)
+    # Summed before the shuffle, and from the few columns that are needed.
     totals = named.groupBy(*keys, "_bucket").agg(
-        *[combine[how](f"_in_{name}").alias(f"_all_{name}") for name, (how, _) in measures.items()]
+        *[combine[how](expression).alias(f"_all_{name}") for name, (how, expression) in measures.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    if start is not None:
+        before = [F.col(name).alias(f"_all_{name}") for name in measures]
+        totals = totals.unionByName(start.select(*keys, F.lit(_BEFORE).cast("bigint").alias("_bucket"), *before))
     carried = totals.select(
         *keys,
         "_bucket",
-        *[combine[how](f"_all_{name}").over(earlier).alias(f"_carry_{name}") for name, (how, _) in measures.items()],
-    )
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        *[combine[how](f"_all_{name}").over(_earlier(keys)).alias(f"_carry_{name}") for name, (how, _) in measures.items()],
     )
+    upto = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = named.join(carried, [*keys, "_bucket"])
-    for name, (how, _) in measures.items():
-        here = combine[how](f"_in_{name}").over(inside)
-        carry = F.col(f"_carry_{name}")
+    for name, (how, expression) in measures.items():
+        here, carry = combine[how](expression).over(upto), F.col(f"_carry_{name}")
         joined = here + F.coalesce(carry, F.lit(0)) if how == "sum" else F.greatest(here, carry)
         out = out.withColumn(name, joined)
-    return out.drop("_bucket", *[f"_in_{name}" for name in measures], *[f"_carry_{name}" for name in measures])
+    return out.drop("_bucket", *[f"_carry_{name}" for name in measures])
+
 
+def with_pace(df: DataFrame, keys: list[str], at: str, tie: str, step: int, width: int = BUCKET) -> DataFrame:
+    """Add, per key in the order of ``at`` and ``tie``: ``previous_at``, and ``paced_at`` at steps of ``step`` or more.
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], name: str, width: int = BUCKET) -> DataFrame:
-    """Add the previous value of ``order[0]`` per key as ``name`` (null for the first row)."""
-    column = order[0]
-    named = df.withColumn("_bucket", F.floor(F.col(column) / F.lit(width)))
-    last = named.groupBy(*keys, "_bucket").agg(F.max(column).alias("_last"))
-    before = last.select(
-        *keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
+    The i-th row is paced at ``i * step + max(t_j - j * step)`` over the rows up to it. A bucket passes on its
+    number of rows and its greatest ``t_j - j * step``, counted from its own first row; after C earlier rows the
+    latter is less by ``C * step``. Both are associative, so all measures take one pass: the buckets' totals
+    are taken from the very rows that are finished later, and both share one shuffle.
+    """
+    inside = _inside(keys, [at, tie])
+    rows = df.withColumn("_bucket", F.floor(F.col(at) / F.lit(width))).withColumn("_i", F.row_number().over(inside).cast("bigint"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns(
+        {"_slack": F.max(F.col(at) - F.col("_i") * step).over(upto), "_before": F.lag(at).over(inside)}
+    )
+    totals = rows.groupBy(*keys, "_bucket").agg(
+        F.max("_i").alias("_n"), F.max("_slack").alias("_most"), F.max(at).alias("_latest")
+    )
+    counted = totals.withColumn("_count", F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)))
+    carried = counted.select(
+        *keys,
+        "_bucket",
+        "_count",
+        F.max(F.col("_most") - F.col("_count") * step).over(_earlier(keys)).alias("_carry"),
+        F.max("_latest").over(_earlier(keys)).alias("_last"),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    slack = F.greatest(F.col("_slack") - F.col("_count") * step, F.col("_carry"))
     return (
-        named.join(before, [*keys, "_bucket"])
-        .withColumn(name, F.coalesce(F.lag(column).over(inside), F.col("_carry")))
-        .drop("_bucket", "_carry")
+        rows.join(carried, [*keys, "_bucket"])
+        .withColumns(
+            {
+                "previous_at": F.coalesce("_before", "_last"),
+                "paced_at": (F.col("_count") + F.col("_i")) * step + slack,
+            }
+        )
+        .drop("_bucket", "_i", "_slack", "_before", "_count", "_carry", "_last")
     )

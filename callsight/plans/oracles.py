@@ -251,6 +251,15 @@ SELECT scan_id, call_seq, 'payloads/' || kind || '-body-' || call_seq AS payload
   sha256(regexp_replace(body, '"email":"[^"]*"', '"email":"{fv.REDACTED}"', 'g')) AS digest
 FROM payloads WHERE length(body) > 60 QUALIFY sum(length(body)) {_RUNNING} <= 150000"""
 
+ORACLES["resumed_calls"] = ORACLES["cap_calls"]
+ORACLES["resumed_bodies"] = ORACLES["body_budget"]
+ORACLES["resumed_state"] = _with(CALLS) + """
+SELECT scan_id, 'https://shop.example.com/' AS seed_url, min(started_at) AS started_at, count(*) AS calls, max(call_seq) AS last_seq,
+  (sum(least(coalesce(length(request_body), 0), 60)) + sum(least(coalesce(length(response_body), 0), 60)))::BIGINT AS stored_chars,
+  (coalesce(sum(length(request_body)) FILTER (length(request_body) > 60), 0)
+    + coalesce(sum(length(response_body)) FILTER (length(response_body) > 60), 0))::BIGINT AS spilled_chars, 0::BIGINT AS sockets
+FROM calls GROUP BY scan_id"""
+
 ORACLES["recent_pages"] = f"""
 SELECT host, page_id, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS label, row_number() OVER w AS position
 FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, {_PATH} AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages)
@@ -867,6 +876,7 @@ SELECT {KEY}, count(*) AS count, count(*) FILTER (status = 0) AS failed, count(*
   min(call_seq) AS first_seq, max(call_seq) AS last_seq, CAST(sum(c) AS BIGINT) AS duration_ms
 FROM api GROUP BY ALL"""
 ORACLES["stream_endpoints"] = _with(CALLS) + _LIVE
+ORACLES["stream_resumed"] = ORACLES["stream_endpoints"]
 ORACLES["stream_progress"] = _with(CALLS) + f"""
 SELECT '{{"event":"done","scan_id":"' || scan_id || '","calls":' || sum(count) || ',"endpoints":' || count(*) || '}}' AS value
 FROM ({_LIVE}) GROUP BY scan_id"""

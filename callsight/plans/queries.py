@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from callsight import fixed_values as fv
 from callsight.functions import text as tx
 from callsight.functions import urls
-from callsight.operators import caps, diff, findings, graph, graphql, leaks, manifest, openapi, redaction, scope
+from callsight.operators import caps, diff, findings, graph, graphql, leaks, manifest, openapi, redaction, resume, scope
 from callsight.operators import endpoints as ep
 from callsight.operators import shape as sh
 from callsight.operators import signals as sg
@@ -190,6 +190,44 @@ def body_budget(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("scan_id", "call_seq", "kind", "truncated", F.coalesce("body", F.lit("(dropped)")).alias("body"))
 
 
+def _cut(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A capture that stopped after two fifths of its places, and what followed."""
+    stop = F.floor(calls.agg(F.max("call_seq")).scalar() * 2 / 5)
+    return calls.where(F.col("call_seq") < stop), calls.where(F.col("call_seq") >= stop)
+
+
+def _stopped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The calls before a cut, those after it, and the stored state of the scans at the cut."""
+    before, after = _cut(samples.calls(spark, sf))
+    path = f"{checkpoint_folder(spark)}/state-{uuid.uuid4().hex}"
+    resume.write_state(resume.scan_state(before, samples.seeds(spark), max_chars=60), path)
+    return before, after, resume.read_state(spark, path, samples.seeds(spark))
+
+
+@query
+def resumed_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """The calls kept of a scan that was cut and resumed."""
+    before, after, state = _stopped(spark, sf)
+    stored = {"calls": caps.cap_calls(before, 2_000)}
+    return resume.restore(stored, {"calls": after}, state, max_calls=2_000)["calls"].select("scan_id", "call_seq")
+
+
+@query
+def resumed_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """The bodies kept of a scan that was cut and resumed."""
+    before, after, state = _stopped(spark, sf)
+    first = caps.body_budget(caps.call_payloads(before), ["scan_id"], ["call_seq", "part"], "body", 60, 150_000)
+    kept = first.unionByName(resume.resumed_bodies(caps.call_payloads(after), state, 60, 150_000))
+    return kept.select("scan_id", "call_seq", "kind", "truncated", F.coalesce("body", F.lit("(dropped)")).alias("body"))
+
+
+@query
+def resumed_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of the scans after their later part, from the stored state and that part alone."""
+    _, after, state = _stopped(spark, sf)
+    return resume.scan_state(after, samples.seeds(spark), earlier=state, max_chars=60).drop("version")
+
+
 @query
 def spill_budget(spark: SparkSession, sf: str) -> DataFrame:
     payloads = caps.call_payloads(samples.calls(spark, sf))
@@ -915,6 +953,19 @@ def stream_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     return live.read_live_endpoints(spark, path)
 
 
+@query
+def stream_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The live endpoint list of a stream that stopped after the first part of a capture and was started again."""
+    folder = f"{checkpoint_folder(spark)}/resumed-{uuid.uuid4().hex}"
+    events, pages = table(spark, sf, "events"), table(spark, sf, "pages")
+    for part in (events.where("event_id % 7 < 3"), events.where("event_id % 7 >= 3")):
+        part.write.mode("append").parquet(f"{folder}/in")
+        calls = samples.calls_of(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), pages)
+        rows = live.live_endpoints(report.keyed(calls))
+        live.start_batches(rows, f"{folder}/out", f"{folder}/state", "update").awaitTermination()
+    return live.read_live_endpoints(spark, f"{folder}/out")
+
+
 @query
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     """The progress lines after the last micro-batch, from the live endpoint list."""

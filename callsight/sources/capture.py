@@ -103,14 +103,6 @@ def with_scripts(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("scripts", F.coalesce("scripts", found))
 
 
-def restore(*captures: DataFrame) -> DataFrame:
-    """Earlier captures of the same scans continued by later ones, as one table."""
-    first, *rest = captures
-    for capture in rest:
-        first = first.unionByName(capture, allowMissingColumns=True)
-    return first
-
-
 def gated_response_body(body: Column, mime: Column, content_length: Column, limit: int) -> Column:
     """Response text is kept for JSON answers whose declared length is within the limit."""
     declared = F.coalesce(content_length.try_cast("double"), F.lit(0.0))

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callsight.operators import caps
-from callsight.operators.running import with_previous, with_running
+from callsight.operators.running import with_pace, with_running
 from callsight.operators.selection import nearest_rank
 
 
@@ -33,9 +33,30 @@ def test_running_matches_window(spark):
     w = Window.partitionBy("k").orderBy("s")
     plain = rows.withColumn("total", F.sum("v").over(w)).withColumn("top", F.max("v").over(w))
     assert out.select("k", "s", "total", "top").exceptAll(plain.select("k", "s", "total", "top")).count() == 0
-    before = with_previous(rows, ["k"], ["s"], "p", width=100)
-    plain = rows.withColumn("p", F.lag("s").over(w))
-    assert before.select("k", "s", "p").exceptAll(plain.select("k", "s", "p")).count() == 0
+    start = spark.createDataFrame([(0, 1000, 99), (1, -5, 0)], "k bigint, total bigint, top bigint")
+    later = with_running(rows, ["k"], ["s"], {"total": ("sum", F.col("v")), "top": ("max", F.col("v"))}, width=100, start=start)
+    moved = plain.withColumns(
+        {
+            "total": F.col("total") + F.expr("CASE k WHEN 0 THEN 1000 WHEN 1 THEN -5 ELSE 0 END"),
+            "top": F.greatest("top", F.expr("CASE k WHEN 0 THEN 99 ELSE 0 END")),
+        }
+    )
+    assert later.select("k", "s", "total", "top").exceptAll(moved.select("k", "s", "total", "top")).count() == 0
+
+
+def test_pace_matches_windows(spark):
+    rng = random.Random(9)
+    starts = [(rng.choice("ab"), rng.randint(-500, 5000), at) for at in range(400)]
+    rows = spark.createDataFrame(starts, "k string, t bigint, s bigint")
+    got = {row.s: (row.previous_at, row.paced_at) for row in with_pace(rows, ["k"], "t", "s", 30, width=64).collect()}
+    for key in "ab":
+        last, free = None, None
+        for _, t, s in sorted((k, t, s) for k, t, s in starts if k == key):
+            free = t if free is None else max(t, free + 30)
+            assert got[s] == (last, free)
+            last = t
+    assert len(got) == 400
+    assert with_pace(rows.limit(0), ["k"], "t", "s", 30).count() == 0
 
 
 def test_body_budget_is_sticky(spark):
