@@ -57,13 +57,16 @@ def segments(words: list[bytes]) -> list[tuple[int, int]]:
         cuts.sort()
         pieces = [piece for piece in zip([begin, *(at + 1 for at in cuts)], [*cuts, end]) if piece[0] < piece[1]]
         if not pieces:
-            continue
+            continue  # every word was cut
         largest = max(pieces, key=lambda piece: piece[1] - piece[0])
         lost = Counter(words[at] for at in cuts)
         for piece in pieces:
-            if piece is not largest:
-                own = Counter(words[piece[0] : piece[1]])
-                lost += own
+            if piece is largest:
+                continue
+            inside = words[piece[0] : piece[1]]
+            lost.update(inside)
+            if len(inside) >= LEAST_WORDS:
+                own = Counter(inside)
                 work.append((*piece, own, own.keys()))
         for word, times in lost.items():
             counts[word] -= times
