@@ -137,11 +137,11 @@ def string_format(value: Column | str) -> Column:
 
 
 @reused
-def is_enum_member(value: Column | str, fmt: Column | None = None) -> Column:
+def is_enum_member(value: Column | str, fmt: Column | None = None, longest: int = fv.MAX_ENUM_LENGTH) -> Column:
     """Short text without white space or a format of its own."""
     value = _col(value)
     fmt = string_format(value) if fmt is None else fmt
-    return F.length(value).between(1, fv.MAX_ENUM_LENGTH) & ~value.rlike(r"\s") & fmt.isNull()
+    return F.length(value).between(1, longest) & ~value.rlike(r"\s") & fmt.isNull()
 
 
 def infer_scalar_type(values: Column) -> Column:

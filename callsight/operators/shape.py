@@ -6,18 +6,30 @@ kept flat (one row per path) because they nest without a fixed schema.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
-from callsight.functions.memo import reused
 from callsight.functions.text import gap_name, gap_rank, is_enum_member, json_container, string_format
 from callsight.functions.urls import bind
 from callsight.operators.sizing import settle
 
 ELEMENT = "[]"
 
-_NODE = "struct<path:array<string>,at:string,type:string,shape:boolean,value:variant>"
+
+@dataclass(frozen=True)
+class Limits:
+    """How far a shape is read: levels below the root, fields of an object, and what makes a closed value set."""
+
+    depth: int = fv.MAX_DEPTH
+    fields: int = fv.MAX_PROPERTIES
+    enum_values: int = fv.MAX_ENUM_VALUES
+    enum_length: int = fv.MAX_ENUM_LENGTH
+
+
+DEFAULT = Limits()
 
 
 def _json_type(value: Column) -> Column:
@@ -36,9 +48,8 @@ def _json_type(value: Column) -> Column:
     )
 
 
-def _ranked_keys(body: Column, at: Column) -> Column:
-    """Keys of the object at JSON path ``at`` as a browser lists them: whole numbers first, then as written."""
-    text = F.when(at == "$", body).otherwise(F.call_function("get_json_object", body, at))
+def _ranked_keys(text: Column) -> Column:
+    """Keys of the object that a JSON text is, as a browser lists them: whole numbers first, then as written."""
     return bind(
         F.array_distinct(F.json_object_keys(text)),
         lambda keys: F.concat(
@@ -56,122 +67,93 @@ def _ranked_keys(body: Column, at: Column) -> Column:
     )
 
 
-def _node(path: Column, at: Column, type_: Column, shape: Column, value: Column) -> Column:
-    return F.struct(
-        path.alias("path"), at.alias("at"), type_.alias("type"), shape.alias("shape"), value.alias("value")
-    )
-
-
-def _object_children(node: Column, body: Column) -> Column:
-    fields = F.map_entries(node["value"].cast("map<string,variant>"))
-
-    def children(entries: Column) -> Column:
-        counted = F.when(
-            F.size(entries) > fv.MAX_PROPERTIES,
-            F.slice(_ranked_keys(body, node["at"]), 1, fv.MAX_PROPERTIES),
-        )
-        return bind(
-            F.struct(counted.alias("first")),
-            lambda few: F.transform(
-                entries,
-                lambda e: _node(
-                    F.array_append(node["path"], e["key"]),
-                    F.concat(node["at"], F.lit("['"), e["key"], F.lit("']")),
-                    _json_type(e["value"]),
-                    node["shape"] & F.coalesce(F.array_contains(few["first"], e["key"]), F.lit(True)),
-                    e["value"],
-                ),
-            ),
-        )
-
-    return bind(fields, children)
-
-
-def _array_children(node: Column) -> Column:
-    items = node["value"].cast("array<variant>")
-    step = F.array_append(node["path"], F.lit(ELEMENT))
+def _may_be_wide(text: Column, fields: int) -> Column:
+    """Can an object within this JSON text have more fields than the limit? Each field has a colon."""
+    return F.length(text) - F.length(F.replace(text, F.lit(":"))) > fields
 
-    def children(values: Column) -> Column:
-        real = F.filter(
-            F.transform(values, lambda v, i: F.when(~F.is_variant_null(v), i)), lambda i: i.isNotNull()
-        )
-        return bind(
-            F.struct(F.get(real, F.lit(0)).alias("first")),
-            lambda pick: F.concat(
-                F.transform(
-                    values,
-                    lambda v, i: _node(
-                        step,
-                        F.concat(node["at"], F.lit("["), i.cast("string"), F.lit("]")),
-                        _json_type(v),
-                        node["shape"] & F.coalesce(i == pick["first"], F.lit(False)),
-                        v,
-                    ),
-                ),
-                # An array without a value still has elements, of unknown type.
-                F.when(
-                    pick["first"].isNull(),
-                    F.array(_node(step, F.lit(""), F.lit("any"), node["shape"], F.lit(None).cast("variant"))),
-                ).otherwise(F.array().cast(f"array<{_NODE}>")),
-            ),
-        )
 
-    return bind(items, children)
+_SELF, _CHILD, _UNKNOWN = 0, 1, 2
 
 
-def _levels(root: Column, body: Column) -> Column:
-    """All nodes of one parsed body, the root first, down to the depth limit."""
-    start = F.array(_node(F.array().cast("array<string>"), F.lit("$"), _json_type(root), F.lit(True), root))
+def _walked(rows: DataFrame, keys: list[str], fields: int, last: bool) -> DataFrame:
+    """Every row again, and the children of those that are containers still to be opened (``value`` is set).
 
-    def below(level: Column) -> Column:
-        containers = F.filter(level, lambda n: n["type"].isin("object", "array"))
-        return F.flatten(
-            F.transform(
-                containers,
-                lambda n: F.when(n["type"] == "object", _object_children(n, body)).otherwise(_array_children(n)),
-            )
-        )
-
-    def collect(level: Column, depth: int) -> Column:
-        if depth == fv.MAX_DEPTH:
-            return level
-        return bind(level, lambda here: F.concat(here, collect(below(here), depth + 1)))
-
-    return F.transform(
-        collect(start, 0),
-        lambda n: F.struct(
-            n["path"].alias("path"),
-            n["type"].alias("type"),
-            n["shape"].alias("shape"),
-            F.when(n["type"] == "string", F.try_variant_get(n["value"], "$", "string")).alias("text"),
-            F.when(n["type"].isin("integer", "number"), F.try_variant_get(n["value"], "$", "double")).alias("number"),
-        ),
+    ``raw`` is the text of a container that may hold an object with too many fields: only there the written
+    order matters, which a parsed value does not keep.
+    """
+    is_array = F.col("type") == "array"
+    items = F.col("value").cast("array<variant>")
+    real = F.filter(F.transform(items, lambda v, i: F.when(~F.is_variant_null(v), i)), lambda i: i.isNotNull())
+    first = F.when(is_array & F.col("value").isNotNull(), F.get(real, F.lit(0)))
+    ranked = bind(_ranked_keys(F.col("raw")), lambda names: F.when(F.size(names) > fields, F.slice(names, 1, fields)))
+    # An array without a value still has elements, of unknown type.
+    roles = (
+        F.when(F.col("value").isNull(), F.array(F.lit(_SELF)))
+        .when(is_array & F.col("_first").isNull(), F.array(F.lit(_SELF), F.lit(_CHILD), F.lit(_UNKNOWN)))
+        .otherwise(F.array(F.lit(_SELF), F.lit(_CHILD)))
+    )
+    opened = rows.withColumns({"_first": first, "_few": F.when((F.col("type") == "object") & F.col("raw").isNotNull(), ranked)})
+    opened = opened.withColumn("_role", F.explode(roles))
+    opened = opened.withColumn("_open", F.when(F.col("_role") == _CHILD, F.col("value")))
+    spark = rows.sparkSession
+    each = opened.lateralJoin(spark.tvf.variant_explode_outer(F.col("_open").outer()).toDF("_pos", "_key", "_child"))
+    each = each.where((F.col("_role") != _CHILD) | F.col("_pos").isNotNull())
+    own, child = F.col("_role") == _SELF, F.col("_role") == _CHILD
+    each = each.withColumn("_kind", F.when(own, F.col("type")).when(child, _json_type(F.col("_child"))).otherwise(F.lit("any")))
+    container = child & F.col("_kind").isin("object", "array")
+    inside = F.when(
+        F.col("type") == "object", F.get(F.map_values(F.map_filter(F.from_json("raw", "map<string,string>"), lambda k, _: k == F.col("_key"))), F.lit(0))
+    ).otherwise(F.get(F.from_json("raw", "array<string>"), F.col("_pos")))
+    # Few children are as wide: their text is only looked for where their colons are many.
+    wide = F.col("raw").isNotNull() & container & _may_be_wide(F.to_json("_child"), fields)
+    in_shape = F.when(is_array, F.coalesce(F.col("_pos") == F.col("_first"), F.lit(False))).otherwise(
+        F.col("_few").isNull() | F.array_contains("_few", F.col("_key"))
+    )
+    gone = F.lit(None)
+    return each.select(
+        *keys,
+        F.when(own, F.col("path"))
+        .otherwise(F.array_append("path", F.when(F.col("type") == "object", F.col("_key")).otherwise(F.lit(ELEMENT))))
+        .alias("path"),
+        F.col("_kind").alias("type"),
+        F.when(child, F.col("shape") & in_shape).otherwise(F.col("shape")).alias("shape"),
+        F.when(own, F.col("text")).when(F.col("_kind") == "string", F.try_variant_get("_child", "$", "string")).alias("text"),
+        F.when(own, F.col("number"))
+        .when(F.col("_kind").isin("integer", "number"), F.try_variant_get("_child", "$", "double"))
+        .alias("number"),
+        (gone.cast("variant") if last else F.when(container, F.col("_child"))).alias("value"),
+        (gone.cast("string") if last else F.when(wide, inside)).alias("raw"),
     )
 
 
-@reused
-def _node_array(body: str) -> Column:
-    parsed = json_container(body)
-    return bind(parsed, lambda root: F.when(root.isNotNull(), _levels(root, F.col(body))))
-
-
-def body_nodes(bodies: DataFrame, keys: list[str], body: str) -> DataFrame:
+def body_nodes(bodies: DataFrame, keys: list[str], body: str, limits: Limits = DEFAULT) -> DataFrame:
     """One row per node of every JSON body, down to the depth limit.
 
-    ``shape`` marks the nodes a shape is read from: the first fifty fields of an object and the
-    first non-null element of an array. The other nodes only contribute values. A body is parsed
-    once; the nodes of one body, which the payload limit bounds, are one array before they
-    become rows.
+    ``shape`` marks the nodes a shape is read from: the first fields of an object, up to the limit, and the
+    first non-null element of an array. The other nodes only contribute values. A body is parsed once and
+    opened level by level in the same task; nodes are rows from the start.
     """
-    nodes = bodies.select(*keys, F.explode(_node_array(body)).alias("_n")).select(*keys, "_n.*")
+    parsed = bodies.select(*keys, F.col(body).alias("_body"), json_container(body).alias("value")).where("value is not null")
+    rows = parsed.select(
+        *keys,
+        F.array().cast("array<string>").alias("path"),
+        _json_type(F.col("value")).alias("type"),
+        F.lit(True).alias("shape"),
+        F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("double").alias("number"),
+        "value",
+        F.when(_may_be_wide(F.col("_body"), limits.fields), F.col("_body")).alias("raw"),
+    )
+    for level in range(limits.depth):
+        rows = _walked(rows, keys, limits.fields, level + 1 == limits.depth)
     finite = F.when(F.abs("number") < float("inf"), F.col("number"))
-    return nodes.withColumns({"number": finite, "format": string_format("text")})
+    return rows.drop("value", "raw").withColumns({"number": finite, "format": string_format("text")})
 
 
 TYPE_COUNTS = ["object", "array", "string", "integer", "number", "boolean", "null", "any"]
 
 
-def observed_values(nodes: DataFrame, keys: list[str]) -> DataFrame:
+def observed_values(nodes: DataFrame, keys: list[str], limits: Limits = DEFAULT) -> DataFrame:
     """Counted observations: one row per path, type, format and (shortened) string.
 
     The one shuffle every shape statistic is built on. A path that holds most of the nodes is
@@ -179,7 +161,7 @@ def observed_values(nodes: DataFrame, keys: list[str]) -> DataFrame:
     value set need not be told apart, so only their beginning travels.
     """
     return nodes.groupBy(
-        *keys, "path", "type", "shape", "format", F.left("text", F.lit(fv.MAX_ENUM_LENGTH + 1)).alias("text")
+        *keys, "path", "type", "shape", "format", F.left("text", F.lit(limits.enum_length + 1)).alias("text")
     ).agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("low"), F.max("number").alias("high"))
 
 
@@ -207,31 +189,31 @@ def merge_counts(states: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def enum_values(observed: DataFrame, keys: list[str]) -> DataFrame:
-    """Closed value sets: two to ten distinct short strings per path.
+def enum_values(observed: DataFrame, keys: list[str], limits: Limits = DEFAULT) -> DataFrame:
+    """Closed value sets: two or more distinct short strings per path, up to the limit.
 
-    Of the distinct strings only the first eleven per path are kept (before the shuffle already),
+    Of the distinct strings only one more than the limit is kept per path (before the shuffle already),
     which is enough to tell a small set from a large one.
     """
     distinct = observed.where(F.col("text").isNotNull()).select(*keys, "path", "text", "format").distinct()
     few = Window.partitionBy(*keys, "path").orderBy("text")
     return (
         distinct.withColumn("_rank", F.row_number().over(few))
-        .where(F.col("_rank") <= fv.MAX_ENUM_VALUES + 1)
+        .where(F.col("_rank") <= limits.enum_values + 1)
         .groupBy(*keys, "path")
         .agg(
             F.array_sort(F.collect_list("text")).alias("enum"),
-            F.bool_and(is_enum_member("text", F.col("format"))).alias("_plain"),
+            F.bool_and(is_enum_member("text", F.col("format"), limits.enum_length)).alias("_plain"),
         )
-        .where(F.size("enum").between(2, fv.MAX_ENUM_VALUES) & F.col("_plain"))
+        .where(F.size("enum").between(2, limits.enum_values) & F.col("_plain"))
         .select(*keys, "path", "enum")
     )
 
 
-def schema_paths(nodes: DataFrame, keys: list[str]) -> DataFrame:
+def schema_paths(nodes: DataFrame, keys: list[str], limits: Limits = DEFAULT) -> DataFrame:
     """The merged shape: types, format, required, enum and bounds of every path."""
-    observed = settle(observed_values(nodes, keys))
-    return shape_of(path_counts(observed, keys), enum_values(observed, keys), keys)
+    observed = settle(observed_values(nodes, keys, limits))
+    return shape_of(path_counts(observed, keys), enum_values(observed, keys, limits), keys)
 
 
 def shape_of(counts: DataFrame, enums: DataFrame, keys: list[str]) -> DataFrame:
@@ -333,15 +315,15 @@ def endpoint_bodies(keyed: DataFrame, base: DataFrame, key: list[str]) -> DataFr
     )
 
 
-def endpoint_schema_paths(keyed: DataFrame, base: DataFrame, key: list[str]) -> DataFrame:
+def endpoint_schema_paths(keyed: DataFrame, base: DataFrame, key: list[str], limits: Limits = DEFAULT) -> DataFrame:
     keys = [*key, "side"]
-    return schema_paths(body_nodes(endpoint_bodies(keyed, base, key), keys, "body"), keys)
+    return schema_paths(body_nodes(endpoint_bodies(keyed, base, key), keys, "body", limits), keys, limits)
 
 
-def frame_schema_paths(frames: DataFrame) -> DataFrame:
+def frame_schema_paths(frames: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Message shapes per connection and direction; only text frames count."""
     keys = ["scan_id", "conn_seq", "direction"]
-    return schema_paths(body_nodes(frames.where(F.col("type") == "text"), keys, "payload"), keys)
+    return schema_paths(body_nodes(frames.where(F.col("type") == "text"), keys, "payload", limits), keys, limits)
 
 
 def frame_gaps(frames: DataFrame, truncated: DataFrame, has_schema: DataFrame) -> DataFrame:

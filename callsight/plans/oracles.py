@@ -884,3 +884,38 @@ ORACLES["stream_capped_frames"] = ORACLES["cap_frames"]
 ORACLES["stream_body_budget"] = f"SELECT * FROM ({ORACLES['body_budget']}) WHERE body <> '(dropped)'"
 ORACLES["stream_pairs"] = """
 SELECT event_id AS request_id, CAST(round(value * 100) AS BIGINT) AS duration_ms FROM events WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 2 = 0"""
+
+# --- stored and masked captures ------------------------------------------------
+
+_MASK = """regexp_replace(request_body, '"email":"[^"]*"', '"email":"[REDACTED]"')"""
+#: The sample capture with what a capture masks.
+MASKED = CALLS.replace("calls AS (", "unmasked AS (", 1).replace(
+    "api AS (",
+    f"calls AS (SELECT * REPLACE ({_MASK} AS request_body, CASE WHEN cookie IS NOT NULL THEN '[REDACTED]' END AS cookie) FROM unmasked),\napi AS (",
+    1,
+)
+CAPTURED = f"""
+met AS (
+  SELECT *, least(coalesce(length(request_body), 0), 60) AS rq,
+    least(coalesce(length(CASE WHEN mime_type = 'application/json' THEN response_body END), 0), 60) AS rs
+  FROM api WHERE {_SCOPED}
+),
+charged AS (
+  SELECT *, row_number() OVER w AS nth, sum(rq + rs) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM met WINDOW w AS (PARTITION BY scan_id ORDER BY call_seq)
+)
+"""
+ORACLES["captured_calls"] = _with(CALLS, CAPTURED) + f"""
+SELECT scan_id, call_seq,
+  CASE WHEN total - rs <= 60000 THEN ({_MASK})[1:60] END AS request_body,
+  CASE WHEN total <= 60000 THEN response_body[1:60] END AS response_body,
+  total <= 60000 AND coalesce(length(response_body) > 60, FALSE) AS response_body_truncated,
+  CASE WHEN cookie IS NOT NULL THEN '[REDACTED]' END AS cookie,
+  ((cookie IS NOT NULL)::INT + (contact IS NOT NULL)::INT
+    + (total - rs <= 60000 AND coalesce(contains(request_body, '"email"'), FALSE))::INT)::INT AS secrets
+FROM charged WHERE nth <= 1500"""
+ORACLES["masked_endpoint_samples"] = _with(MASKED) + f"""
+SELECT {KEY}, arg_min(request_body, call_seq) FILTER (request_body IS NOT NULL) AS request_body_sample,
+  arg_min(response_body, call_seq) FILTER (response_body IS NOT NULL) AS response_body_sample
+FROM api GROUP BY ALL"""
+ORACLES["masked_sizes"] = _with(MASKED) + f"SELECT {KEY}, {_sizes('request')}, {_sizes('response')} FROM api GROUP BY ALL"
+ORACLES["masked_schema_paths"] = ORACLES["schema_paths"].replace("'u' || user_id || '@example.com', NULL FROM kinds", "'[REDACTED]', NULL FROM kinds")

@@ -24,7 +24,7 @@ from callsight.operators import web
 from callsight.operators.endpoints import KEY
 from callsight.operators.resources import group_resources, resource_of
 from callsight.operators.sizing import settle
-from callsight.plans import report
+from callsight.plans import capture, report
 from callsight.session import checkpoint_folder
 from callsight.sources import samples
 from callsight.sources.samples import AFTER, BEFORE, table
@@ -50,7 +50,7 @@ def _report(spark: SparkSession, sf: str) -> report.Report:
     """The report of the sample capture; its settled tables serve all views of one application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _REPORTS:
-        _REPORTS[key] = report.Report(samples.calls(spark, sf), samples.seeds(spark))
+        _REPORTS[key] = report.Report(samples.calls(spark, sf), samples.seeds(spark), rules=None)
     return _REPORTS[key]
 
 
@@ -279,7 +279,11 @@ def endpoint_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def size_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = ep.call_stats(_keyed(spark, sf))
+    return _sizes(_keyed(spark, sf))
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    stats = ep.call_stats(rows)
     return stats.select(
         *KEY,
         *[
@@ -1018,6 +1022,44 @@ def stream_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("request_id", duration.cast("bigint").alias("duration_ms"))
 
 
+# --- stored and masked captures ------------------------------------------------
+
+
+def _masked(spark: SparkSession, sf: str) -> report.Report:
+    """A report whose calls are masked before any table sees them."""
+    key = (f"{spark.sparkContext.applicationId} masked", sf)
+    if key not in _REPORTS:
+        rules = capture.Rules(max_calls=1_000_000_000, total_chars=1 << 50)
+        _REPORTS[key] = report.Report(samples.calls(spark, sf), samples.seeds(spark), rules=rules)
+    return _REPORTS[key]
+
+
+@query
+def captured_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Scope, gate, budget, masking and the limit of calls, in their order."""
+    rules = capture.Rules(scope=_scope(spark), max_calls=1_500, max_chars=60, total_chars=60_000)
+    stored = capture.captured(samples.calls(spark, sf), rules)
+    return stored.select(
+        "scan_id", "call_seq", "request_body", "response_body", "response_body_truncated",
+        F.try_element_at("request_headers", F.lit("cookie")).alias("cookie"), F.size("secrets").alias("secrets"),
+    )
+
+
+@query
+def masked_endpoint_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return _masked(spark, sf).endpoints.select(*KEY, "request_body_sample", "response_body_sample")
+
+
+@query
+def masked_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return _sizes(_masked(spark, sf).calls)
+
+
+@query
+def masked_schema_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat_shape(_masked(spark, sf).shapes, [*KEY, "side"])
+
+
 # --- OpenAPI -------------------------------------------------------------------
 
 

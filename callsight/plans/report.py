@@ -14,6 +14,7 @@ from callsight.operators.findings import collect_findings
 from callsight.operators.resources import group_resources
 from callsight.operators.sizing import settle
 from callsight.operators.web import detect_technologies
+from callsight.plans.capture import Rules, captured
 from callsight.sources.capture import api_only
 
 
@@ -36,18 +37,24 @@ class Report:
     """The report tables of a capture, each computed when first asked for.
 
     Tables that others build on are settled, so a view over them does not compute them again.
-    The keyed calls are not: store them yourself (see :func:`keyed`) when they are read often.
+    ``rules`` says what of the calls is stored, and whether it is masked; the calls are then settled once, as a
+    capture would have stored them, and no table sees the originals. With ``rules=None`` the calls are
+    taken as stored already, and read as they are: store them yourself (see :func:`keyed`) when they are read often.
     """
 
     TABLES = [
         "endpoints", "values", "params", "shapes", "errors", "vendors", "operations", "introspection", "resources", "findings"
     ]
 
-    def __init__(self, calls: DataFrame, seeds: DataFrame, evidence: DataFrame | None = None):
-        self.calls = keyed(calls)
+    def __init__(self, calls: DataFrame, seeds: DataFrame, evidence: DataFrame | None = None, rules: Rules | None = Rules()):
+        self._given, self.rules = calls, rules
         self.seeds = seeds
         self.evidence = evidence
 
+    @cached_property
+    def calls(self) -> DataFrame:
+        return keyed(self._given) if self.rules is None else settle(keyed(captured(self._given, self.rules).drop("secrets")))
+
     @cached_property
     def endpoints(self) -> DataFrame:
         return settle(ep.endpoints(self.calls, self.seeds))
@@ -62,7 +69,7 @@ class Report:
 
     @cached_property
     def shapes(self) -> DataFrame:
-        return settle(shapes(self.calls, self.endpoints))
+        return settle(shapes(self.calls, self.__dict__.get("endpoints")))  # else from the few columns it takes
 
     @cached_property
     def errors(self) -> DataFrame:

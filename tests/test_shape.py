@@ -84,3 +84,22 @@ def test_frame_gaps(spark):
     got = {(r["conn_seq"], r["direction"]): r["reason"] for r in gaps}
     assert [got[(n, "sent")] for n in range(1, 6)] == ["not-json", "binary", None, "truncated", "no-body"]
     assert got[(1, "received")] == "no-body"
+
+
+def test_limits_are_arguments_and_keys_may_hold_quotes(spark):
+    wide = "{" + ",".join(f'"z{60 - n}":{{"in":{n}}}' for n in range(60)) + "}"
+    docs = ['{"it\'s":' + wide + ',"its":' + wide + ',"q\\"b":[null,' + wide + '],"a.b":{"[]":' + wide + "}}"]
+    rows = spark.createDataFrame([("g", d) for d in docs], "g string, body string")
+    walk = lambda limits: sh.body_nodes(rows, ["g"], "body", limits).where("shape").collect()
+    shown = lambda limits, parent: sorted(r["path"][-1] for r in walk(limits) if r["path"][:-1] == parent)
+    first = sorted(f"z{60 - n}" for n in range(7))
+    for parent in (["it's"], ["its"], ['q"b', "[]"], ["a.b", "[]"]):
+        assert shown(sh.Limits(fields=7), parent) == first
+        assert len(shown(sh.DEFAULT, parent)) == 50
+        assert len(shown(sh.Limits(fields=60), parent)) == 60
+    assert {len(r["path"]) for r in walk(sh.Limits(depth=2, fields=7))} == {0, 1, 2}
+    assert max(len(r["path"]) for r in walk(sh.Limits(depth=6))) == 4
+    values = spark.createDataFrame([("g", f'{{"v":"x{n}"}}') for n in range(12)], "g string, body string")
+    found = lambda limits: sh.schema_paths(sh.body_nodes(values, ["g"], "body", limits), ["g"], limits).where("size(path) = 1").first()["enum"]
+    assert found(sh.DEFAULT) is None and len(found(sh.Limits(enum_values=12))) == 12
+    assert found(sh.Limits(enum_values=12, enum_length=2)) is None
