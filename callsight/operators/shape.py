@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
+from callsight.functions.memo import reused
 from callsight.functions.text import gap_name, gap_rank, is_enum_member, json_container, string_format
 from callsight.functions.urls import bind
 from callsight.operators.sizing import settle
@@ -75,45 +76,49 @@ def _may_be_wide(text: Column, fields: int) -> Column:
 _SELF, _CHILD, _UNKNOWN = 0, 1, 2
 
 
-def _walked(rows: DataFrame, keys: list[str], fields: int, last: bool) -> DataFrame:
-    """Every row again, and the children of those that are containers still to be opened (``value`` is set).
-
-    ``raw`` is the text of a container that may hold an object with too many fields: only there the written
-    order matters, which a parsed value does not keep.
-    """
+@reused
+def _opening(fields: int) -> dict[str, Column]:
+    """What a row needs before it is opened: where its shape continues, and which rows come of it."""
     is_array = F.col("type") == "array"
     items = F.col("value").cast("array<variant>")
     real = F.filter(F.transform(items, lambda v, i: F.when(~F.is_variant_null(v), i)), lambda i: i.isNotNull())
     first = F.when(is_array & F.col("value").isNotNull(), F.get(real, F.lit(0)))
     ranked = bind(_ranked_keys(F.col("raw")), lambda names: F.when(F.size(names) > fields, F.slice(names, 1, fields)))
+    return {"_first": first, "_few": F.when((F.col("type") == "object") & F.col("raw").isNotNull(), ranked)}
+
+
+@reused
+def _roles() -> Column:
     # An array without a value still has elements, of unknown type.
-    roles = (
+    return F.explode(
         F.when(F.col("value").isNull(), F.array(F.lit(_SELF)))
-        .when(is_array & F.col("_first").isNull(), F.array(F.lit(_SELF), F.lit(_CHILD), F.lit(_UNKNOWN)))
+        .when((F.col("type") == "array") & F.col("_first").isNull(), F.array(F.lit(_SELF), F.lit(_CHILD), F.lit(_UNKNOWN)))
         .otherwise(F.array(F.lit(_SELF), F.lit(_CHILD)))
     )
-    opened = rows.withColumns({"_first": first, "_few": F.when((F.col("type") == "object") & F.col("raw").isNotNull(), ranked)})
-    opened = opened.withColumn("_role", F.explode(roles))
-    opened = opened.withColumn("_open", F.when(F.col("_role") == _CHILD, F.col("value")))
-    spark = rows.sparkSession
-    each = opened.lateralJoin(spark.tvf.variant_explode_outer(F.col("_open").outer()).toDF("_pos", "_key", "_child"))
-    each = each.where((F.col("_role") != _CHILD) | F.col("_pos").isNotNull())
-    own, child = F.col("_role") == _SELF, F.col("_role") == _CHILD
-    each = each.withColumn("_kind", F.when(own, F.col("type")).when(child, _json_type(F.col("_child"))).otherwise(F.lit("any")))
+
+
+@reused
+def _kind() -> Column:
+    child = F.col("_role") == _CHILD
+    return F.when(F.col("_role") == _SELF, F.col("type")).when(child, _json_type(F.col("_child"))).otherwise(F.lit("any"))
+
+
+@reused
+def _closing(fields: int, last: bool) -> list[Column]:
+    """The columns of a row after its container was opened."""
+    own, child, is_array = F.col("_role") == _SELF, F.col("_role") == _CHILD, F.col("type") == "array"
     container = child & F.col("_kind").isin("object", "array")
-    inside = F.when(
-        F.col("type") == "object", F.get(F.map_values(F.map_filter(F.from_json("raw", "map<string,string>"), lambda k, _: k == F.col("_key"))), F.lit(0))
-    ).otherwise(F.get(F.from_json("raw", "array<string>"), F.col("_pos")))
+    named = F.map_filter(F.from_json("raw", "map<string,string>"), lambda k, _: k == F.col("_key"))
+    inside = F.when(is_array, F.get(F.from_json("raw", "array<string>"), F.col("_pos"))).otherwise(F.get(F.map_values(named), F.lit(0)))
     # Few children are as wide: their text is only looked for where their colons are many.
     wide = F.col("raw").isNotNull() & container & _may_be_wide(F.to_json("_child"), fields)
     in_shape = F.when(is_array, F.coalesce(F.col("_pos") == F.col("_first"), F.lit(False))).otherwise(
         F.col("_few").isNull() | F.array_contains("_few", F.col("_key"))
     )
     gone = F.lit(None)
-    return each.select(
-        *keys,
+    return [
         F.when(own, F.col("path"))
-        .otherwise(F.array_append("path", F.when(F.col("type") == "object", F.col("_key")).otherwise(F.lit(ELEMENT))))
+        .otherwise(F.array_append("path", F.when(is_array, F.lit(ELEMENT)).otherwise(F.col("_key"))))
         .alias("path"),
         F.col("_kind").alias("type"),
         F.when(child, F.col("shape") & in_shape).otherwise(F.col("shape")).alias("shape"),
@@ -123,7 +128,20 @@ def _walked(rows: DataFrame, keys: list[str], fields: int, last: bool) -> DataFr
         .alias("number"),
         (gone.cast("variant") if last else F.when(container, F.col("_child"))).alias("value"),
         (gone.cast("string") if last else F.when(wide, inside)).alias("raw"),
-    )
+    ]
+
+
+def _walked(rows: DataFrame, keys: list[str], fields: int, last: bool) -> DataFrame:
+    """Every row again, and the children of those that are containers still to be opened (``value`` is set).
+
+    ``raw`` is the text of a container that may hold an object with too many fields: only there the written
+    order matters, which a parsed value does not keep.
+    """
+    opened = rows.withColumns(_opening(fields)).withColumn("_role", _roles())
+    content = F.when(F.col("_role") == _CHILD, F.col("value")).outer()
+    children = rows.sparkSession.tvf.variant_explode_outer(content).toDF("_pos", "_key", "_child")
+    each = opened.lateralJoin(children).where("_role <> 1 or _pos is not null")  # an empty container has no child
+    return each.withColumn("_kind", _kind()).select(*keys, *_closing(fields, last))
 
 
 def body_nodes(bodies: DataFrame, keys: list[str], body: str, limits: Limits = DEFAULT) -> DataFrame:

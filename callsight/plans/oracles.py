@@ -885,6 +885,12 @@ ORACLES["stream_body_budget"] = f"SELECT * FROM ({ORACLES['body_budget']}) WHERE
 ORACLES["stream_pairs"] = """
 SELECT event_id AS request_id, CAST(round(value * 100) AS BIGINT) AS duration_ms FROM events WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 2 = 0"""
 
+ORACLES["stream_unpaired"] = """
+WITH sent AS (
+  SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 2 = 1 AS odd, CAST(round(value * 100) AS BIGINT) AS c FROM events)
+SELECT event_id AS request_id, 'unanswered' AS outcome FROM sent WHERE odd OR c > 5000
+UNION ALL SELECT event_id, 'late' FROM sent WHERE NOT odd AND c > 5000"""
+
 # --- stored and masked captures ------------------------------------------------
 
 _MASK = """regexp_replace(request_body, '"email":"[^"]*"', '"email":"[REDACTED]"')"""

@@ -1005,23 +1005,40 @@ def stream_body_budget(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(_drained(kept)).select("scan_id", "call_seq", "kind", "truncated", "body")
 
 
-@query
-def stream_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf: str, wait_ms: int) -> str:
     """Every event asked at its time and answered after its duration; events with an odd property never are."""
-    events = _stream(spark, sf, "events").select(
+    events = table(spark, sf, "events").select(
         F.col("event_id").alias("request_id"),
         F.col("ts").cast("timestamp").alias("asked"),
         F.round(F.col("value") * 100).cast("bigint").alias("wait_ms"),
         (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 2).alias("odd"),
     )
-    requests = events.select("request_id", F.col("asked").alias("requested_at"))
-    answered_at = F.timestamp_micros(F.unix_micros("asked") + F.col("wait_ms") * 1000)
-    responses = events.where(F.col("odd") == 0).select("request_id", answered_at.alias("answered_at"))
-    rows = spark.read.parquet(_drained(live.paired_calls(requests, responses)))
+    stream = _arriving(events.withColumn("at", F.unix_millis("asked")), "at")
+    asked = F.timestamp_millis("at")
+    requests = stream.select("request_id", asked.alias("requested_at"))
+    # The last row of the stream is no event: it comes much later than all, on both sides.
+    answered = F.timestamp_millis(F.col("at") + F.coalesce("wait_ms", F.lit(0)))
+    responses = stream.where("odd = 0 or request_id is null").select("request_id", answered.alias("answered_at"))
+    folder = f"{checkpoint_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    pairs = live.paired_calls(requests, responses, wait_ms, delay_ms=prefix.YEAR_MS)
+    live.start_pairs(pairs, folder, f"{folder}/state").awaitTermination()
+    return folder
+
+
+@query
+def stream_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{_pairs(spark, sf, 3_600_000)}/pairs")
     duration = F.expr("div(unix_micros(answered_at) - unix_micros(requested_at), 1000)")
     return rows.select("request_id", duration.cast("bigint").alias("duration_ms"))
 
 
+@query
+def stream_unpaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests without an answer, and answers that came too late, where a request waits for five seconds."""
+    rows = spark.read.parquet(f"{_pairs(spark, sf, 5_000)}/unpaired")
+    return rows.where("request_id is not null").select("request_id", "outcome")
+
+
 # --- stored and masked captures ------------------------------------------------
 
 

@@ -50,20 +50,50 @@ def read_live_endpoints(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def paired_calls(requests: DataFrame, responses: DataFrame, wait: str = "1 hour") -> DataFrame:
-    """Requests with their response or failure (``request_id, requested_at`` ⋈ ``request_id, answered_at``).
+PAIRED, UNANSWERED, LATE = "paired", "unanswered", "late"
 
-    Both sides carry a watermark, so a request without an answer is given up, not kept forever,
-    and never reported.
+
+def paired_calls(requests: DataFrame, responses: DataFrame, wait_ms: int = 3_600_000, delay_ms: int = 3_600_000) -> DataFrame:
+    """Every request and every response of two streams, with what became of it (``outcome``).
+
+    ``requests`` has ``request_id, requested_at``, ``responses`` has ``request_id, answered_at``, besides columns
+    of their own. A response that comes within ``wait_ms`` of its request makes a ``paired`` row of both.
+    A request that has none by then is given out as ``unanswered``, a response that no request waited for as
+    ``late``; both wait in state until the watermark, ``delay_ms`` behind the newest row of either side, decides.
     """
-    asked = requests.withWatermark("requested_at", wait)
-    answered = responses.withWatermark("answered_at", wait).withColumnRenamed("request_id", "_id")
+    delay = f"{delay_ms} milliseconds"
+    asked = requests.withWatermark("requested_at", delay)
+    answered = responses.withWatermark("answered_at", delay).withColumnRenamed("request_id", "_id")
     matched = (
         (F.col("request_id") == F.col("_id"))
+        & F.col("request_id").isNotNull()  # the join's state takes null keys for equal
         & (F.col("answered_at") >= F.col("requested_at"))
-        & (F.col("answered_at") <= F.col("requested_at") + F.expr(f"interval {wait}"))
+        & (F.col("answered_at") <= F.col("requested_at") + F.expr(f"make_dt_interval(0, 0, 0, {wait_ms / 1000})"))
+    )
+    outcome = (
+        F.when(F.col("answered_at").isNull(), F.lit(UNANSWERED)).when(F.col("requested_at").isNull(), F.lit(LATE)).otherwise(F.lit(PAIRED))
     )
-    return asked.join(answered, matched, "inner").drop("_id")
+    joined = asked.join(answered, matched, "full_outer").withColumn("outcome", outcome)
+    return joined.withColumn("request_id", F.coalesce("request_id", "_id")).drop("_id")
+
+
+def start_pairs(pairs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the pairs below ``path/pairs`` and all that found no partner below ``path/unpaired``, batch by batch."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        held.where(F.col("outcome") == PAIRED).write.mode("overwrite").parquet(f"{path}/pairs/batch={batch_id}")
+        held.where(F.col("outcome") != PAIRED).write.mode("overwrite").parquet(f"{path}/unpaired/batch={batch_id}")
+        held.unpersist()
+
+    writer = pairs.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(keep)
+    return writer.trigger(availableNow=True).start()
+
+
+def pair_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows by outcome so far. Requests in = paired + unanswered + those still waiting; responses likewise with ``late``."""
+    tables = [spark.read.parquet(f"{path}/{name}").select("outcome") for name in ("pairs", "unpaired")]
+    return tables[0].union(tables[1]).groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def progress_lines(snapshot: DataFrame, event: str = "progress") -> DataFrame:

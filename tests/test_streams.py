@@ -70,3 +70,32 @@ def test_rows_within_a_limit():
     assert prefix.within(rows, 8) == (rows[:2], (3,))  # a smaller row after the break does not come back
     assert prefix.within(rows, 17) == (rows, None)
     assert prefix.within([], 0) == ([], None)
+
+
+def test_every_request_and_response_is_accounted_for(spark, tmp_path):
+    rng, folder = random.Random(3), str(tmp_path)
+    schema = "request_id long, side string, at long"
+    asked = {at: 10_000_000 + rng.randint(0, 50_000) for at in range(60)}
+    answered = {at: asked.get(at, 10_020_000) + rng.randint(0, 4000) for at in range(20, 80)}
+    rows = [(i, "asked", t) for i, t in asked.items()] + [(i, "answered", t) for i, t in answered.items()]
+    rng.shuffle(rows)
+    late = [(-1, "asked", 10**13), (-2, "answered", 10**13)]  # these two wait on
+    source = lambda side, name: (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        .where(F.col("side") == side).select("request_id", F.timestamp_millis("at").alias(name))
+    )
+
+    def go():
+        pairs = live.paired_calls(source("asked", "requested_at"), source("answered", "answered_at"), wait_ms=2000)
+        live.start_pairs(pairs, f"{folder}/out", f"{folder}/state").awaitTermination()
+        return {row.outcome: row.rows for row in live.pair_counts(spark, f"{folder}/out").collect()}
+
+    for part in (rows[:50], rows[50:]):
+        arrive(spark, f"{folder}/in", part, schema)
+    early = go()
+    assert set(early) == {"paired"}  # the rest is still waiting
+    arrive(spark, f"{folder}/in", late, schema)
+    counts = go()
+    paired = sum(1 for at in asked if at in answered and answered[at] - asked[at] <= 2000)
+    assert counts == {"paired": paired, "unanswered": len(asked) - paired, "late": len(answered) - paired}
+    assert early["paired"] == paired
