@@ -876,6 +876,17 @@ SELECT {KEY}, count(*) AS count, count(*) FILTER (status = 0) AS failed, count(*
   min(call_seq) AS first_seq, max(call_seq) AS last_seq, CAST(sum(c) AS BIGINT) AS duration_ms
 FROM api GROUP BY ALL"""
 ORACLES["stream_endpoints"] = _with(CALLS) + _LIVE
+
+
+def _binned(value: str) -> str:
+    """The middle of the values that share the eight leading binary digits."""
+    shift = f"greatest(length(bin({value})) - 8, 0)"
+    return f"(({value} >> {shift}) << {shift}) + (1::BIGINT << {shift}) // 2"
+
+
+ORACLES["stream_latency"] = _with(CALLS) + f"""
+SELECT {KEY}, ({_binned('p50')})::BIGINT AS p50, ({_binned('p95')})::BIGINT AS p95, top AS max
+FROM (SELECT {KEY}, {RANK.format(v='c', p=0.5)} AS p50, {RANK.format(v='c', p=0.95)} AS p95, max(c) AS top FROM api GROUP BY ALL)"""
 ORACLES["stream_resumed"] = ORACLES["stream_endpoints"]
 ORACLES["stream_progress"] = _with(CALLS) + f"""
 SELECT '{{"event":"done","scan_id":"' || scan_id || '","calls":' || sum(count) || ',"endpoints":' || count(*) || '}}' AS value

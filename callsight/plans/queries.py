@@ -957,6 +957,21 @@ def stream_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     return live.read_live_endpoints(spark, path)
 
 
+@query
+def stream_latency(spark: SparkSession, sf: str) -> DataFrame:
+    """Live percentiles per endpoint, from batches that were put together on the way."""
+    events, pages = table(spark, sf, "events"), table(spark, sf, "pages")
+    folder = f"{checkpoint_folder(spark)}/latency-{uuid.uuid4().hex}"
+    for rest in range(3):
+        events.where(F.col("event_id") % 3 == rest).write.mode("append").parquet(f"{folder}/in")
+        calls = samples.calls_of(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), pages)
+        rows = live.live_latency(report.keyed(calls))
+        live.start_batches(rows, f"{folder}/out", f"{folder}/state", "update").awaitTermination()
+        live.compact_batches(spark, f"{folder}/out", live.latest_latency, keep=1)
+    found = live.latency_percentiles(live.latest_latency(live.read_batches(spark, f"{folder}/out")))
+    return found.select(*KEY, "p50", "p95", "max")
+
+
 @query
 def stream_resumed(spark: SparkSession, sf: str) -> DataFrame:
     """The live endpoint list of a stream that stopped after the first part of a capture and was started again."""

@@ -99,3 +99,28 @@ def test_every_request_and_response_is_accounted_for(spark, tmp_path):
     paired = sum(1 for at in asked if at in answered and answered[at] - asked[at] <= 2000)
     assert counts == {"paired": paired, "unanswered": len(asked) - paired, "late": len(answered) - paired}
     assert early["paired"] == paired
+
+
+def test_live_percentiles_are_within_their_bound_and_batches_are_put_together(spark, tmp_path):
+    rng, folder = random.Random(4), str(tmp_path)
+    schema = "scan_id string, method string, url_pattern string, duration_ms long"
+    rows = [("s", "GET", rng.choice("ab"), rng.choice([0, 7, rng.randint(0, 300), rng.randint(0, 10**7), None])) for _ in range(900)]
+    rows += [("s", "GET", "c", None)]
+    make = lambda calls: live.live_latency(calls)
+    folders = lambda: sorted(p.name for p in (tmp_path / "out").iterdir() if "=" in p.name)
+    for part in range(3):
+        arrive(spark, f"{folder}/in", rows[part::3], schema)
+        source = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        live.start_batches(make(source), f"{folder}/out", f"{folder}/state", "update").awaitTermination()
+        live.compact_batches(spark, f"{folder}/out", live.latest_latency, keep=1)
+        live.compact_batches(spark, f"{folder}/out", live.latest_latency, keep=1)  # nothing left to do
+    assert folders() == ["base=1", "batch=2"]
+    found = live.latency_percentiles(live.latest_latency(live.read_batches(spark, f"{folder}/out"))).collect()
+    assert sorted(row.url_pattern for row in found) == ["a", "b"]
+    for row in found:
+        values = sorted(v for _, _, p, v in rows if p == row.url_pattern and v is not None)
+        exact = [values[-(-len(values) * p // 100) - 1] for p in (50, 95)]
+        assert all(abs(got - value) <= value / 256 for got, value in zip((row.p50, row.p95), exact))
+        assert row.max == values[-1]
+    with pytest.raises(FileNotFoundError):
+        live.read_batches(spark, f"{folder}/none")
