@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +16,10 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     readers do not list files and folders whose names begin with ``_`` or ``.``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).removeprefix("./").strip("/")
-    below = F.element_at(F.split("path", re.escape(f"/{folder}/"), 2), 2)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    whole = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    below = F.substr("path", F.lit(len(whole.rstrip("/")) + 2))
     return files.select(below.alias("file"), "content").where(F.col("file") != MANIFEST_FILE)
 
 

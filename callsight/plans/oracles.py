@@ -936,3 +936,55 @@ SELECT {KEY}, arg_min(request_body, call_seq) FILTER (request_body IS NOT NULL)
 FROM api GROUP BY ALL"""
 ORACLES["masked_sizes"] = _with(MASKED) + f"SELECT {KEY}, {_sizes('request')}, {_sizes('response')} FROM api GROUP BY ALL"
 ORACLES["masked_schema_paths"] = ORACLES["schema_paths"].replace("'u' || user_id || '@example.com', NULL FROM kinds", "'[REDACTED]', NULL FROM kinds")
+
+# --- cases the sample capture lacks ----------------------------------------------
+
+ORACLES["target_verdicts"] = """
+SELECT page_id, CASE page_id % 12 WHEN 6 THEN 'only http and https can be scanned' WHEN 7 THEN 'invalid URL'
+  WHEN 1 THEN 'private or local address' WHEN 2 THEN 'private or local address' WHEN 3 THEN 'private or local address'
+  WHEN 5 THEN 'private or local address' WHEN 8 THEN 'private or local address' WHEN 9 THEN 'private or local address'
+  WHEN 10 THEN 'private or local address' ELSE 'accepted' END AS verdict
+FROM pages"""
+ORACLES["private_targets"] = "SELECT page_id, page_id % 12 IN (1, 2, 3, 5, 8, 9, 10) AS private_host FROM pages"
+ORACLES["body_gap_kinds"] = """
+SELECT event_id, event_id % 7 IN (1, 2, 6) AS "binary",
+  CASE WHEN event_id % 5 = 1 THEN CASE WHEN event_id % 7 IN (1, 2, 6) THEN 'binary' WHEN event_id % 7 IN (0, 4, 5) THEN 'no-body' ELSE 'not-json' END
+    WHEN event_id % 11 = 0 THEN 'truncated' WHEN event_id % 5 IN (2, 4) THEN 'not-json' ELSE '' END AS reason
+FROM events"""
+ORACLES["masked_keys"] = f"""
+SELECT event_id, CASE event_id % 3
+    WHEN 0 THEN '{{"Pass-Word":"{fv.REDACTED}","note":"x' || user_id || '","n":1}}'
+    WHEN 1 THEN '{{"user":{{"api_key":["{fv.REDACTED}",7,{{"deep":"{fv.REDACTED}"}}],"id":"i' || user_id || '"}}}}'
+    ELSE '[{{"clientSecret":null,"list":["a' || user_id || '"]}},{{"token":"{fv.REDACTED}"}}]' END AS body,
+  CASE event_id % 3 WHEN 1 THEN 2 ELSE 1 END::INT AS secrets
+FROM events"""
+ORACLES["endpoints_with_contract"] = _with(CALLS, GAPS) + """
+SELECT DISTINCT a.scan_id, a.id FROM api a JOIN gaps g USING (scan_id, method, url_pattern)
+WHERE a.noun NOT IN ('login', 'users', 'products') AND (a.request_body IS NOT NULL OR a.response_body IS NOT NULL)
+  OR g.request_rank IS NOT NULL OR g.response_rank IS NOT NULL OR a.ids > 0 OR a.gql"""
+ORACLES["drifted_statuses"] = _with(*_COMPARED) + """
+SELECT id, 'status codes ' || array_to_string(bs, ', ') || ' → ' || array_to_string(n, ', ')
+    || CASE WHEN contains(id, '/api/users') AND len(list_filter(bs, lambda x: x BETWEEN 200 AND 299)) > 0 THEN ' (no longer returns 2xx)' ELSE '' END AS text,
+  contains(id, '/api/users') AND len(list_filter(bs, lambda x: x BETWEEN 200 AND 299)) > 0 AS breaking
+FROM (SELECT *, CASE WHEN contains(id, '/api/users') THEN [500, 503] WHEN contains(id, '/api/products') THEN [200, 304] ELSE s END AS n FROM pair) WHERE bs <> n"""
+ORACLES["drifted_categories"] = _with(*_COMPARED) + """
+SELECT id, 'category ' || bc || ' → ' || n AS text, FALSE AS breaking
+FROM (SELECT *, CASE WHEN contains(id, '/api/login') THEN 'payments' ELSE c END AS n FROM pair) WHERE bc <> n"""
+ORACLES["drifted_vendors"] = _with(CALLS, FIRST) + f"""
+, named AS (SELECT DISTINCT scan_id, api.id FROM api JOIN endpoints USING ({KEY}) WHERE category IN ('analytics', 'third-party') AND api.host = 'api.segment.io'),
+kept AS (SELECT id, length(id) % 3 AS kind FROM named GROUP BY id HAVING count(DISTINCT scan_id) = 2)
+SELECT id, CASE kind WHEN 0 THEN 'vendor Segment → Other' ELSE 'vendor category analytics → ads' END AS text, FALSE AS breaking FROM kept WHERE kind < 2
+UNION ALL SELECT id, 'vendor payload keys added: user', FALSE FROM kept WHERE kind = 2
+UNION ALL SELECT id, 'vendor payload keys not observed this time: token', FALSE FROM kept WHERE kind = 2"""
+
+# --- what is written is read back ------------------------------------------------
+
+ORACLES["read_calls"] = _with(CALLS) + f"""
+SELECT scan_id, call_seq, method, mime_type, status, {_normalized('page_url')} AS triggered_by, request_body FROM calls"""
+ORACLES["read_failures"] = _with(CALLS) + """
+SELECT scan_id, call_seq, method, 0 AS status, '' AS mime_type, c AS duration_ms, 0 AS headers FROM calls WHERE status = 0"""
+ORACLES["read_frames"] = _with(FRAMES) + """
+SELECT conn_seq, frame_seq, CASE WHEN frame_seq % 3 = 1 THEN 'binary' ELSE 'text' END AS type,
+  CASE WHEN frame_seq % 3 = 1 THEN base64(encode(payload)) ELSE payload END AS payload, octet_length(encode(payload))::BIGINT AS size FROM frames"""
+ORACLES["report_read_back"] = f"SELECT {KEY}, calls, statuses FROM ({ORACLES['endpoint_rollup']})"
+ORACLES["snapshot_read_back"] = f"SELECT {KEY}, calls FROM ({ORACLES['endpoint_rollup']})"

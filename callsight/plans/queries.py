@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
+from callsight import schemas
 from callsight.functions import text as tx
 from callsight.functions import urls
 from callsight.operators import caps, diff, findings, graph, graphql, leaks, manifest, openapi, redaction, resume, scope
@@ -26,6 +27,8 @@ from callsight.operators.resources import group_resources, resource_of
 from callsight.operators.sizing import settle
 from callsight.plans import capture, report
 from callsight.session import checkpoint_folder
+from callsight.sinks import tables
+from callsight.sources import capture as capture_source
 from callsight.sources import samples
 from callsight.sources.samples import AFTER, BEFORE, table
 from callsight.streaming import live, prefix
@@ -1092,6 +1095,173 @@ def masked_schema_paths(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_shape(_masked(spark, sf).shapes, [*KEY, "side"])
 
 
+# --- cases the sample capture lacks, made from its rows --------------------------
+
+
+def _turn(column: str, values: list[str | None]) -> Column:
+    """One of the values by the remainder of an id."""
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col(column) % len(values) + 1).cast("int"))
+
+
+#: Scan targets of every kind; null stands for the page's own URL.
+TARGETS = [
+    None, "http://127.0.0.1/a", "http://192.168.1.5/", "http://172.16.0.9:8080/x", "http://172.32.0.9/x", "https://printer.local/",
+    "ftp://files.example.com/", "no url at all", "http://LOCALHOST:3000/", "https://db.internal/", "http://10.1.2.3/", "https://host.local.example.com/",
+]
+
+
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return pages.select("page_id", F.coalesce(_turn("page_id", TARGETS), F.col("url")).alias("seed_url"))
+
+
+@query
+def target_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return scope.target_check(_targets(spark, sf)).select("page_id", F.coalesce("refused", F.lit("accepted")).alias("verdict"))
+
+
+@query
+def private_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return _targets(spark, sf).select("page_id", F.coalesce(urls.is_private_host("seed_url"), F.lit(False)).alias("private_host"))
+
+
+MIMES = ["application/json", "Image/PNG; q=1", "application/pdf", "text/html", "", None, "application/octet-stream"]
+BODIES = ['{"a":1}', None, "plain text", "[1, 2]", '{"cut":']
+
+
+@query
+def body_gap_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Why a body has no shape, for every kind of MIME type, body and cut."""
+    rows = table(spark, sf, "events").select(
+        "event_id", _turn("event_id", MIMES).alias("mime"), _turn("event_id", BODIES).alias("body"), (F.col("event_id") % 11 == 0).alias("cut")
+    )
+    return rows.select(
+        "event_id",
+        F.coalesce(tx.response_gap("body", "cut", "mime"), F.lit("")).alias("reason"),
+        F.coalesce(tx.is_binary_mime("mime"), F.lit(False)).alias("binary"),
+    )
+
+
+@query
+def masked_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies with sensitive keys, written in several ways and nested."""
+    uid = F.col("user_id").cast("string")
+    body = F.when(
+        F.col("event_id") % 3 == 0, F.concat(F.lit('{"Pass-Word":"p'), uid, F.lit('","note":"x'), uid, F.lit('","n":1}'))
+    ).when(
+        F.col("event_id") % 3 == 1, F.concat(F.lit('{"user":{"api_key":["k'), uid, F.lit('",7,{"deep":"d"}],"id":"i'), uid, F.lit('"}}'))
+    ).otherwise(F.concat(F.lit('[{"clientSecret":null,"list":["a'), uid, F.lit('"]},{"token":"t'), uid, F.lit('"}]')))
+    masked = table(spark, sf, "events").select("event_id", redaction.redact_body(body).alias("m"))
+    return masked.select("event_id", "m.body", F.size("m.secrets").alias("secrets"))
+
+
+@query
+def endpoints_with_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """Where nothing is known but of the endpoints themselves, logins and users have nothing to say."""
+    found = _report(spark, sf)
+    nothing = lambda rows: rows.where(F.lit(False))
+    shapes = found.shapes.where(~F.col("url_pattern").rlike("/(login|users|products)"))
+    return vw.has_contract(found.endpoints, nothing(found.params), shapes, nothing(found.errors)).select("scan_id", "id")
+
+
+def _drifted(spark: SparkSession, sf: str, *names: str) -> tuple[diff.Snapshot, diff.Snapshot]:
+    """The second scan with other statuses of users, another category of carts and other vendors of tracking calls."""
+    before, after = _snapshots(spark, sf, *names)
+    of = lambda noun: F.col("id").contains(f"/api/{noun}")
+    codes = F.when(of("users"), F.array(F.lit(500), F.lit(503))).when(of("products"), F.array(F.lit(200), F.lit(304))).otherwise(F.col("status_codes"))
+    endpoints = after.endpoints.withColumns(
+        {"status_codes": codes, "category": F.when(of("login"), F.lit("payments")).otherwise(F.col("category"))}
+    )
+    return before, replace(after, endpoints=endpoints)
+
+
+@query
+def drifted_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    before, after = _drifted(spark, sf, "params")
+    return _details(diff.diff_statuses(before.endpoints, after.endpoints))
+
+
+@query
+def drifted_categories(spark: SparkSession, sf: str) -> DataFrame:
+    before, after = _drifted(spark, sf, "params")
+    return _details(diff.diff_category(before.endpoints, after.endpoints))
+
+
+@query
+def drifted_vendors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vendor of the second scan is renamed, moved, or sends other keys, by the length of the endpoint's id."""
+    before, after = _snapshots(spark, sf, "vendors")
+    kind = F.length("id") % 3
+    vendors = after.vendors.withColumns(
+        {
+            "vendor": F.when(kind == 0, F.lit("Other")).otherwise(F.col("vendor")),
+            "vendor_category": F.when(kind == 1, F.lit("ads")).otherwise(F.col("vendor_category")),
+            "payload_keys": F.when(kind == 2, F.array(F.lit("page"), F.lit("user"))).otherwise(F.col("payload_keys")),
+        }
+    )
+    return _details(diff.diff_vendors(before, replace(after, vendors=vendors)))
+
+
+# --- what is written is read back ------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def read_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls as a capture writes them, read and normalised."""
+    path = _folder(spark, "calls")
+    raw = samples.calls(spark, sf).withColumns(
+        {"method": F.lower("method"), "mime_type": F.when(F.col("mime_type") != "", F.concat("mime_type", F.lit(" ; charset=utf-8"))), "status": F.nullif("status", F.lit(0))}
+    )
+    raw.write.parquet(path)
+    return capture_source.read_calls(spark, path).select("scan_id", "call_seq", "method", "mime_type", "status", "triggered_by", "request_body")
+
+
+@query
+def read_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls without a response, read and put beside the others."""
+    path = _folder(spark, "failures")
+    columns = [part.split()[0] for part in schemas.FAILED_CALLS.split(", ") if part.split()]
+    failed = samples.calls(spark, sf).where(F.col("status") == 0).select(*[c for c in columns if c in samples.calls(spark, sf).columns])
+    failed.withColumn("method", F.lower("method")).write.json(path)
+    rows = capture_source.read_failed_calls(spark, path, "json")
+    return rows.select("scan_id", "call_seq", "method", "status", "mime_type", "duration_ms", F.size("response_headers").alias("headers"))
+
+
+@query
+def read_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Socket frames read from text and bytes."""
+    path, frames = _folder(spark, "frames"), samples.frames(spark, sf)
+    binary = F.col("frame_seq") % 3 == 1
+    raw = frames.select(
+        "scan_id", "conn_seq", "frame_seq", "direction",
+        F.when(~binary, F.col("payload")).alias("text"), F.when(binary, F.encode("payload", "utf-8")).alias("data"), "at",
+    )
+    raw.write.parquet(path)
+    return capture_source.read_frames(spark, path).select("conn_seq", "frame_seq", "type", "payload", "size")
+
+
+@query
+def report_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """The endpoint table of a report that was written, read from its folder."""
+    path = _folder(spark, "report")
+    tables.write_report({"endpoints": _report(spark, sf).endpoints.select(*KEY, "count", "status_codes")}, path)
+    rows = spark.read.parquet(f"{path}/endpoints")
+    return rows.select(*KEY, F.col("count").alias("calls"), _joined("status_codes").alias("statuses"))
+
+
+@query
+def snapshot_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Of three stored snapshots, the newest is read."""
+    path, found = _folder(spark, "snapshot"), _report(spark, sf).endpoints.select(*KEY, "count")
+    for name, rows in (("2024-01", found.limit(0)), ("2024-03", found), ("2024-02", found.withColumn("count", F.lit(0).cast("bigint")))):
+        tables.write_snapshot({"endpoints": rows}, path, name)
+    return tables.read_snapshot_tables(spark, path, ["endpoints"])["endpoints"].select(*KEY, F.col("count").alias("calls"))
+
+
 # --- OpenAPI -------------------------------------------------------------------
 
 
