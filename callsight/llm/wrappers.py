@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -135,8 +136,7 @@ def _element(sign: str, children: list) -> list:
     return [sign, False, False, 1, None, children]
 
 
-def _group_size(children: list, at: int) -> int:
-    signs = [child[0] for child in children]
+def _group_size(signs: list[str], at: int) -> int:
     for size in range(1, 5):
         if at + 2 * size <= len(signs) and signs[at : at + size] == signs[at + size : at + 2 * size]:
             return size
@@ -146,16 +146,17 @@ def _group_size(children: list, at: int) -> int:
 def folded(children: list) -> list:
     """Like elements, or like groups of up to four, in a row become one that is repeated."""
     out: list = []
+    signs = [child[0] for child in children]
     at = 0
     while at < len(children):
-        size = _group_size(children, at)
+        size = _group_size(signs, at)
         if not size:
             out.append(children[at])
             at += 1
             continue
-        group = children[at : at + size]
+        group, like = children[at : at + size], signs[at : at + size]
         at += size
-        while [c[0] for c in children[at : at + size]] == [c[0] for c in group]:
+        while signs[at : at + size] == like:
             group = [aligned(a, b, same_page=True) for a, b in zip(group, children[at : at + size])]
             at += size
         for child in group:
@@ -164,29 +165,88 @@ def folded(children: list) -> list:
     return out
 
 
-def aligned(a: list, b: list, same_page: bool = False) -> list:
-    """The wrapper of both; the two have one sign."""
-    if a[0] == "#":
-        text = a[4] if a[4] == b[4] else None
-        return ["#", a[1] or b[1], a[2] or b[2], a[3] if same_page else a[3] + b[3], text, []]
-    left, right = a[5], b[5]
+#: Children are aligned by a full table up to this many cells, beyond by occurrence.
+TABLE_CELLS = 250_000
+#: Elements nested deeper stand in the wrapper beside their parents.
+DEPTH = 150
+
+
+def _longest_common(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
     table_ = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(len(left) - 1, -1, -1):
         for j in range(len(right) - 1, -1, -1):
-            same = left[i][0] == right[j][0]
+            same = left[i] == right[j]
             table_[i][j] = table_[i + 1][j + 1] + 1 if same else max(table_[i + 1][j], table_[i][j + 1])
-    i = j = 0
-    children: list = []
-    while i < len(left) or j < len(right):
-        if i < len(left) and j < len(right) and left[i][0] == right[j][0]:
-            children.append(aligned(left[i], right[j], same_page))
+    pairs, i, j = [], 0, 0
+    while i < len(left) and j < len(right):
+        if left[i] == right[j]:
+            pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(right) or i < len(left) and table_[i + 1][j] >= table_[i][j + 1]:
-            children.append([left[i][0], True, *left[i][2:]])
+        elif table_[i + 1][j] >= table_[i][j + 1]:
             i += 1
         else:
-            children.append([right[j][0], True, *right[j][2:]])
             j += 1
+    return pairs
+
+
+def _by_occurrence(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence in which the n-th of a sign meets the n-th: the longest rising run of these."""
+    seen: dict[str, int] = {}
+    places = {}
+    for j, sign in enumerate(right):
+        seen[sign] = seen.get(sign, 0) + 1
+        places[sign, seen[sign]] = j
+    seen.clear()
+    met = []
+    for i, sign in enumerate(left):
+        seen[sign] = seen.get(sign, 0) + 1
+        if (sign, seen[sign]) in places:
+            met.append((i, places[sign, seen[sign]]))
+    ends: list[int] = []  # least end of a rising run of each length, and for every pair the one before it
+    holders: list[int] = []
+    before = []
+    for at, (_, j) in enumerate(met):
+        length = bisect_left(ends, j)
+        before.append(holders[length - 1] if length else -1)
+        ends[length : length + 1] = [j]
+        holders[length : length + 1] = [at]
+    pairs, at = [], holders[-1] if holders else -1
+    while at >= 0:
+        pairs.append(met[at])
+        at = before[at]
+    return pairs[::-1]
+
+
+def common(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places at which two rows of signs are matched, in order: equal ends first, then what lies between."""
+    least = min(len(left), len(right))
+    begin = 0
+    while begin < least and left[begin] == right[begin]:
+        begin += 1
+    end = 0
+    while end < least - begin and left[-1 - end] == right[-1 - end]:
+        end += 1
+    inner = left[begin : len(left) - end], right[begin : len(right) - end]
+    between = _longest_common if len(inner[0]) * len(inner[1]) <= TABLE_CELLS else _by_occurrence
+    pairs = [(at, at) for at in range(begin)]
+    pairs += [(begin + i, begin + j) for i, j in between(*inner)]
+    return pairs + [(len(left) - at, len(right) - at) for at in range(end, 0, -1)]
+
+
+def aligned(a: list, b: list, same_page: bool = False) -> list:
+    """The wrapper of both; the two have one sign."""
+    if a[0] == "#":
+        text = a[4] if a[4] == b[4] else None
+        return ["#", a[1] or b[1], a[2] or b[2], a[3] if same_page else a[3] + b[3], text, []]
+    left, right = a[5], b[5]
+    children: list = []
+    i = j = 0
+    for to_i, to_j in [*common([c[0] for c in left], [c[0] for c in right]), (len(left), len(right))]:
+        children += [[c[0], True, *c[2:]] for c in [*left[i:to_i], *right[j:to_j]]]
+        if to_i < len(left):
+            children.append(aligned(left[to_i], right[to_j], same_page))
+        i, j = to_i + 1, to_j + 1
     pages = a[3] if same_page else a[3] + b[3]
     return [a[0], a[1] or b[1], a[2] or b[2], pages, None, folded(children)]
 
@@ -207,7 +267,8 @@ def wrapper_of(html: str) -> list:
     def close(count: int) -> None:
         for _ in range(count):
             done = stack.pop()
-            done[5] = [] if _apart(done[0].split(".")[0], set(WORD.findall(done[0]))) else folded(done[5])
+            if done is not stack[-1]:
+                done[5] = [] if _apart(done[0].split(".")[0], set(WORD.findall(done[0]))) else folded(done[5])
 
     for event in events(html):
         if event[0] == "text":
@@ -217,7 +278,8 @@ def wrapper_of(html: str) -> list:
             close(open_.opened(event[1]))
             node = _element(event[1] + event[3], [])
             stack[-1][5].append(node)
-            stack.append(node)
+            # Beyond the depth, what is inside of an element follows it.
+            stack.append(node if len(stack) < DEPTH else stack[-1])
         else:
             close(open_.closed(event[1]))
     close(len(stack) - 1)
@@ -240,24 +302,23 @@ def rules_of(wrapper: list) -> dict:
     kinds: set[str] = set()
     fixed: list[str] = []
 
-    def walk(node: list) -> None:
+    waiting = [wrapper]
+    while waiting:
+        node = waiting.pop()
         tag, words = node[0].split(".")[0], set(WORD.findall(node[0]))
         if node[0] == "#":
             if node[4] and not node[2] and node[3] >= 5 and node[3] >= 0.9 * wrapper[3]:
                 fixed.append(node[4])
-            return
+            continue
         if _apart(tag, words):
-            return
+            continue
         if tag == "article":
             kinds.add(ARTICLE)
         elif tag == "main" or "role" in words or tag not in ("html", "body") and words == {tag, "main"}:
             kinds.add(MAIN)
         elif tag in ("div", "section", "td") and words & MAIN_WORDS:
             kinds.add(CONTENT)
-        for child in node[5]:
-            walk(child)
-
-    walk(wrapper)
+        waiting += node[5]
     where = next((kind for kind in (ARTICLE, MAIN, CONTENT) if kind in kinds), BODY)
     return {"place": where, "fixed": fixed if where == BODY else []}
 
