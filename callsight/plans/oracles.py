@@ -977,6 +977,15 @@ SELECT id, CASE kind WHEN 0 THEN 'vendor Segment → Other' ELSE 'vendor categor
 UNION ALL SELECT id, 'vendor payload keys added: user', FALSE FROM kept WHERE kind = 2
 UNION ALL SELECT id, 'vendor payload keys not observed this time: token', FALSE FROM kept WHERE kind = 2"""
 
+ORACLES["contract_breaches"] = _with(CALLS) + """,
+known AS (SELECT DISTINCT scan_id, id FROM api),
+broken AS (
+  SELECT * FROM known JOIN (VALUES ('orders', 'category', 'is not one of the known values'),
+    ('users', 'status_codes', 'repeats an element'), ('users', 'status_codes', 'is not in order'), ('users', 'status_codes[1]', 'is more than 599'),
+    ('login', 'count', 'is less than 1'), ('track', 'timing', 'has p50 above p95'), ('track', 'timing.max', 'is missing')) b(noun, path, problem)
+  ON contains(id, '/api/' || noun))
+SELECT 'endpoints' AS "table", scan_id, id, path, problem FROM broken"""
+
 # --- what is written is read back ------------------------------------------------
 
 ORACLES["read_calls"] = _with(CALLS) + f"""

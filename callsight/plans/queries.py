@@ -16,7 +16,7 @@ from callsight import fixed_values as fv
 from callsight import schemas
 from callsight.functions import text as tx
 from callsight.functions import urls
-from callsight.operators import caps, diff, findings, graph, graphql, leaks, manifest, openapi, redaction, resume, scope
+from callsight.operators import caps, contract, diff, findings, graph, graphql, leaks, manifest, openapi, redaction, resume, scope
 from callsight.operators import endpoints as ep
 from callsight.operators import shape as sh
 from callsight.operators import signals as sg
@@ -1202,6 +1202,25 @@ def drifted_vendors(spark: SparkSession, sf: str) -> DataFrame:
     return _details(diff.diff_vendors(before, replace(after, vendors=vendors)))
 
 
+@query
+def contract_breaches(spark: SparkSession, sf: str) -> DataFrame:
+    """A report with some endpoints broken: every breach with its path, over all tables."""
+    found = _report(spark, sf)
+    of = lambda noun: F.col("id").contains(f"/api/{noun}")
+    broken = found.endpoints.withColumns(
+        {
+            "category": F.when(of("orders"), F.lit("unknown")).otherwise(F.col("category")),
+            "status_codes": F.when(of("users"), F.array(F.lit(200), F.lit(999), F.lit(200))).otherwise(F.col("status_codes")),
+            "count": F.when(of("login"), F.lit(0)).otherwise(F.col("count")),
+            "timing": F.when(
+                of("track"), F.struct(F.lit(9).cast("bigint").alias("p50"), F.lit(5).cast("bigint").alias("p95"), F.lit(None).cast("bigint").alias("max"))
+            ).otherwise(F.col("timing")),
+        }
+    )
+    rows = contract.report_violations(found.tables() | {"endpoints": broken})
+    return rows.select("table", F.get_json_object("row", "$.scan_id").alias("scan_id"), F.get_json_object("row", "$.id").alias("id"), "path", "problem")
+
+
 # --- what is written is read back ------------------------------------------------
 
 
