@@ -38,16 +38,16 @@ class Report:
     """The report tables of a capture, each computed when first asked for.
 
     Tables that others build on are settled, so a view over them does not compute them again.
-    ``rules`` says what of the calls is stored, and whether it is masked; the calls are then settled once, as a
-    capture would have stored them, and no table sees the originals. With ``rules=None`` the calls are
-    taken as stored already, and read as they are: store them yourself (see :func:`keyed`) when they are read often.
+    Give ``rules`` for calls as they were met: they say what is stored, and whether it is masked. The calls are then
+    settled once, as a capture would have stored them, and no table sees the originals. Without rules the calls
+    are taken as stored and masked already: store them yourself (see :func:`keyed`) when they are read often.
     """
 
     TABLES = [
         "endpoints", "values", "params", "shapes", "errors", "vendors", "operations", "introspection", "resources", "findings"
     ]
 
-    def __init__(self, calls: DataFrame, seeds: DataFrame, evidence: DataFrame | None = None, rules: Rules | None = Rules()):
+    def __init__(self, calls: DataFrame, seeds: DataFrame, evidence: DataFrame | None = None, rules: Rules | None = None):
         self._given, self.rules = calls, rules
         self.seeds = seeds
         self.evidence = evidence
