@@ -986,6 +986,16 @@ broken AS (
   ON contains(id, '/api/' || noun))
 SELECT 'endpoints' AS "table", scan_id, id, path, problem FROM broken"""
 
+ORACLES["sorted_endpoints"] = _with(CALLS, FIRST) + """
+SELECT scan_id, id, row_number() OVER (ORDER BY scan_id, category, id) AS position FROM endpoints"""
+_BY = """
+SELECT e.id, row_number() OVER (ORDER BY {order}, e.category, e.id) AS position
+FROM endpoints e JOIN (SELECT scan_id, id, count(*) AS n, count(DISTINCT triggered_by) AS pages FROM api GROUP BY ALL) c
+  ON c.scan_id = e.scan_id AND c.id = e.id
+WHERE e.scan_id = '{scan}'"""
+ORACLES["endpoints_by_count"] = _with(CALLS, FIRST) + _BY.format(order="n DESC", scan="after")
+ORACLES["endpoints_by_pages"] = _with(CALLS, FIRST) + _BY.format(order="pages", scan="before")
+
 # --- what is written is read back ------------------------------------------------
 
 ORACLES["read_calls"] = _with(CALLS) + f"""

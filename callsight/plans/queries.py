@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callsight import fixed_values as fv
@@ -1221,6 +1221,36 @@ def contract_breaches(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("table", F.get_json_object("row", "$.scan_id").alias("scan_id"), F.get_json_object("row", "$.id").alias("id"), "path", "problem")
 
 
+def _positions(ordered: DataFrame) -> DataFrame:
+    """The place of every row of a sorted table, from 1: partitions are in order, and rows within them."""
+    marked = settle(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    part, row = F.call_function("shiftright", "_id", F.lit(33)), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    before = sizes.select("_part", F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_before"))
+    placed = marked.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.withColumn("position", F.col("_before") + row + 1).drop("_id", "_part", "_before")
+
+
+@query
+def sorted_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    ordered = vw.sort_endpoints(_report(spark, sf).endpoints.select("scan_id", "category", "id"))
+    return _positions(ordered).select("scan_id", "id", "position")
+
+
+@query
+def endpoints_by_count(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _report(spark, sf).endpoints.where(F.col("scan_id") == AFTER).select("id", "category", "count")
+    return _positions(vw.endpoint_sort(rows, "count", descending=True)).select("id", "position")
+
+
+@query
+def endpoints_by_pages(spark: SparkSession, sf: str) -> DataFrame:
+    found = _report(spark, sf)
+    rows = found.endpoints.where(F.col("scan_id") == BEFORE).select(*KEY, "id", "category")
+    return _positions(vw.endpoint_sort(rows, "pages", pages=vw.page_counts(found.values))).select("id", "position")
+
+
 # --- what is written is read back ------------------------------------------------
 
 
