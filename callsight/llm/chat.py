@@ -28,8 +28,9 @@ def rotated(conversations: DataFrame, context: tuple[str, ...] = CONTEXT) -> Dat
 
     A null role is the speaker "unknown", a null text is empty, rows without conv_id are one dialogue
     together. Turns are ordered by turn (nulls first), then role and text; repeated rows are turns of
-    their own. A dialogue of context alone has no perspective and no rows. A marker inside a text is
-    written with a blank after ``<``, so no text can open or close a turn.
+    their own. A dialogue of context alone has no perspective and no rows. A marker inside a text or a
+    speaker's name is written with a blank after ``<``, and a line break of a name as a blank, so neither
+    can open or close a turn.
     """
     rows = conversations.select(
         F.col("conv_id"),
@@ -42,7 +43,8 @@ def rotated(conversations: DataFrame, context: tuple[str, ...] = CONTEXT) -> Dat
     rows = settle(_ranked(rows))
     voices = rows.where(~F.col("speaker").isin(*context)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     mine, scene = F.col("speaker") == F.col("perspective"), F.col("speaker").isin(*context)
-    head = F.when(mine, F.lit("assistant")).when(scene, F.col("speaker")).otherwise(F.concat(F.lit("user name="), "speaker"))
+    shown = F.regexp_replace(F.regexp_replace("speaker", r"<\|im_", "< |im_"), r"[\r\n]", " ")
+    head = F.when(mine, F.lit("assistant")).when(scene, shown).otherwise(F.concat(F.lit("user name="), shown))
     voices = voices.withColumnRenamed("conv_id", "__conv")
     each = rows.join(voices, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
     each = each.withColumn("__head", F.concat(F.lit(OPEN), head, F.lit("\n"))).withColumn(
