@@ -1007,3 +1007,5 @@ SELECT conn_seq, frame_seq, CASE WHEN frame_seq % 3 = 1 THEN 'binary' ELSE 'text
   CASE WHEN frame_seq % 3 = 1 THEN base64(encode(payload)) ELSE payload END AS payload, octet_length(encode(payload))::BIGINT AS size FROM frames"""
 ORACLES["report_read_back"] = f"SELECT {KEY}, calls, statuses FROM ({ORACLES['endpoint_rollup']})"
 ORACLES["snapshot_read_back"] = f"SELECT {KEY}, calls FROM ({ORACLES['endpoint_rollup']})"
+ORACLES["signals_read_back"] = ORACLES["signals"]
+ORACLES["payloads_read_back"] = ORACLES["spill_budget"]

@@ -1311,6 +1311,26 @@ def snapshot_read_back(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_snapshot_tables(spark, path, ["endpoints"])["endpoints"].select(*KEY, F.col("count").alias("calls"))
 
 
+@query
+def signals_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals as they are written, one JSON line each in the folder of their scan."""
+    path, found = _folder(spark, "signals"), signals(spark, sf)
+    tables.write_signals(found, path)
+    return spark.read.schema(found.schema).json(path).select(*found.columns)
+
+
+@query
+def payloads_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """The side table of oversized bodies, written by two parts of a capture and read as one."""
+    path, calls = _folder(spark, "payloads"), samples.calls(spark, sf)
+    masked = redaction.redact_body("body")["body"]
+    spilled = settle(caps.spilled_payloads(caps.call_payloads(calls), masked, max_chars=60, total_chars=150_000))
+    for part in (0, 1):
+        tables.write_payloads(spilled.where(F.col("part") == part), path)
+    rows = spark.read.parquet(path)
+    return rows.select("scan_id", "call_seq", "payload_key", F.sha2("body", 256).alias("digest"))
+
+
 # --- OpenAPI -------------------------------------------------------------------
 
 
