@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callsight.operators.sizing import settle
+
 BUCKET = 65_536
 #: The bucket of what was counted before a table begins.
 _BEFORE = -(1 << 62)
@@ -65,8 +67,8 @@ def with_pace(df: DataFrame, keys: list[str], at: str, tie: str, step: int, widt
 
     The i-th row is paced at ``i * step + max(t_j - j * step)`` over the rows up to it. A bucket passes on its
     number of rows and its greatest ``t_j - j * step``, counted from its own first row; after C earlier rows the
-    latter is less by ``C * step``. Both are associative, so all measures take one pass: the buckets' totals
-    are taken from the very rows that are finished later, and both share one shuffle.
+    latter is less by ``C * step``. Both are associative, so all measures take one pass: the rows are read and
+    shuffled once, and settled with what holds inside their bucket; totals and results come from there.
     """
     inside = _inside(keys, [at, tie])
     rows = df.withColumn("_bucket", F.floor(F.col(at) / F.lit(width))).withColumn("_i", F.row_number().over(inside).cast("bigint"))
@@ -74,6 +76,7 @@ def with_pace(df: DataFrame, keys: list[str], at: str, tie: str, step: int, widt
     rows = rows.withColumns(
         {"_slack": F.max(F.col(at) - F.col("_i") * step).over(upto), "_before": F.lag(at).over(inside)}
     )
+    rows = settle(rows)
     totals = rows.groupBy(*keys, "_bucket").agg(
         F.max("_i").alias("_n"), F.max("_slack").alias("_most"), F.max(at).alias("_latest")
     )
