@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from callsight.operators import resume
-from callsight.plans.capture import Rules, captured
+from callsight.operators import resume, scope
+from callsight.plans import capture
+from callsight.plans.capture import Rules, captured, limit_places
 from callsight.plans.report import Report
 from callsight.schemas import SCOPE
 from callsight.sources import samples
@@ -52,6 +53,31 @@ def test_bodies_are_masked_whole_and_then_cut(spark):
     assert stored(spark, [call(1, body, None)], max_chars=30, mask=False) == [(1, body[:30], None, False)]
 
 
+def test_limits_are_found_in_the_buckets_where_they_break(spark, monkeypatch):
+    rows = [call(n, "x" * (n % 5), "y" * (n % 7)) for n in range(0, 400_000, 997)]
+    frame, read, inside = spark.createDataFrame(rows, CALLS), [], capture.running_in
+    monkeypatch.setattr(capture, "running_in", lambda sizes, near, *rest: read.append(near.count()) or inside(sizes, near, *rest))
+    for max_calls, total in ((150, 1_000), (10_000, 700), (67, 1 << 40), (1_000_000, 1 << 40), (0, 0)):
+        taken, last, broke = 0, None, None
+        for nth, row in enumerate(rows):
+            last = row[1] if nth < max_calls else last
+            taken += len(row[7]) + len(row[8])
+            if taken > total and broke is None:
+                broke = (row[1], taken - len(row[8]) <= total)
+        got = limit_places(frame, Rules(max_calls=max_calls, total_chars=total)).first()
+        assert (got["_last"], got["_broke"] and tuple(got["_broke"])) == (last, broke)
+    # At most a bucket for each limit is put in order; without a limit in reach, none.
+    assert max(read) <= 2 and read[3] == 0
+
+
+def test_calls_are_not_shuffled_by_their_scan(spark):
+    rows = spark.createDataFrame([call(1), call(2, url="https://b.example/")], CALLS)
+    wide = spark.createDataFrame([("s", "https://a.example/", [], ["/x"], False)], SCOPE)
+    for kept in (scope.capture_scope(rows, wide), scope.allowed_hosts(rows, wide), scope.exclude_paths(rows, wide)):
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_no_original_reaches_a_table_of_the_report(spark, sf):
     calls = samples.calls(spark, sf)
     assert calls.where(F.col("request_body").contains("@example.com")).count() > 0
