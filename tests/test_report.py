@@ -43,6 +43,11 @@ def by_id(rows, scan):
     return {r["id"]: r for r in rows.where(F.col("scan_id") == scan).collect()}
 
 
+def test_calls_are_keyed_once(report):
+    assert report.rules is None and report.calls.inputFiles()  # settled: no table parses a URL again
+    assert report.calls is report.calls and report.calls.count() == len(ROWS)
+
+
 def test_endpoints(report):
     got = by_id(report.endpoints, "before")
     users = got["GET /api/users/{id}"]

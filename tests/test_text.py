@@ -94,3 +94,14 @@ def test_vendors(spark):
     names = [v and v["name"] for v in evaluate(spark, vendor_of("u"), hosts)]
     assert names == ["Segment", "Segment", None, "Stripe", None]
     assert evaluate(spark, is_tracking_host("u"), hosts) == [True, True, False, False, False]
+
+
+def test_cache_headers_are_met_as_they_are_read(spark):
+    given = [
+        None, {}, {"x-cache": "HIT"}, {"X-Cache": "HIT"}, {"X-Cache": None}, {"age": "x"}, {"AGE": "5"}, {"Etag": ""},
+        {"etag": None, "ETag": "v"}, {"Vary": None, "vary": "a"}, {"accept": "x-cache"}, {"x": None, "Cache-Control": "no-store"},
+    ]
+    rows = spark.createDataFrame([(h,) for h in given], "h map<string,string>")
+    both = rows.select(F.coalesce(tx.has_cache_info("h"), F.lit(False)).alias("met"), tx.cache_info("h").isNotNull().alias("read")).collect()
+    assert [r["met"] for r in both] == [r["read"] for r in both]
+    assert [r["met"] for r in both][:4] == [False, False, True, True]

@@ -29,6 +29,21 @@ def test_normalize(spark):
     ]
 
 
+def test_plain_urls_are_kept_as_they_are(spark):
+    plain = ["https://shop.test/en/1/a.b_c~d", "ws://shop.test/x", "http://a-b.test/A/-/0"]
+    odd = ["https://shop.test/a/", "https://shop.test/./a", "https://shop.test:443/a", "https://Shop.test/a", "https://shop.test//a", "https://shop.test/a\n", "https://shop.test", "https://shop.test/a?"]
+    assert evaluate(spark, F.col("u").rlike(urls._PLAIN_URL), plain + odd) == [True] * len(plain) + [False] * len(odd)
+    full = urls.normalize_url("u", urls.url_parts("u"))  # given parts, always rebuilt
+    assert evaluate(spark, full, plain) == plain
+    assert evaluate(spark, urls.normalize_url("u"), plain + odd) == evaluate(spark, full, plain + odd)
+
+
+def test_query_entries(spark):
+    given = ["a=1&b", "=x&&c==", "a%20b=c+d&%zz=%zz", "n=\n"]
+    got = evaluate(spark, F.transform(urls.query_entries(F.col("u")), lambda e: F.concat(e["name"], F.lit(">"), e["value"])), given)
+    assert got == [["a>1", "b>"], [">x", "c>="], ["a b>c d", "%zz>%zz"], ["n>\n"]]
+
+
 def test_normalize_is_idempotent(spark):
     given = ["https://a.test/x/?b=1&a=%C3%A9+1", "http://a.test", "https://a.test/ü/"]
     once = evaluate(spark, urls.normalize_url("u"), given)
