@@ -90,3 +90,18 @@ def test_ledger_and_summary(spark):
     hits = spark.range(20).select(F.lit("s").alias("scan_id"), F.format_string("p%02d", "id").alias("path"))
     got = leaks.leak_summary(hits, ["scan_id"], "path").first()
     assert got["total"] == 20 and got["paths"] == [f"p{n:02d}" for n in range(8)]
+
+
+def test_masking_is_not_worked_out_in_the_tasks_of_the_scan(spark, tmp_path):
+    from callsight.plans.queries import secret_ledger
+
+    rows = spark.sql(
+        "select id as event_id, timestamp_ntz'2024-01-02' as ts, id as user_id, 'signup' as event_type, 1.5D as value, "
+        "concat('{\"k\": ', id, '}') as props from range(4)"
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("select id as page_id, 'https://shop.test/' as url, '' as html from range(2)").write.parquet(f"{tmp_path}/pages.parquet")
+    found = secret_ledger(spark, str(tmp_path))
+    assert sorted(r["value"] for r in found.collect()) == ["ops1@example.com", *(f"u{n}@example.com" for n in range(4))]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_redact_json_bodies") == 2  # once for each side of a call, and in no filter
