@@ -114,3 +114,26 @@ def test_links(spark):
 def test_page_label(spark):
     given = ["https://a.test/p?x=1", "https://b.test/p", "odd"]
     assert evaluate(spark, urls.page_label("u", F.lit("https://a.test/")), given) == ["/p?x=1", "b.test/p", "odd"]
+
+
+def test_plain_queries_are_ordered_without_decoding(spark):
+    given = [
+        "https://shop.test/a?b=2&a=1&utm_source=n&ref=x",
+        "https://shop.test/a?a.b=1&a=2&a-b=3",  # a name orders before the names it begins
+        "https://shop.test/a?b=2&a=9&a=1",  # a name that comes twice keeps its order
+        "https://shop.test/a?utm_x=1",
+        "https://shop.test/a?reference=1&UTM_y=2&xref=3",
+        "https://shop.test/a?b=%61&a=+",
+        "https://shop.test/a?b&=1&a=1=2",
+    ]
+    assert evaluate(spark, urls.normalize_url("u"), given) == [
+        "https://shop.test/a?a=1&b=2",
+        "https://shop.test/a?a=2&a-b=3&a.b=1",
+        "https://shop.test/a?a=9&a=1&b=2",
+        "https://shop.test/a",
+        "https://shop.test/a?reference=1&xref=3",
+        "https://shop.test/a?a=+&b=a",
+        "https://shop.test/a?=1&a=1%3D2&b=",
+    ]
+    # Nothing of a plain query is decoded: no field is opened where the names differ.
+    assert evaluate(spark, F.col("u").rlike(urls._PLAIN_QUERY), ["a=1&b=", "a=%41", "a", "=1", "a=1&&b=2"]) == [True] + [False] * 4
