@@ -103,3 +103,13 @@ def test_limits_are_arguments_and_keys_may_hold_quotes(spark):
     found = lambda limits: sh.schema_paths(sh.body_nodes(values, ["g"], "body", limits), ["g"], limits).where("size(path) = 1").first()["enum"]
     assert found(sh.DEFAULT) is None and len(found(sh.Limits(enum_values=12))) == 12
     assert found(sh.Limits(enum_values=12, enum_length=2)) is None
+
+
+def test_nodes_keep_the_format_of_a_long_text_and_only_its_beginning(spark):
+    address = "https://shop.test/" + "a" * 500
+    rows = spark.createDataFrame([("g", '{"u":"%s","n":[{"s":"%s"}]}' % (address, "x " * 400))], "g string, body string")
+    found = {sh.ELEMENT.join(r["path"]): r for r in sh.body_nodes(rows, ["g"], "body").where("text is not null").collect()}
+    longest = sh.DEFAULT.enum_length + 1
+    assert {len(r["text"]) for r in found.values()} == {longest}
+    assert found["u"]["text"] == address[:longest] and found["u"]["format"] == "uri"
+    assert [r["format"] for path, r in found.items() if path != "u"] == [None]
