@@ -9,6 +9,7 @@ from callsight import fixed_values as fv
 from callsight.functions.text import mermaid_label
 from callsight.functions.urls import page_label
 from callsight.operators.endpoints import KEY, endpoint_id
+from callsight.operators.sizing import settle
 
 
 def request_graph(
@@ -21,7 +22,8 @@ def request_graph(
     """``pages``, ``requests``, ``edges`` and ``omitted`` of every scan's graph.
 
     The busiest pages are kept, then the most called requests over those pages. Both picks are
-    row_number limits, which Spark applies before the shuffle.
+    row_number limits, which Spark applies before the shuffle. The picks and the links to kept pages are settled:
+    nodes, edges and counts read them, and no page is labelled again for each.
     """
     triggered = (
         values.where(F.col("kind") == "page")
@@ -37,13 +39,13 @@ def request_graph(
         .drop("seed_url")
     )
     page_rank = Window.partitionBy("scan_id").orderBy(F.col("requests").desc(), "label", "url")
-    kept_pages = (
+    kept_pages = settle(
         pages.withColumn("rank", F.row_number().over(page_rank))
         .where(F.col("rank") <= max_pages)
         .withColumn("node", F.concat(F.lit("p"), (F.col("rank") - 1).cast("string")))
     )
     numbered = lambda rows, key, name: rows.select("scan_id", key, F.col("node").alias(f"{name}_node"), F.col("rank").alias(f"{name}_rank"))
-    on_kept = triggered.join(numbered(kept_pages, "url", "page"), ["scan_id", "url"])
+    on_kept = settle(triggered.join(numbered(kept_pages, "url", "page"), ["scan_id", "url"]))
     requests = on_kept.groupBy("scan_id", "label").agg(F.max("calls").alias("calls"))
     request_rank = Window.partitionBy("scan_id").orderBy(F.col("calls").desc(), "label")
     kept_requests = (

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from callsight.functions import urls
 from callsight.operators import endpoints as ep
+from callsight.operators import graph
 
 CALL = (
     "scan_id string, call_seq bigint, method string, url string, status int, mime_type string, request_headers map<string,string>,"
@@ -56,3 +57,16 @@ def test_paths_with_identifiers(spark):
     assert [r[0] for r in rows.select(urls.path_pattern(F.col("p"))).collect()] == [
         "/api/orders/{id}", "/api/orders/{id}/items/{id2}", "/{id}/{id2}/{id3}", "/{id}/a/{id2}/b/{id3}/{id4}", "/a/{id}", "/", "", "/x\x01/{id}", "/x\x01y", "/5\n/{id}\n", "/a/{id}\r", "/a/{id}\x85", "/a/5\u2028/{id}", "5/{id}", "/f/{id}/x", "/{id}/{id}", "/$1/{id}", "/a\\1/{id}/{id2}",
     ]
+
+
+def test_graph_labels_its_pages_once(spark):
+    ends = spark.createDataFrame([("s", "GET", "/a", 3), ("s", "GET", "/b", 9)], "scan_id string, method string, url_pattern string, count bigint")
+    rows = [("s", "GET", path, "page", f"{PAGE}/{n}") for n, path in enumerate(["/a", "/b", "/a"])] + [("s", "GET", "/a", "page", f"{PAGE}/1")]
+    values = spark.createDataFrame(rows, "scan_id string, method string, url_pattern string, kind string, value string")
+    seeds = spark.createDataFrame([("s", "https://shop.test/")], "scan_id string, seed_url string")
+    found = graph.request_graph(ends, values, seeds, max_pages=2)
+    lines = graph.mermaid_lines(found)
+    assert all("/settled-" in path for path in found["pages"].inputFiles()) and found["pages"].inputFiles()
+    got = [r["line"] for r in lines.orderBy("part", "rank", "rank2").collect()]
+    assert got == ["flowchart LR", '  p0["/p/1"]', '  p1["/p/0"]', '  e0["GET /b"]', '  e1["GET /a"]', "  p0 --> e0", "  p0 --> e1", "  p1 --> e1"]
+    assert [tuple(r) for r in found["omitted"].select("omitted_pages", "omitted_requests").collect()] == [(1, 0)]
